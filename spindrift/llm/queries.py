@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 _MODULES = {
     "op2_rendezvous_sharding": "sharding",
     "op4_quality_rules": "quality",
+    "op5_sentencepiece_suffix_array": "sentencepiece",
+    "op6_token_counts": "tokencount",
     "op8_url_filters": "urlfilter",
 }
 
