@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "op2_rendezvous_sharding": "sharding",
+    "op3_warc_index_merge": "warc",
     "op4_quality_rules": "quality",
     "op5_sentencepiece_suffix_array": "sentencepiece",
     "op6_token_counts": "tokencount",
+    "op7_line_dedup_winnowing": "linededup",
     "op8_url_filters": "urlfilter",
+    "op9_html_suffix_array": "htmltext",
+    "op10_decontamination_qgram_bands": "decontaminate",
 }
 
 
@@ -22,5 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from spindrift.llm.urlfilter import OP8_SQL
+    from spindrift.llm.warc import OP3_SQL
 
-    return {"op8_url_filters": OP8_SQL}
+    return {"op3_warc_index_merge": OP3_SQL, "op8_url_filters": OP8_SQL}
