@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op1_ngram_jaccard_join": "jaccard",
     "op2_rendezvous_sharding": "sharding",
     "op3_warc_index_merge": "warc",
     "op4_quality_rules": "quality",
