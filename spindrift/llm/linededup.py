@@ -90,7 +90,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
     key and text are one document; rows with the same key and other text are not compared.
     """
     docs = docs.drop("n_lines", "n_removed", "n_removed_words")
-    runs = written(repeated_runs(line_table(docs, key, text), min_words), "runs")
+    # the runs grow with the corpus: always a shuffle join, so that every size runs the same plan
+    runs = written(repeated_runs(line_table(docs, key, text), min_words), "runs").hint("merge")
     out = docs.withColumn("_k", F.xxhash64(text)).join(runs.withColumnsRenamed({"id": "_id", "k": "_k0"}), F.col(key).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_k0")), "left")
     out = out.withColumn("_l", F.coalesce(_lines(text), F.array().cast("array<string>")))
     kept = F.expr("filter(_l, (x, j) -> NOT exists(runs, r -> j + 1 BETWEEN r.a AND r.b))")
