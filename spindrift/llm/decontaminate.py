@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from spindrift.llm.common import table
 
@@ -212,6 +213,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     schema = f"`{key}` {kind}, `{item_key}` {item_kind}, edits int, start long, stop long"
+    item_type = to_arrow_type(benchmark.schema[item_key].dataType)
     out = None
     for block in item_blocks(benchmark, item_key, item_text):
 
@@ -225,8 +227,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                     rows = [(done + k, i, *x) for k, found in enumerate(items.search([normalised(t) for t in part])) for i, x in sorted(found.items())]
                     if rows:
                         spans = [original_span(part[r[0] - done], r[3], r[4]) for r in rows]
-                        types = arrow_types(schema)
-                        yield pa.record_batch([keys.take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], types[1]), pa.array([r[2] for r in rows], pa.int32()), pa.array([s for s, _ in spans], pa.int64()), pa.array([s for _, s in spans], pa.int64())], [key, item_key, "edits", "start", "stop"])
+                        yield pa.record_batch([keys.take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], item_type), pa.array([r[2] for r in rows], pa.int32()), pa.array([s for s, _ in spans], pa.int64()), pa.array([s for _, s in spans], pa.int64())], [key, item_key, "edits", "start", "stop"])
                     done += len(part)
 
         found = docs.select(key, text).mapInArrow(run, schema)
@@ -234,12 +235,5 @@ def find_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def arrow_types(schema: str) -> list[pa.DataType]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema)).types
-
-
 def op10_decontamination_qgram_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
