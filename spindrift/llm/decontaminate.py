@@ -235,5 +235,23 @@ def find_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE) -> DataFrame:
+    """The rows of ``docs``, all columns, in whose text no benchmark item is found. Each row is judged where
+    it is read, so nothing is joined or shuffled."""
+    at = docs.columns.index(text)
+    for block in item_blocks(benchmark, item_key, item_text):
+
+        def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
+            from spindrift.llm.tokencount import blocks
+
+            items = Items(block, share)
+            for b in batches:
+                clean = [not found for part in blocks(b.column(at).to_pylist()) for found in items.search([normalised(t) for t in part])]
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op10_decontamination_qgram_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
