@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import SPACE, table, written
-from spindrift.llm.decontaminate import find_items
+from spindrift.llm.decontaminate import without_items
 from spindrift.llm.jaccard import linked_classes
 from spindrift.llm.linededup import dedup_lines
 from spindrift.llm.quality import judge_documents, learn_rules
@@ -42,8 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = find_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(written(found, "leaks").hint("merge"), "doc_id", "left_anti").select(COLUMNS)
+    return without_items(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
