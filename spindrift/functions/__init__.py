@@ -1 +1 @@
-
+"""Column functions and fixed dimensions."""

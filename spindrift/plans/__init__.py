@@ -1 +1 @@
-
+"""Fixture plans, registered queries and their SQL."""

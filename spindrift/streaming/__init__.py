@@ -1 +1 @@
-
+"""Streaming: incremental scoring of new questions."""
