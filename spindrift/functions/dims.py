@@ -75,3 +75,13 @@ WORDS = {
 def variants(spark: SparkSession) -> DataFrame:
     """The thirteen variants: 13 rows, fit to be broadcast."""
     return spark.createDataFrame([(*v, i) for i, v in enumerate(VARIANTS)], VARIANT_SCHEMA)
+
+
+def conditions(spark: SparkSession) -> DataFrame:
+    """Condition keys of the breakdown with the variant that has them, for both orders."""
+    rows = []
+    for order in ("d", "u"):
+        for v, up, dp, uc, dc, first in VARIANTS:
+            if first in ("", order):
+                rows.append((order == "u", f"U{int(up)}D{int(dp)}_Ucorr{int(uc)}Dcorr{int(dc)}", v))
+    return spark.createDataFrame(rows, "user_first boolean, condition string, probe_variant string")

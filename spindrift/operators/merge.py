@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.dims import variants
@@ -49,3 +49,21 @@ def coverage(merged: DataFrame) -> DataFrame:
 def missing_rows(expected: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``expected`` that are still to be done."""
     return expected.join(have.select(keys).distinct(), keys, "left_anti")
+
+
+def letter_flags(df: DataFrame) -> DataFrame:
+    """Flags read off the variant's letters alone, with the experiment's order on every variant. Differs from
+    the merged table, whose single-source rows have no order."""
+    v = F.col("probe_variant")
+    double = F.length(v) == 4
+    bare = v == "bare"
+
+    def side(letter: str) -> tuple[Column, Column]:
+        first, second = v.startswith(letter), F.substring(v, 3, 1) == letter
+        there = ~bare & (first | ((F.substring(v, 3, 1) == letter) & double & v.rlike("^[ud][pn][ud][pn]$")))
+        pair = double & v.rlike("^[ud][pn][ud][pn]$")
+        right = F.when(first, F.substring(v, 2, 1) == "p").when(pair & second, F.substring(v, 4, 1) == "p").otherwise(False)
+        return there, there & right
+
+    (up, uc), (dp, dc) = side("u"), side("d")
+    return df.withColumns({"user_present": up, "doc_present": dp, "user_correct": uc, "doc_correct": dc, "user_first": parsed(F.col("experiment"))["user_first"]})

@@ -114,3 +114,28 @@ def exact_sample(qids: dict[str, list[str]], strategy: str, seed: int = 42) -> l
         if target and pool:
             out += [(v, q) for q in random.Random(seed + i).sample(pool, min(target, len(pool)))]
     return out
+
+
+def missing_variants(merged: DataFrame, table: DataFrame) -> DataFrame:
+    """Variants with a weight that no row has, in the experiments that should give them."""
+    wanted = table.where("pct > 0").select("probe_variant")
+    return wanted.join(merged.select("probe_variant").distinct(), "probe_variant", "left_anti")
+
+
+def tier_counts(sample: DataFrame, by: str = "tier") -> DataFrame:
+    """Counts by variant and tier with totals of both kinds (null: all)."""
+    return sample.cube("probe_variant", by).agg(F.count("*").alias("n"))
+
+
+def shuffled(df: DataFrame, seed: int, *keys: str) -> DataFrame:
+    """``df`` in an order by hash, the same for the same seed."""
+    return df.orderBy(hash_key(seed, *map(F.col, keys)), *keys)
+
+
+def range_parts(df: DataFrame, order: str, parts: int) -> DataFrame:
+    """Adds ``part``: contiguous ranges of the row numbers in ``order`` (unique, from 0), the first ones a row
+    longer where they do not divide evenly."""
+    n = df.count()
+    size, more = divmod(n, parts)
+    at, cut = F.col(order), more * (size + 1)
+    return df.withColumn("part", F.when(at < cut, F.floor(at / (size + 1))).otherwise(more + F.floor((at - cut) / max(size, 1))).cast("int"))

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import dims, names, text
-from spindrift.operators import breakdown, choice, distribution, logit, merge, pairs, prep, report, sampling, scoring
+from spindrift.operators import breakdown, choice, distribution, logit, merge, pairs, prep, report, sampling, scoring, tiers
+from spindrift.plans import experiment as whole
 from spindrift.plans import fixtures
+from spindrift.sources import files
 from spindrift.plans.sql import BASE, FAMILY, SHIFT, SINGLE, STRENGTH, rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -502,3 +504,83 @@ def _stub() -> scoring.Scorer:
     return answer
 
 
+
+
+# -- more of the inventory ------------------------------------------------------------------
+
+
+@query(BASE + "SELECT experiment, probe_variant, up AS user_present, dp AS doc_present, uc AS user_correct, dc AS doc_correct, experiment LIKE '%u1nd1n%' AS user_first FROM vx")
+def variant_letter_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = merge.experiment_variants(fixtures.experiments(spark).select("experiment")).select("experiment", "probe_variant")
+    return merge.letter_flags(df)
+
+
+@query(BASE + "SELECT DISTINCT experiment LIKE '%u1nd1n%' AS user_first, 'U' || up::INT || 'D' || dp::INT || '_Ucorr' || uc::INT || 'Dcorr' || dc::INT AS condition, probe_variant FROM vx")
+def condition_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dims.conditions(spark)
+
+
+@query(BASE + "SELECT experiment, count(*) AS rows, count(DISTINCT qid) AS questions, count(*) = 9 * count(DISTINCT qid) AS complete FROM m GROUP BY experiment")
+def experiment_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole.complete(fixtures.merged(spark, sf_dir))
+
+
+@query("SELECT p_partkey, CAST('0x' || substr(md5(p_partkey::VARCHAR), 1, 8) AS BIGINT) AS base_seed, ((CAST('0x' || substr(md5(p_partkey::VARCHAR), 1, 8) AS HUGEINT) * 2654435761) % 4294967296)::BIGINT AS t1_seed, ((CAST('0x' || substr(md5(p_partkey::VARCHAR), 1, 8) AS HUGEINT) * 3141592653) % 4294967296)::BIGINT AS t2_seed FROM part")
+def tier_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "part").select("p_partkey", text.md5_number(F.col("p_partkey").cast("string")).alias("base_seed"))
+    return df.withColumns(prep.seeds(F.col("base_seed")))
+
+
+@query(BASE + """SELECT qid, 'I saw ' || concept || ' ' || gi AS t2_user_correct, CASE WHEN k % 5 = 0 THEN NULL ELSE 'Papers say ' || concept || ' ' || gi END AS t2_doc_correct,
+CASE WHEN k % 5 = 0 THEN 'fields missing' WHEN k % 7 = 0 THEN 'answer missing in t2_doc_wrong' END AS error FROM cw""")
+def tier2_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of which some lack a field and some an answer."""
+    q = fixtures.canonical(spark, sf_dir).select("qid", F.col("gold_text").alias("correct_answer"), F.col("canonical_wrong_text").alias("wrong_answer"))
+    k = F.col("qid").cast("long")
+    lines = F.concat(F.lit("USER_CORRECT: I saw "), "correct_answer", F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("\nDOC_CORRECT: Papers say "), "correct_answer")), F.lit("\nUSER_WRONG: I saw "), "wrong_answer", F.lit("\nDOC_WRONG: Papers say "), F.when(k % 7 == 0, "nothing").otherwise(F.col("wrong_answer")))
+    df = tiers.tier2_parsed(q.withColumn("reply", lines))
+    user = F.when(F.col("t2_user_correct").isNull(), F.concat(F.lit("I saw "), "correct_answer")).otherwise(F.col("t2_user_correct"))
+    return df.select("qid", user.alias("t2_user_correct"), "t2_doc_correct", "error")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'computer' ELSE 'law' END AS subject, CASE WHEN p_partkey % 2 = 0 THEN 'counting_and' ELSE 'algebra' END AS subtask FROM part")
+def sample_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.col("p_partkey") % 2 == 0
+    one = F.concat(F.lit("/x/samples_mmlu_pro_"), F.when(even, "computer_science").otherwise("law"), F.lit("_2024.jsonl"))
+    two = F.concat(F.lit("/x/samples_math_"), F.when(even, "counting_and_probabilities").otherwise("algebra_2024"), F.lit(".jsonl"))
+    return read(spark, sf_dir, "part").select("p_partkey", files.subject(one).alias("subject"), files.subtask(two, "math").alias("subtask"))
+
+
+@query("SELECT doc_id, topic, score FROM (SELECT doc_id % 50 AS doc_id, lang AS topic, quality::DOUBLE AS score, row_number() OVER (PARTITION BY lang, doc_id % 50 ORDER BY doc_id DESC) AS n FROM labels JOIN documents USING (doc_id)) WHERE n = 1")
+def last_sample_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("topic")), "doc_id")
+    df = df.select((F.col("doc_id") % 50).alias("doc_id"), "topic", F.col("quality").cast("double").alias("score"), F.col("doc_id").alias("at"))
+    return pairs.last_per_id(df, ["topic", "doc_id"], "at").drop("at")
+
+
+@query(_POOL_SQL + ", hs AS (SELECT pool.*, target, row_number() OVER (PARTITION BY probe_variant ORDER BY md5((42 + ord) || '|' || qid), qid) AS n FROM pool JOIN tgt USING (probe_variant)) SELECT probe_variant, CASE WHEN grouping(tier) = 1 THEN NULL ELSE tier END AS tier, count(*) AS n FROM (SELECT *, 'tier1' AS tier FROM hs WHERE n <= target) GROUP BY CUBE (probe_variant, tier)")
+def sft_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.tier_counts(sampling.balanced_sample(_pool(spark, sf_dir), sampling.weight_table(spark, _STRATEGY), ["tier"]))
+
+
+@query("SELECT p_partkey, CASE WHEN n < (t % 7) * (t // 7 + 1) THEN n // (t // 7 + 1) ELSE t % 7 + (n - (t % 7) * (t // 7 + 1)) // (t // 7) END::INTEGER AS part FROM (SELECT p_partkey, p_partkey - (SELECT min(p_partkey) FROM part) AS n, (SELECT count(*) FROM part) AS t FROM part)")
+def range_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    low = part.agg(F.min("p_partkey")).first()[0]
+    return sampling.range_parts(part.select("p_partkey", (F.col("p_partkey") - low).alias("at")), "at", 7).drop("at")
+
+
+@query(BASE + "SELECT probe_variant, experiment AS from_experiment, CASE WHEN probe_variant IN ('bare', 'upos', 'uneg', 'dpos', 'dneg') THEN count(*) ELSE 0 END AS reused FROM (SELECT * FROM m WHERE experiment LIKE '%d1nu1n%') GROUP BY probe_variant, experiment")
+def result_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which results of one experiment serve a sibling of the other order."""
+    have = fixtures.merged(spark, sf_dir).where("experiment like '%d1nu1n%'").select("experiment", "qid", "probe_variant", "output_letter")
+    wanted = have.select(F.lit(fixtures.EXPERIMENTS[1][0]).alias("experiment"), "probe_variant", "qid")
+    found, _ = whole.shared_results(wanted, have)
+    counts = found.groupBy("probe_variant").agg(F.count("*").alias("reused"))
+    return have.select("probe_variant", F.col("experiment").alias("from_experiment")).distinct().join(counts, "probe_variant", "left").withColumn("reused", F.coalesce("reused", F.lit(0)))
+
+
+@query("SELECT r_regionkey AS k, 'I believe the answer is X' AS plain, 'Question: q' || chr(10) || 'Answer with ONLY the letter (A or B) of your chosen answer.' || chr(10) || 'Answer: ' AS base_prompt FROM region")
+def base_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = read(spark, sf_dir, "region")
+    return r.select(F.col("r_regionkey").alias("k"), text.unquoted(F.lit('"I believe the answer is X"')).alias("plain"), text.base_model_prompt(F.lit("Question: q\nAnswer: "), text.letter_options(F.lit(2))).alias("base_prompt"))
