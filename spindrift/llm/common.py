@@ -41,6 +41,26 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give a worker's free memory back: several workers share an executor's limit."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are computed once, at this place. Filters on them stay above: one that Spark
+    moved below would repeat the whole expression, and inside a lambda once for each element."""
+    made = F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))))
+    return df.select(*(F.col(c) for c in df.columns if c not in columns), made)
+
+
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

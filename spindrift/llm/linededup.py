@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import SPACE, SPACES, table, written
+from spindrift.llm.common import SPACE, SPACES, computed, table, written
 
 MIN_WORDS = 50
 
@@ -97,7 +97,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
     kept = F.expr("filter(_l, (x, j) -> NOT exists(runs, r -> j + 1 BETWEEN r.a AND r.b))")
     gone = F.expr("flatten(transform(coalesce(runs, array()), r -> slice(_l, r.a, r.b - r.a + 1)))")
     words = F.aggregate(F.transform(gone, lambda x: F.regexp_count(x, F.lit("[^" + SPACE[1:] + "+"))), F.lit(0), lambda a, x: a + x)
-    out = out.withColumns({
+    out = computed(out, {
         "n_lines": F.size("_l").cast("long"),
         "n_removed": F.size(gone).cast("long"),
         "n_removed_words": words.cast("long"),

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import SPACE, SPACES, table
+from spindrift.llm.common import SPACE, SPACES, computed, table
 
 SYMBOLS = "#*$%&|<>"
 #: Labelled rows that the fit may see: those with the smallest hashes of their id.
@@ -52,7 +52,9 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_s", F.expr(f"CASE WHEN size(_w) >= 3 THEN sort_array({window}) ELSE cast(array() as array<bigint>) END")).drop("_w", "_l", "_t")
     twice = "filter(_s, (x, j) -> coalesce(shiftright(x, _bits) = shiftright(get(_s, j - 1), _bits), false) OR coalesce(shiftright(x, _bits) = shiftright(get(_s, j + 1), _bits), false))"
     df = df.withColumn("_p", F.expr(f"transform({twice}, x -> x & (shiftleft(1L, _bits) - 1))")).drop("_s")
-    return df.withColumn("n_repeat_words", F.size(F.array_distinct(F.flatten(F.transform("_p", lambda p: F.array(p, p + 1, p + 2))))).cast("long")).drop("_p", "_bits")
+    repeated = F.size(F.array_distinct(F.flatten(F.transform("_p", lambda p: F.array(p, p + 1, p + 2))))).cast("long")
+    names = [*COUNTS[:-1], "_lines", "_distinct", "_digits", "_upper", "_letters"]
+    return computed(df, {**{c: F.col(c) for c in names}, "n_repeat_words": repeated}).drop("_p", "_bits")
 
 
 def features() -> dict[str, Column]:
