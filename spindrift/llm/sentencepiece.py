@@ -13,6 +13,7 @@ Ids equal those of the ``sentencepiece`` library; tests hold them against it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,8 +79,13 @@ class SuffixPieces:
         # a newline is in no piece here: it is a chunk of its own, so that lines share chunks
         self.alone = "\n" not in alphabet
         self.cut = regex.compile(f"\\n|{MARK}*[^{MARK}\\n]+|{MARK}+" if self.alone else f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.known: dict[str, np.ndarray] = {}
         self.most = known
+        self.forget()
+
+    def forget(self) -> None:
+        """The known chunks: number of each, and where the ids of each number stand in one array."""
+        self.known: dict[str, int] = {}
+        self.ends, self.known_ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     # -- the index ---------------------------------------------------------------------------
     def suffix_array(self, codes: np.ndarray) -> np.ndarray:
@@ -142,8 +148,8 @@ class SuffixPieces:
         return np.concatenate(starts), np.concatenate(rows)
 
     # -- encoding ----------------------------------------------------------------------------
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of each chunk. Between chunks stands one code that no piece has."""
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks one after another, and how many each has. Between chunks stands one code that no piece has."""
         text = "\0".join(chunks) + "\0"
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         codes = self.code[points].copy()
@@ -223,9 +229,7 @@ class SuffixPieces:
             where = np.repeat(firsts[lost], n_ids[lost]) + np.concatenate([np.arange(len(r)) for r in raw])
             out[where] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
             ids, chunk = out, np.repeat(chunk, n_ids)
-        bounds = np.searchsorted(chunk, np.arange(len(chunks) + 1))
-        ids = ids.astype(np.int32)
-        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return ids.astype(np.int32), np.bincount(chunk, minlength=len(chunks))
 
     def chunks(self, text: str) -> list[str]:
         if not text:
@@ -235,21 +239,28 @@ class SuffixPieces:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text begins (one more than texts)."""
         if len(self.known) > self.most:
-            self.known = {}
+            self.forget()
         known, cut = self.known, [self.chunks(t) for t in texts]
-        new = list({c for one in cut for c in one if c not in known})
-        part, chars = [], 0
+        flat = list(chain.from_iterable(cut))
+        new = list(set(flat).difference(known))
+        part, chars, made, sizes = [], 0, [self.known_ids], []
         for i, c in enumerate(new):
             part.append(c)
             chars += len(c) + 1
             if chars >= INDEXED or i == len(new) - 1:
-                known.update(zip(part, self.encode_chunks(part), strict=True))
+                ids, n = self.encode_chunks(part)
+                made.append(ids)
+                sizes.append(n)
+                known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
                 part, chars = [], 0
-        found = [known[c] for one in cut for c in one]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = np.concatenate(found) if found else np.zeros(0, np.int32)
-        return ids, ends[np.concatenate([[0], np.cumsum([len(one) for one in cut])]).astype(np.int64)]
+        if sizes:
+            self.known_ids = np.concatenate(made)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+        number = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        n = self.ends[number + 1] - self.ends[number]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(self.ends[number] - ends[:-1], n) + np.arange(ends[-1])
+        return self.known_ids[at], ends[np.concatenate([[0], np.cumsum(np.array([len(one) for one in cut], np.int64))])].astype(np.int64)
 
     def decode(self, ids: list[int]) -> str:
         """Text of a list of ids; the mark that encoding puts in front goes."""
