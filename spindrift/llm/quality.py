@@ -2,7 +2,8 @@
 
 Sequential covering grows one conjunction of thresholds after another on two thirds of the labelled
 rows (FOIL gain), prunes it on the rest, and stops when a rule is not precise enough there. The list
-becomes one ordered ``CASE WHEN`` of Spark. DataFrame functions only on the executors; the fit runs on
+becomes one ordered ``CASE WHEN`` of Spark. A second list has the toxic label as its target; its
+statistics include how often words learned from the labelled rows stand in a text. DataFrame functions only on the executors; the fit runs on
 the driver over the statistics of at most ``max_labelled`` labelled rows.
 """
 
@@ -14,22 +15,35 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import SPACE, SPACES, computed, table
+from spindrift.llm.common import SPACE, SPACES, computed, remove, table, written
 
 SYMBOLS = "#*$%&|<>"
 #: Labelled rows that the fit may see: those with the smallest hashes of their id.
 MAX_LABELLED = 20_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["n_words", "mean_word", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "alpha_share", "digit_share", "words_per_line", "upper_share"]
+#: What the toxic list sees besides; words that it learns at most, and toxic rows that must hold one.
+WORD_FEATURES = ["n_toxic", "toxic_share"]
+ALL_FEATURES = FEATURES + WORD_FEATURES
+MAX_WORDS, LEAST_ROWS = 256, 5
+NO_LETTERS = r"[^\p{L}]+"
 
 
-def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+def words_pattern(words: list[str]) -> str:
+    """A regular expression for any of the words (letters only) as a whole word, by their first letters."""
+    first: dict[str, list[str]] = {}
+    for w in sorted(words):
+        first.setdefault(w[0], []).append(w[1:])
+    return r"(?<!\p{L})(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in first.items()) + r")(?!\p{L})"
+
+
+def text_counts(docs: DataFrame, text: str = "text", words: list[str] | None = None) -> DataFrame:
     """Adds the base counts, all long: ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``
     and ``n_repeat_words``, and the helper counts the features need.
 
     A null text counts as empty: all zero. A repeated 3-word window is found by sorting 64-bit
     values that hold the window's hash above its position, so no text leaves its row and a text of
-    any length is one sort.
+    any length is one sort. ``words``: also ``_toxic``, how often they stand in the text in any case.
     """
     def stripped(chars: str) -> Column:
         return F.translate(F.col("_t"), chars, "")
@@ -48,12 +62,14 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "_letters": F.length(F.regexp_replace("_t", r"[^\p{L}]+", "")).cast("long"),
         "_bits": F.length(F.bin(F.size("_w").cast("long"))),
     })
+    if words is not None:
+        df = df.withColumn("_toxic", (F.regexp_count(F.lower("_t"), F.lit(words_pattern(words))) if words else F.lit(0)).cast("long"))
     window = "transform(sequence(1, size(_w) - 2), i -> shiftleft(xxhash64(_w[i - 1], _w[i], _w[i + 1]), _bits) | cast(i as bigint))"
     df = df.withColumn("_s", F.expr(f"CASE WHEN size(_w) >= 3 THEN sort_array({window}) ELSE cast(array() as array<bigint>) END")).drop("_w", "_l", "_t")
     twice = "filter(_s, (x, j) -> coalesce(shiftright(x, _bits) = shiftright(get(_s, j - 1), _bits), false) OR coalesce(shiftright(x, _bits) = shiftright(get(_s, j + 1), _bits), false))"
     df = df.withColumn("_p", F.expr(f"transform({twice}, x -> x & (shiftleft(1L, _bits) - 1))")).drop("_s")
     repeated = F.size(F.array_distinct(F.flatten(F.transform("_p", lambda p: F.array(p, p + 1, p + 2))))).cast("long")
-    names = [*COUNTS[:-1], "_lines", "_distinct", "_digits", "_upper", "_letters"]
+    names = [*COUNTS[:-1], "_lines", "_distinct", "_digits", "_upper", "_letters", *(["_toxic"] if words is not None else [])]
     return computed(df, {**{c: F.col(c) for c in names}, "n_repeat_words": repeated}).drop("_p", "_bits")
 
 
@@ -71,6 +87,8 @@ def features() -> dict[str, Column]:
         "digit_share": F.col("_digits") / chars,
         "words_per_line": F.col("n_words") / lines,
         "upper_share": F.col("_upper") / chars,
+        "n_toxic": F.col("_toxic").cast("double"),
+        "toxic_share": F.col("_toxic") / words,
     }
 
 
@@ -91,7 +109,7 @@ Rule = tuple[Test, ...]
 def _mask(rule: Rule, x: np.ndarray) -> np.ndarray:
     hit = np.ones(len(x), bool)
     for t in rule:
-        v = x[:, FEATURES.index(t.feature)]
+        v = x[:, ALL_FEATURES.index(t.feature)]
         hit &= v > t.threshold if t.above else v <= t.threshold
     return hit
 
@@ -112,7 +130,7 @@ def _grow(x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray], longest: int) ->
                     gain = np.where(p > 0, p * (np.log2(p / (p + n)) - base), -1)
                 if len(gain) and gain.max() > best_gain:
                     k = int(gain.argmax())
-                    best_gain, best = gain[k], Test(FEATURES[f], above, float(values[k]))
+                    best_gain, best = gain[k], Test(ALL_FEATURES[f], above, float(values[k]))
         if best is None:
             break
         rule += (best,)
@@ -129,12 +147,12 @@ def _prune(rule: Rule, x: np.ndarray, y: np.ndarray) -> Rule:
     return max((rule[:k] for k in range(len(rule), 0, -1)), key=worth)
 
 
-def fit_decision_list(x: np.ndarray, reject: np.ndarray, max_rules: int = 12, longest: int = 4, precision: float = 0.95, least: int = 5, cuts: int = 128) -> list[Rule]:
-    """Ordered conjunctions that mark rows to reject. Rows are dealt by their order: every third one
-    prunes. A rule must hold ``precision`` among at least ``least`` rows, on the growing and the
+def fit_decision_list(x: np.ndarray, reject: np.ndarray, max_rules: int = 12, longest: int = 4, precision: float = 0.95, least: int = 5, cuts: int = 128, grow: np.ndarray | None = None) -> list[Rule]:
+    """Ordered conjunctions that mark rows to reject. ``grow`` says which rows grow rules; the others prune
+    (without it every third one). A rule must hold ``precision`` among at least ``least`` rows, on the growing and the
     pruning rows together and on the pruning rows alone, or the covering stops."""
     rules: list[Rule] = []
-    grow = np.arange(len(x)) % 3 != 2
+    grow = np.arange(len(x)) % 3 != 2 if grow is None else grow
     left = np.ones(len(x), bool)
     while len(rules) < max_rules and (reject & left & grow).any():
         xs, ys = x[left & grow], reject[left & grow]
@@ -174,19 +192,50 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, max_labelled: int =
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows of 16 bytes
-    stats = text_counts(rows).select("doc_id", "_quality", F.array(*features().values()).alias("f"))
+    stats = text_counts(rows).select("doc_id", "_quality", F.array(*(features()[c] for c in FEATURES)).alias("f"))
     got = stats.groupBy("doc_id").agg(F.min(F.struct("_quality", "f")).alias("s")).select("doc_id", "s.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     x = np.array([r["f"] for r in got], float).reshape(len(got), len(FEATURES))
     return x, np.array([r["_quality"] == 0 for r in got], bool)
 
 
-def judge_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+@dataclass(frozen=True)
+class ToxicList:
+    words: list[str]
+    rules: list[Rule]
+
+
+def learn_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicList | None:
+    """Words and decision list for ``toxic = 1`` over at most ``max_labelled`` labelled documents.
+
+    A word is learned if at least ``LEAST_ROWS`` toxic rows and nine in ten of the rows with it are toxic.
+    Words come from two thirds of the rows, which grow the rules too; the rest prunes. An id with several
+    labels counts as toxic if one says so, one with several texts as one of them.
+    """
+    chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_label"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    grow = F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 2
+    seen = rows.where(grow).select("_label", F.explode(F.array_distinct(F.split(F.lower("text"), NO_LETTERS))).alias("w")).where("w <> ''")
+    counts = seen.groupBy("w").agg(F.count_if(F.col("_label") == 1).alias("t"), F.count("*").alias("n"))
+    best = counts.where((F.col("t") >= LEAST_ROWS) & (10 * F.col("t") >= 9 * F.col("n"))).orderBy(F.desc("t"), "n", "w").limit(MAX_WORDS)
+    words = [r["w"] for r in best.collect()]
+    stats = text_counts(rows, words=words).select("doc_id", "_label", grow.alias("_grow"), F.array(*(features()[c] for c in ALL_FEATURES)).alias("f"))
+    got = stats.groupBy("doc_id").agg(F.max(F.struct("_label", "_grow", "f")).alias("s")).select("doc_id", "s.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    remove(docs.sparkSession, rows)
+    if not got:
+        return None
+    x = np.array([r["f"] for r in got], float)
+    return ToxicList(words, fit_decision_list(x, np.array([r["_label"] == 1 for r in got], bool), grow=np.array([r["_grow"] for r in got], bool)))
+
+
+def judge_documents(docs: DataFrame, rules: list[Rule], toxic: ToxicList | None = None) -> DataFrame:
     """Adds the base counts, ``base_failed`` and ``kept`` to every row; columns of ``docs`` with those
-    names are replaced."""
-    out = text_counts(docs.drop(*COUNTS, "base_failed", "kept"))
+    names are replaced. Rows that the toxic list marks are not kept either."""
+    words = toxic.words if toxic else []
+    out = text_counts(docs.drop(*COUNTS, "base_failed", "kept"), words=words)
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    out = out.withColumn("kept", ~F.col("base_failed") & decision_column(rules))
-    return out.drop("_lines", "_distinct", "_digits", "_upper", "_letters")
+    out = out.withColumn("kept", ~F.col("base_failed") & decision_column(rules) & decision_column(toxic.rules if toxic else []))
+    return out.drop("_lines", "_distinct", "_digits", "_upper", "_letters", "_toxic")
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
@@ -197,5 +246,5 @@ def learn_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rules = learn_rules(docs, table(spark, sf_dir, "labels"))
-    return judge_documents(docs, rules).select("doc_id", *COUNTS, "base_failed", "kept")
+    labels = table(spark, sf_dir, "labels")
+    return judge_documents(docs, learn_rules(docs, labels), learn_toxic(docs, labels)).select("doc_id", *COUNTS, "base_failed", "kept")

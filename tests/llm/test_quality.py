@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from spindrift.llm.quality import COUNTS, decision_column, fit_decision_list, judge_documents, learn_rules, text_counts
+from spindrift.llm.quality import COUNTS, decision_column, fit_decision_list, judge_documents, learn_rules, learn_toxic, text_counts
 
 WS = b" \t\n\x0b\f\r"
 
@@ -56,3 +56,20 @@ def test_learns_on_the_test_tables(spark):
     good = [r["kept"] for r in held if r["quality"] == 1]
     bad = [r["kept"] for r in held if r["quality"] == 0]
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.1
+
+
+def test_toxic_documents_are_rejected(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    learned = labels.where("doc_id % 4 <> 0")
+    toxic = learn_toxic(docs, learned)
+    held = judge_documents(docs, [], toxic).join(labels.where("doc_id % 4 = 0"), "doc_id").where("not base_failed").select("kept", "toxic").collect()
+    good, bad = ([r["kept"] for r in held if r["toxic"] == k] for k in (0, 1))
+    # of 109 held-out toxic documents 13 pass (in words that too few labelled ones hold)
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.15
+
+
+def test_toxic_words_are_whole_words(make_docs):
+    df = text_counts(make_docs(["Bad, BADLY\nbad.worse -bad", None, "été"]), words=["bad", "worse", "été", "ét"])
+    assert {r["doc_id"]: r["_toxic"] for r in df.collect()} == {0: 4, 1: 0, 2: 1}
+    assert learn_toxic(make_docs(["a"]), make_docs([]).selectExpr("doc_id", "1 as toxic")) is None
