@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,9 @@ EPSILON = 1e-9
 PARTS = ("p_gold", "p_wrong", "p_other")
 #: Values a group may hold for the exact bootstrap; larger groups take the Poisson one.
 EXACT_GROUP = 2_000_000
+#: Cumulated probabilities of Poisson(1) in units of 2 ** -53; rows whose weights are drawn at once.
+_POISSON = np.array([int(2**53 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(18)], np.uint64)
+_ROWS = 2_000
 
 
 def finite(x: Column) -> Column:
@@ -108,12 +112,21 @@ def bootstrap_intervals(long: DataFrame, keys: list[str], value: str = "value",
         return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=True)}, "mean": [mean], "ci_low": pa.array([low], pa.float64()), "ci_high": pa.array([high], pa.float64()), "n": [n]})
 
     exact = sized.where(F.col("_n") <= EXACT_GROUP).select(*keys, value, order).groupBy(*keys).applyInArrow(run, f"{fields}, mean double, ci_low double, ci_high double, n long")
-    return exact.unionByName(poisson_intervals(sized.where(F.col("_n") > EXACT_GROUP), keys, value, order, resamples))
+    return exact.unionByName(poisson_intervals(sized.where(F.col("_n") > EXACT_GROUP), keys, value, order, resamples, seed))
 
 
-def poisson_intervals(long: DataFrame, keys: list[str], value: str, order: str, resamples: int = 1000) -> DataFrame:
-    """The same intervals with Poisson weights instead of draws: each row is weighted by itself, so partial
-    sums are all that moves. For groups too large to gather."""
+def poisson_weights(rows: np.ndarray, resamples: int) -> np.ndarray:
+    """Poisson(1) weights (resample, row) from 64 random bits of each row, whatever rows come with it."""
+    x = rows.view(np.uint64)[None, :] + np.arange(1, resamples + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(_POISSON, (x ^ x >> np.uint64(31)) >> np.uint64(11), side="right")
+
+
+def poisson_intervals(long: DataFrame, keys: list[str], value: str, order: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """The same intervals with Poisson weights instead of draws: each row is weighted by itself, from the
+    seed, the resample and its ``order``, so partial sums are all that moves and partitions change nothing
+    but rounding. For groups too large to gather."""
     fields = ", ".join(f"`{k}` {long.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,12 +136,14 @@ def poisson_intervals(long: DataFrame, keys: list[str], value: str, order: str,
             for i, key in enumerate(zip(*(columns[k] for k in keys), strict=True)):
                 groups.setdefault(key, []).append(i)
             for key, at in groups.items():
-                values = np.array([columns[value][i] for i in at])
-                seed = np.frombuffer(repr((key, [columns[order][i] for i in at])).encode(), np.uint8)
-                weights = np.random.default_rng(seed).poisson(1.0, (resamples, len(at)))
-                yield pa.record_batch([*(pa.array([key[j]], b.schema.field(k).type) for j, k in enumerate(keys)), pa.array([(weights @ values).tolist()]), pa.array([weights.sum(1).astype(float).tolist()]), pa.array([float(values.sum())]), pa.array([len(at)], pa.int64())], [*keys, "s", "w", "total", "n"])
-
-    parts = long.select(*keys, value, order).mapInArrow(run, f"{fields}, s array<double>, w array<double>, total double, n long")
+                for first in range(0, len(at), _ROWS):
+                    some = at[first : first + _ROWS]
+                    values = np.array([columns[value][i] for i in some])
+                    weights = poisson_weights(np.array([columns["_bits"][i] for i in some], np.int64), resamples)
+                    yield pa.record_batch([*(pa.array([key[j]], b.schema.field(k).type) for j, k in enumerate(keys)), pa.array([(weights @ values).tolist()]), pa.array([weights.sum(1).astype(float).tolist()]), pa.array([float(values.sum())]), pa.array([len(some)], pa.int64())], [*keys, "s", "w", "total", "n"])
+
+    bits = F.xxhash64(F.lit(seed), order).alias("_bits")
+    parts = long.select(*keys, value, bits).mapInArrow(run, f"{fields}, s array<double>, w array<double>, total double, n long")
     spread = parts.select(*keys, "total", "n", F.posexplode(F.arrays_zip("s", "w")).alias("at", "z"))
     sums = spread.groupBy(*keys, "at").agg((F.sum("z.s") / F.sum("z.w")).alias("m"), (F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
     return sums.groupBy(*keys).agg(F.first("mean").alias("mean"), F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"), F.first("n").alias("n"))

@@ -103,6 +103,18 @@ def test_bootstrap(spark):
     assert abs(rough["mean"] - mean) < 1e-9 and abs(rough["ci_low"] - low) < 0.2 and rough["n"] == 30
 
 
+def test_poisson_intervals_do_not_depend_on_partitions(spark):
+    df = spark.range(5_000).select(F.lit("a").alias("g"), F.col("id").alias("qid"), (F.hash("id") % 100).cast("double").alias("value"))
+    one, many = (distribution.poisson_intervals(x, ["g"], "value", "qid").first() for x in (df.coalesce(1), df.repartition(7)))
+    assert all(abs(one[c] - many[c]) < 1e-9 for c in ("mean", "ci_low", "ci_high")) and one["n"] == many["n"] == 5_000
+    values = np.array([r["value"] for r in df.orderBy("qid").collect()])
+    _, low, high, _ = distribution.percentile_interval(values)
+    width = high - low
+    assert abs(one["ci_low"] - low) < 0.1 * width and abs(one["ci_high"] - high) < 0.1 * width
+    weights = distribution.poisson_weights(np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 2_000), 500)
+    assert abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.01
+
+
 def test_sampling_exact():
     pool = {v: [f"q{i}" for i in range(20 + k)] for k, v in enumerate(sampling.SAMPLING_ORDER)}
     strategy = "_".join(f"{v}_10" for v in sampling.SAMPLING_ORDER)
