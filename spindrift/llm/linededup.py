@@ -1,13 +1,16 @@
 """Line dedup by winnowing over line hashes, with DataFrame functions only.
 
-A document is its lines that hold a word. From every line starts one window: the fewest lines that hold
-``min_words`` words together. The smallest line hash in a window is its fingerprint, so any run of at
-least that many words which two places share gives both the same fingerprints (a run holds its own
-first window whole). Equal fingerprints whose windows agree as a whole are joined to their first place
-in (document, line) order; the match is then extended both ways, line by line, and the later run goes.
-
-Lines before a matched window that agree too start matched windows of their own, and those after the
-last window of a match hold fewer than ``min_words`` words, so extending reads a bounded slice.
+A document is its lines that hold a word. A window is the fewest lines that hold ``min_words`` words
+together, counted on from its first line or back from its last one. Each window selects the line of its
+smallest hash; the selected positions, each once, are the document's fingerprints. Any run of at least that
+many words which two places share holds a window whole, so both places select the same line there.
+
+Selected positions are joined on their fingerprint: those of one place alone go, with their windows. Around
+the others the windows are compared as a whole, each with the first place that holds it, so a hot line makes
+no pairs of places. A run that an earlier place holds too is the union of its windows counted on and counted
+back: a line of it lies in the window that starts there or, where that would end beyond the run, in the one
+that ends with the run. So matches reach both ways to the ends of every run, whichever earlier places hold
+them, and no place has to be compared with another line by line.
 """
 
 from __future__ import annotations
@@ -20,78 +23,76 @@ from spindrift.llm.common import SPACE, SPACES, computed, table, written
 MIN_WORDS = 50
 
 
-def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``id``, ``k`` (hash of the text: tells rows of one id apart), hashes ``h``
-    and word counts ``n`` of its lines with a word, white space at their ends aside."""
+def line_table(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document with a window: ``id``, ``k`` (hash of the text: tells rows of one id apart), hashes
+    ``h`` of its lines with a word (white space at their ends aside), and the lines of the window counted on
+    (``f``) and counted back (``b``) from each, 0 where the text ends before ``min_words`` words."""
     df = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(text).alias("k"), _lines(text).alias("l"))
     trimmed = F.transform("l", lambda x: F.trim(x, F.lit(SPACES)))
     counted = F.transform("l", lambda x: F.regexp_count(x, F.lit("[^" + SPACE[1:] + "+")))
-    return df.select("id", "k", F.transform(trimmed, lambda x: F.xxhash64(x)).alias("h"), counted.alias("n")).where(F.size("h") > 0)
+    df = df.select("id", "k", F.transform(trimmed, lambda x: F.xxhash64(x)).alias("h"), counted.alias("n"))
+    df = df.where(F.expr(f"aggregate(n, 0L, (s, x) -> s + x) >= {min_words}"))
+
+    def reach(n: str) -> str:
+        def within(most: int) -> str:
+            return f"aggregate(slice({n}, i, {most}), named_struct('s', 0, 'm', 0), (a, x) -> if(a.s >= {min_words}, a, named_struct('s', a.s + x, 'm', a.m + 1)), a -> if(a.s >= {min_words}, a.m, 0))"
+
+        short = min(8, min_words)
+        return f"transform(sequence(1, size(h)), i -> if({within(short)} > 0 OR i + {short} > size(h) + 1, {within(short)}, {within(min_words)}))"
+
+    df = df.withColumn("r", F.reverse("n"))
+    return df.select("id", "k", "h", F.expr(reach("n")).alias("f"), F.expr(f"reverse({reach('r')})").alias("b"))
 
 
 def _lines(text: str):
     return F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0)
 
 
-def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``id, k, i`` (first line, from 1), ``m`` (lines), ``fp`` (smallest line hash), ``g`` (window hash)."""
-    def reach(most: int) -> str:
-        return f"aggregate(slice(n, i, {most}), named_struct('s', 0, 'm', 0), (a, x) -> if(a.s >= {min_words}, a, named_struct('s', a.s + x, 'm', a.m + 1)), a -> if(a.s >= {min_words}, a.m, 0))"
-
-    short = min(8, min_words)
-    sizes = f"transform(sequence(1, size(h)), i -> named_struct('i', i, 'm', if({reach(short)} > 0 OR i + {short} > size(h) + 1, {reach(short)}, {reach(min_words)})))"
-    df = lines.select("id", "k", "h", F.expr(f"filter({sizes}, s -> s.m > 0)").alias("s"))
-    made = "transform(s, x -> named_struct('i', x.i, 'm', x.m, 'fp', array_min(slice(h, x.i, x.m)), 'g', xxhash64(slice(h, x.i, x.m))))"
-    return df.select("id", "k", F.expr(f"inline({made})"))
+def windows(lines: DataFrame) -> DataFrame:
+    """``id, k, i`` (first line, from 1), ``m`` (lines), ``fp`` (smallest line hash), ``at`` (the line that has
+    it, the first of equals) and ``g`` (hash of the window)."""
+    on = "filter(transform(f, (m, j) -> named_struct('i', j + 1, 'm', m)), s -> s.m > 0)"
+    back = "filter(transform(b, (m, j) -> named_struct('i', j + 2 - m, 'm', m)), s -> s.m > 0 AND f[s.i - 1] <> s.m)"
+    df = lines.select("id", "k", "h", F.expr(f"concat({on}, {back})").alias("s"))
+    least = "transform(s, x -> named_struct('i', x.i, 'm', x.m, 'fp', array_min(slice(h, x.i, x.m)), 'g', xxhash64(slice(h, x.i, x.m))))"
+    df = df.select("id", "k", "h", F.expr(f"inline({least})"))
+    return df.select("id", "k", "i", "m", "fp", F.expr("cast(array_position(slice(h, i, m), fp) as int) + i - 1").alias("at"), "g")
 
 
-def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(lines: DataFrame) -> DataFrame:
     """Line ranges to delete: ``id, k, runs`` (array of (from, to), disjoint, lines counted from 1)."""
-    lines = written(lines, "lines")
-    found = written(windows(lines, min_words), "windows")
+    found = written(windows(lines), "windows")
+    chosen = F.struct("id", "k", "at")
+    fingerprints = found.groupBy("fp").agg(F.min(chosen).alias("p"), F.max(chosen).alias("q")).where("p < q").select("fp")
+    found = written(found.join(fingerprints, "fp").drop("at"), "shared")
     place = F.struct("id", "k", "i")
     first = found.groupBy("fp", "g").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p < q").select("fp", "g", "p")
     hits = found.join(first, ["fp", "g"]).where(F.struct("id", "k", "i") > F.col("p"))
-    # a row of one id is not judged against another row of that id with other text
-    hits = hits.where(~F.col("id").eqNullSafe(F.col("p.id")) | (F.col("k") == F.col("p.k")))
-    hits = hits.select("id", "k", "i", "m", F.col("p.id").alias("id0"), F.col("p.k").alias("k0"), (F.col("i") - F.col("p.i")).alias("d"))
-    hits = written(hits, "hits")
-    # where the next window follows the same match the extension is that window's
-    own = Window.partitionBy("id", "k").orderBy("i")
-    same = F.lead("id0").over(own).eqNullSafe(F.col("id0")) & F.lead("k0").over(own).eqNullSafe(F.col("k0")) & F.lead("d").over(own).eqNullSafe(F.col("d")) & F.lead("i").over(own).eqNullSafe(F.col("i") + 1)
-    ends = hits.withColumn("same", same).where("not same").drop("same")
-    here = lines.select("id", "k", F.col("h").alias("h1"))
-    there = lines.select(F.col("id").alias("id0"), F.col("k").alias("k0"), F.col("h").alias("h0"))
-    ends = ends.join(here.dropDuplicates(["id", "k"]).withColumnsRenamed({"id": "a", "k": "b"}), F.col("id").eqNullSafe(F.col("a")) & (F.col("k") == F.col("b"))).drop("a", "b")
-    ends = ends.join(there.dropDuplicates(["id0", "k0"]).withColumnsRenamed({"id0": "a", "k0": "b"}), F.col("id0").eqNullSafe(F.col("a")) & (F.col("k0") == F.col("b")))
-    agree = "zip_with({}, {}, (x, y) -> coalesce(x = y, false))"
-    right = agree.format(f"slice(h1, i + m, {min_words})", f"slice(h0, i + m - d, {min_words})")
-    left = agree.format(f"reverse(slice(h1, greatest(1, i - {min_words}), least({min_words}, i - 1)))", f"reverse(slice(h0, greatest(1, i - d - {min_words}), least({min_words}, i - d - 1)))")
-    ends = ends.withColumns({"right": F.expr(right), "left": F.expr(left)})
-    run = "if(array_position({0}, false) = 0, size({0}), cast(array_position({0}, false) as int) - 1)"
-    spans = hits.select("id", "k", F.col("i").alias("a"), (F.col("i") + F.col("m") - 1).alias("b")).unionByName(
-        ends.select("id", "k", F.expr(f"i - {run.format('left')}").alias("a"), F.expr(f"i + m - 1 + {run.format('right')}").alias("b")))
+    spans = hits.select("id", "k", F.col("i").alias("a"), (F.col("i") + F.col("m") - 1).alias("b"))
     # overlapping and touching spans become one
-    reached = F.max("b").over(Window.partitionBy("id", "k").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    own = Window.partitionBy("id", "k").orderBy("a", "b")
+    reached = F.max("b").over(own.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(F.col("a") <= reached + 1, 0).otherwise(1))
-    spans = spans.withColumn("r", F.sum("new").over(Window.partitionBy("id", "k").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.withColumn("r", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     merged = spans.groupBy("id", "k", "r").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     return merged.groupBy("id", "k").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Delete, from every document, runs of lines of at least ``min_words`` words that an earlier document
-    or an earlier place of the same document holds too.
-
-    Earlier means a smaller key, then a smaller line number. Adds ``n_lines``, ``n_removed`` (lines with
-    a word) and ``n_removed_words``; columns of those names are replaced, others carried. A document that
-    loses lines also loses its lines without a word; others keep their text as it is. A document whose
-    lines all go is left with an empty text. Null text stays null and has no lines. Rows with the same
-    key and text are one document; rows with the same key and other text are not compared.
+    """Delete, from every document, the lines of all runs of at least ``min_words`` words that an earlier
+    document or an earlier place of the same document holds too.
+
+    Earlier means a smaller key, then a smaller hash of the text, then a smaller line number. Adds ``n_lines``,
+    ``n_removed`` (lines with a word) and ``n_removed_words``; columns of those names are replaced, others
+    carried. A document that loses lines also loses its lines without a word; others keep their text as it
+    is. A document whose lines all go is left with an empty text. Null text stays null and has no lines.
+    Rows with the same key and text are one document; rows with the same key and other text are two. A null
+    key comes first. A text of any length is one row, with one step of at most ``min_words`` lines a line.
+    An empty table stays empty.
     """
     docs = docs.drop("n_lines", "n_removed", "n_removed_words")
     # the runs grow with the corpus: always a shuffle join, so that every size runs the same plan
-    runs = written(repeated_runs(line_table(docs, key, text), min_words), "runs").hint("merge")
+    runs = written(repeated_runs(line_table(docs, min_words, key, text)), "runs").hint("merge")
     out = docs.withColumn("_k", F.xxhash64(text)).join(runs.withColumnsRenamed({"id": "_id", "k": "_k0"}), F.col(key).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_k0")), "left")
     out = out.withColumn("_l", F.coalesce(_lines(text), F.array().cast("array<string>")))
     kept = F.expr("filter(_l, (x, j) -> NOT exists(runs, r -> j + 1 BETWEEN r.a AND r.b))")
