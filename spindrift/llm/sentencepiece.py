@@ -6,13 +6,17 @@ are concatenated and indexed by a suffix array, sorted as deep as the longest pi
 found in it by binary search, which gives its range of occurrences; all occurrences, sorted by
 position, are the edges (start, length) -> piece of the chunks' lattices. Relaxation then follows the
 model's own order: in every chunk at once the best-scored edge that spans exactly two neighbouring
-symbols is taken (the leftmost of equals), its inner boundary goes, and so on until no edge is left.
+symbols is taken (the leftmost of equals), its inner boundary goes, and so on until no edge is left. A long
+chunk (a text without blanks) takes its edges one by one from a heap instead, so its cost is its length
+times the logarithm of that.
 Ids equal those of the ``sentencepiece`` library; tests hold them against it.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -24,6 +28,10 @@ from spindrift.llm.common import table
 MARK = "▁"
 #: Characters of distinct chunks that one suffix array indexes, and texts read for it.
 INDEXED, READ = 1 << 20, 1 << 23
+#: Characters of known chunks after which the table of them starts afresh.
+REMEMBERED = 1 << 24
+#: Characters from which a chunk is relaxed by a heap instead of in rounds with the others.
+LONG = 100
 
 
 def read_model(path: str) -> tuple[list[tuple[str, float, int]], dict]:
@@ -85,6 +93,7 @@ class SuffixPieces:
     def forget(self) -> None:
         """The known chunks: number of each, and where the ids of each number stand in one array."""
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.ends, self.known_ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     # -- the index ---------------------------------------------------------------------------
@@ -175,8 +184,14 @@ class SuffixPieces:
         piece = np.full(n, -1, np.int64)  # row of the piece of the symbol that starts here; -1: a single character
         alive = np.ones(n, bool)
         alive[ends] = False
-        at = np.flatnonzero(alive)  # symbols still in play, with their chunk
-        chunk = np.repeat(np.arange(len(chunks)), sizes)
+        long = np.flatnonzero(sizes >= LONG)
+        short = np.repeat(sizes < LONG, sizes + 1)
+        if len(long):
+            first = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(start, minlength=n))])
+            for k in long.tolist():
+                self.relax(slot, row, first, int(ends[k] - sizes[k]), int(ends[k]), piece, alive)
+        chunk = np.repeat(np.arange(len(chunks)), np.where(sizes < LONG, sizes, 0))
+        at = np.flatnonzero(short & alive)  # symbols still in play, with their chunk
         size = np.ones(len(at), np.int64)
         best = np.full(len(at), none)  # rank of the pair (symbol, next symbol)
         made = np.full(len(at), -1, np.int64)
@@ -231,6 +246,49 @@ class SuffixPieces:
             ids, chunk = out, np.repeat(chunk, n_ids)
         return ids.astype(np.int32), np.bincount(chunk, minlength=len(chunks))
 
+    def relax(self, slot: np.ndarray, row: np.ndarray, first: np.ndarray, begin: int, end: int, piece: np.ndarray, alive: np.ndarray) -> None:
+        """Take the edges of one chunk [begin, end) best first, the leftmost of equals; marks ``piece`` and
+        ``alive``. ``first`` says where the edges of each position begin in ``slot`` and ``row``."""
+        lo, hi = int(first[begin]), int(first[end])
+        width = self.depth + 1
+        rows = row[lo:hi]
+        size = array("i", (slot[lo:hi] % width).astype(np.int32).tobytes())
+        rank, rows = array("q", self.rank[rows].tobytes()), array("q", rows.astype(np.int64).tobytes())
+        at = array("q", (first[begin : end + 1] - lo).tobytes())
+        n = end - begin
+        length = array("i", [1]) * n  # of the symbol that starts here, 0 inside one
+        before = array("i", range(-1, n - 1))
+        heap: list[tuple[int, int, int, int]] = []  # rank, start, size of the span, edge
+
+        def offer(a: int) -> tuple[int, int, int, int] | None:
+            b = a + length[a]
+            if b >= n:
+                return None
+            want = length[a] + length[b]
+            for e in range(at[a], at[a + 1]):
+                if size[e] >= want:
+                    return (rank[e], a, want, e) if size[e] == want else None
+            return None
+
+        heap = [x for x in map(offer, range(n)) if x]
+        heapify(heap)
+        made = {}
+        while heap:
+            _, a, want, e = heappop(heap)
+            if not length[a] or (b := a + length[a]) >= n or length[a] + length[b] != want:
+                continue  # one of the two symbols is no more
+            length[a], length[b] = want, 0
+            made[a] = e
+            if (c := a + want) < n:
+                before[c] = a
+            if x := offer(a):
+                heappush(heap, x)
+            if (p := before[a]) >= 0 and (x := offer(p)):
+                heappush(heap, x)
+        alive[begin:end] = np.frombuffer(length, np.int32) > 0
+        for a, e in made.items():
+            piece[begin + a] = rows[e]
+
     def chunks(self, text: str) -> list[str]:
         if not text:
             return []
@@ -238,11 +296,12 @@ class SuffixPieces:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text begins (one more than texts)."""
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or self.chars > REMEMBERED:
             self.forget()
         known, cut = self.known, [self.chunks(t) for t in texts]
         flat = list(chain.from_iterable(cut))
         new = list(set(flat).difference(known))
+        self.chars += sum(map(len, new))
         part, chars, made, sizes = [], 0, [self.known_ids], []
         for i, c in enumerate(new):
             part.append(c)
@@ -288,8 +347,9 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", check: bool = T
     """Adds ``ids`` (array of int), ``n_ids`` and, with ``check``, ``round_trip`` to every row: whether
     decoding the ids gives the text back (a text that itself holds the word mark does not).
 
-    Null and empty texts have no ids and come back as the empty text. Columns of the new names are
-    replaced; all others are carried.
+    Null and empty texts have no ids and come back as the empty text; repeated rows have their ids each; an
+    empty table stays empty. A text of any length is encoded whole, without blanks too. Columns of the new
+    names are replaced; all others are carried.
     """
     docs = docs.drop("ids", "n_ids", "round_trip")
     at = docs.columns.index(text)

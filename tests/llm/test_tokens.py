@@ -1,3 +1,7 @@
+import base64
+import random
+import time
+
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -64,6 +68,17 @@ def test_encode_and_decode(spark, make_docs, library):
     assert encode_texts(docs.limit(0), SP).count() == 0
 
 
+def test_long_texts_without_blanks(model, library):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("etaoinshrdlu日é") for _ in range(n)) for n in (98, 99, 100, 101, 20_000)]
+    texts += ["ab" * 50_000, "-" * 30_000 + "=" * 3_000, base64.b64encode(rng.randbytes(750_000)).decode()]
+    began = time.time()
+    ids, ends = model.encode(texts)
+    assert time.time() - began < 30
+    for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True):
+        assert ids[a:b].tolist() == library[1].encode(t)
+
+
 def test_other_models_are_refused():
     with pytest.raises(ValueError):
         PieceCounter(public_tokenizers.path("word_bpe_49k.json"))
