@@ -10,6 +10,7 @@ All of it is exact: filters drop only what the lemma excludes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spindrift.llm.common import table
+from spindrift.llm.common import table, written
 
 Q = 8
 #: Edits that a match may hold, as a share of the item's characters.
 EDIT_SHARE = 0.08
 #: Characters of benchmark items searched for in one pass over the documents.
 ITEM_BLOCK = 4 << 20
+#: Pairs of equal q-grams made at once; places of a q-gram in one item above which they are one stretch; more
+#: bands than the longest text has; diagonals that are aligned together at most.
+PAIRS, OFTEN, BANDS, WIDE = 1 << 20, 4, 1 << 36, 4096
 
 
 def normalised(text: str | None) -> str:
@@ -82,6 +86,49 @@ def aligned(item: np.ndarray, place: np.ndarray, low: int, high: int, most: int,
     return (int(row[best]), int(best + low + len(item))) if row[best] <= most else None
 
 
+def slices(known: np.ndarray, code: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (place in ``code``, place in the sorted ``known``) of equal numbers, in slices of about ``most``."""
+    lo, hi = np.searchsorted(known, code, "left"), np.searchsorted(known, code, "right")
+    ends = np.cumsum(hi - lo)
+    begin = 0
+    while begin < len(code):
+        done = int(ends[begin - 1]) if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, done + most, "right")))
+        n = (hi - lo)[begin:stop]
+        if total := int(n.sum()):
+            here = np.repeat(np.arange(begin, stop), n)
+            yield here, np.repeat(lo[begin:stop] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
+        begin = stop
+
+
+class Table:
+    """Sums by key, merged whenever what is new outgrows what is held."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = self.new = 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append(self.summed(keys, n))
+        self.new += len(self.parts[-1][0])
+        if self.new > max(self.held, PAIRS):
+            self.done()
+
+    @staticmethod
+    def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], np.add.reduceat(n[order], first) if len(first) else n
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts = [self.summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
+        self.held, self.new = len(self.parts[0][0]), 0
+        return self.parts[0]
+
+
 class Items:
     """One block of benchmark items, ready to be searched for."""
 
@@ -98,13 +145,20 @@ class Items:
         self.sizes = sizes
         codes = [self.grams(self.folded(s)) for _, s, _ in self.items]
         code = np.concatenate(codes)
-        order = np.argsort(code, kind="stable")
-        self.code = code[order]
-        self.item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order]
-        self.offset = np.concatenate([np.arange(len(c)) for c in codes])[order]
-        self.bits = max(16, (len(code) * 64 - 1).bit_length())
+        item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        offset = np.concatenate([np.arange(len(c)) for c in codes])
+        order = np.lexsort((offset, item, code))
+        code, item, offset = code[order], item[order], offset[order]
+        self.bits = max(16, (len(code) * 16 - 1).bit_length())
         self.table = np.zeros(1 << self.bits, bool)
-        self.table[self.slot(self.code)] = True
+        self.table[self.slot(code)] = True
+        # q-grams that an item holds often (runs of one character) are kept as their first and last place
+        start = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (item[1:] != item[:-1])]))
+        n = np.diff(np.append(start, len(code)))
+        often = start[n > OFTEN]
+        self.often, self.often_item, self.often_first, self.often_last = code[often], item[often], offset[often], offset[often + n[n > OFTEN] - 1]
+        few = np.repeat(n <= OFTEN, n)
+        self.code, self.item, self.offset = code[few], item[few], offset[few]
         # every match holds a stretch of this many positions with this many marked ones
         self.stretch = int((sizes + self.edits).min())
         self.least = int(min(-(-b // -(-(n + e) // self.stretch)) for b, n, e in zip(self.bound, sizes, self.edits, strict=True)))
@@ -125,7 +179,7 @@ class Items:
 
     def candidates(self, text: str) -> list[tuple[int, int, int]]:
         """(item, first diagonal, last diagonal) of bands that reach the item's bound, in a text that may
-        hold many documents."""
+        hold many documents. Pairs of text and item positions are made in slices of ``PAIRS``."""
         code = self.grams(self.folded(text))
         marked = self.table[self.slot(code)]
         count = np.concatenate([[0], np.cumsum(marked)])
@@ -139,24 +193,62 @@ class Items:
         np.add.at(edge, np.maximum(dense - room, 0), 1)
         np.add.at(edge, np.minimum(dense + width + room, len(marked)), -1)
         at = np.flatnonzero(marked & (np.cumsum(edge[:-1]) > 0))
-        lo, hi = np.searchsorted(self.code, code[at], "left"), np.searchsorted(self.code, code[at], "right")
-        n = hi - lo
-        row = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item, diagonal = self.item[row], np.repeat(at, n) - self.offset[row]
-        step = self.edits[item] + 1
-        band = (diagonal + room) // step  # not negative
-        key = np.concatenate([item * (1 << 40) + band, item * (1 << 40) + band - 1])
-        key, counts = np.unique(key, return_counts=True)
-        item, band = key >> 40, key & ((1 << 40) - 1)
-        good = counts >= self.bound[item]
-        item, band = item[good], band[good]
+        shift = room + int(self.edits.max()) + 1  # so that no band is below 1
+        table = Table()
+        for here, row in slices(self.code, code[at], PAIRS):
+            item = self.item[row]
+            key = item * BANDS + (at[here] - self.offset[row] + shift) // (self.edits[item] + 1)
+            table.add(np.concatenate([key, key - 1]), np.ones(2 * len(key), np.int64))
+        keys, counts = table.done()
+        found = []
+        for k, (first, last, n) in self.spans(code[at], at, shift).items():
+            lo, hi = np.searchsorted(keys, [k * BANDS, (k + 1) * BANDS])
+            band = keys[lo:hi] - k * BANDS
+            where = np.searchsorted(first, band, "right") - 1
+            inside = (where >= 0) & (band <= last[np.maximum(where, 0)])
+            counts[lo:hi] += np.where(inside, n[np.maximum(where, 0)], 0)
+            enough = n >= self.bound[k]
+            lengths = (last - first + 1)[enough]
+            found.append(k * BANDS + np.repeat(first[enough] - np.concatenate([[0], np.cumsum(lengths)])[:-1], lengths) + np.arange(lengths.sum()))
+        good = np.unique(np.concatenate([keys[counts >= self.bound[keys // BANDS]], *found]))
+        # neighbouring bands of an item are verified together
+        item, band = good // BANDS, good % BANDS
         step = self.edits[item] + 1
-        first = band * step - room
-        return list(zip(item.tolist(), first.tolist(), (first + 2 * step - 1).tolist(), strict=True))
+        begin = np.concatenate([[True], (item[1:] != item[:-1]) | (band[1:] > band[:-1] + 2)]) if len(good) else np.zeros(0, bool)
+        first, last = band * step - shift, (band + 2) * step - shift - 1
+        out = []
+        for i, a, b, new in zip(item.tolist(), first.tolist(), last.tolist(), begin.tolist(), strict=True):
+            if new or b - out[-1][1] > WIDE:
+                out.append((i, a, b))
+            else:
+                out[-1] = (i, out[-1][1], b)
+        return out
+
+    def spans(self, code: np.ndarray, at: np.ndarray, shift: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each item with repeated q-grams that the text has: bands (first, last) and how many positions
+        may share such a q-gram there. A position counts in every band between those of the q-gram's first
+        and last place in the item, which is never too little and takes no pair for each place."""
+        changes: dict[int, Table] = {}
+        for here, row in slices(self.often, code, PAIRS):
+            order = np.argsort(self.often_item[row], kind="stable")
+            here, row = here[order], row[order]
+            item = self.often_item[row]
+            cuts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1], [True]]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                k, p = int(item[a]), at[here[a:b]] + shift
+                step = int(self.edits[k]) + 1
+                first, last = (p - self.often_last[row[a:b]]) // step - 1, (p - self.often_first[row[a:b]]) // step
+                changes.setdefault(k, Table()).add(np.concatenate([first, last + 1]), np.repeat([1, -1], b - a))
+        out = {}
+        for k, table in changes.items():
+            band, change = table.done()
+            out[k] = (band[:-1], band[1:] - 1, np.cumsum(change)[:-1])
+        return out
 
     def verified(self, text: str, item: int, first: int, last: int) -> tuple[int, int, int] | None:
         """(edits, start, stop) of the best match of an item that begins near these diagonals."""
         _, s, most = self.items[item]
+        first, last = max(first, -most), min(last, len(text))
         begin = max(0, first - most)
         part = text[begin : last + len(s) + most + 1]
         if (at := part.find(s)) >= 0:
@@ -203,50 +295,73 @@ def item_blocks(benchmark: DataFrame, key: str, text: str, most: int = ITEM_BLOC
         yield part
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE) -> DataFrame:
+_HELD: dict[str, Items] = {}
+
+
+def worker_items(name: str, block: list[tuple[int, str]], share: float) -> Items:
+    """The items of a block, made once in each Python worker, which holds one block at a time."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Items(block, share)
+    return _HELD[name]
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE, most: int = ITEM_BLOCK) -> DataFrame:
     """One row for each document and benchmark item found in it: keys, ``edits`` and the span ``start`` to
     ``stop`` (code points of the text) of the best match, the first of equals.
 
     Case and runs of white space do not count. Null texts and items match nothing, nor do empty ones;
     items too short for a q-gram must stand as they are. Equal items are each found. Repeated rows of
-    documents each give their rows. Several passes are made where the items are many.
+    documents each give their rows. Other columns are not carried. Texts of any length are searched whole;
+    a q-gram that an item holds often takes no more than its first and last place. Items beyond ``most``
+    characters are searched for in further passes, each written before the next one's items are gathered.
     """
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     schema = f"`{key}` {kind}, `{item_key}` {item_kind}, edits int, start long, stop long"
     item_type = to_arrow_type(benchmark.schema[item_key].dataType)
-    out = None
-    for block in item_blocks(benchmark, item_key, item_text):
-
-        def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
+    out, found = None, None
+    for block in item_blocks(benchmark, item_key, item_text, most):
+        if found is not None:
+            found = written(found, "found")
+            out = found if out is None else out.unionByName(found)
+        name, items = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block)  # at most about ``most`` characters
+
+        def run(batches: Iterator[pa.RecordBatch], name: str = name, items=items) -> Iterator[pa.RecordBatch]:
             from spindrift.llm.tokencount import blocks
 
-            items = Items(block, share)
+            known = worker_items(name, items.value, share)
             for b in batches:
                 keys, done = b.column(0), 0
                 for part in blocks(b.column(1).to_pylist()):
-                    rows = [(done + k, i, *x) for k, found in enumerate(items.search([normalised(t) for t in part])) for i, x in sorted(found.items())]
+                    rows = [(done + k, i, *x) for k, found in enumerate(known.search([normalised(t) for t in part])) for i, x in sorted(found.items())]
                     if rows:
                         spans = [original_span(part[r[0] - done], r[3], r[4]) for r in rows]
-                        yield pa.record_batch([keys.take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], item_type), pa.array([r[2] for r in rows], pa.int32()), pa.array([s for s, _ in spans], pa.int64()), pa.array([s for _, s in spans], pa.int64())], [key, item_key, "edits", "start", "stop"])
+                        columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), item_type, pa.int32()))]
+                        places = [pa.array(x, pa.int64()) for x in zip(*spans)]
+                        yield pa.record_batch([keys.take(columns[0]), *columns[1:], *places], [key, item_key, "edits", "start", "stop"])
                     done += len(part)
 
         found = docs.select(key, text).mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    return found if out is None else out.unionByName(found)
 
 
-def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE) -> DataFrame:
+def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE, most: int = ITEM_BLOCK) -> DataFrame:
     """The rows of ``docs``, all columns, in whose text no benchmark item is found. Each row is judged where
-    it is read, so nothing is joined or shuffled."""
+    it is read, so nothing is joined or shuffled. Nulls, empty texts and items: as in :func:`find_items`."""
     at = docs.columns.index(text)
-    for block in item_blocks(benchmark, item_key, item_text):
+    for n, block in enumerate(item_blocks(benchmark, item_key, item_text, most)):
+        if n:
+            docs = written(docs, "clean")
+        name, items = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block)  # at most about ``most`` characters
 
-        def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], name: str = name, items=items) -> Iterator[pa.RecordBatch]:
             from spindrift.llm.tokencount import blocks
 
-            items = Items(block, share)
+            known = worker_items(name, items.value, share)
             for b in batches:
-                clean = [not found for part in blocks(b.column(at).to_pylist()) for found in items.search([normalised(t) for t in part])]
+                clean = [not found for part in blocks(b.column(at).to_pylist()) for found in known.search([normalised(t) for t in part])]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

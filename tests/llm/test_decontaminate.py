@@ -39,6 +39,46 @@ def test_equals_brute_force():
                 assert n == e == edits(s, t[a:b])
 
 
+def test_repeated_characters_equal_brute_force():
+    rng = random.Random(5)
+    items = [(0, "-" * 60), (1, "ab" * 30), (2, "| a | " + "-" * 40 + " | b of the table |"), (3, "=" * 30 + " heading " + "=" * 30), (4, "x" * 9)]
+    texts = [normalised(t) for t in ["-" * 59, "-" * 200, "c " + "-" * 50 + "d" * 4 + "-" * 9, "ab" * 27 + "c" + "ba" * 30, "| a | " + "-" * 38 + " | b of the table |", "x" * 8, "= " * 50, "=" * 28 + " heading " + "=" * 500, ""]]
+    for _ in range(60):
+        s = list(rng.choice(items)[1] * rng.randint(1, 3))
+        for _ in range(rng.randint(0, 8)):
+            p = rng.randrange(len(s) + 1)
+            s[p : p + rng.randint(0, 1)] = rng.choice(["", "-", "z", "ab"])
+        texts.append(normalised("".join(s)))
+    for t, got in zip(texts, Items(items).search(texts), strict=True):
+        for i, s in items:
+            e = edits(s, t)
+            assert (i in got) == (e <= budget(len(s))), (s, t)
+            if i in got:
+                n, a, b = got[i]
+                assert n == e == edits(s, t[a:b])
+
+
+def test_repeated_characters_need_no_pairs():
+    import resource
+    import time
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    began = time.time()
+    found = Items([(1, "e" * 2_000), (2, "-" * 80 + " a heading of the table")]).search(["e" * 1_000_000, "-" * 300_000, "b"])
+    assert found[0] == {1: (0, 0, 2_000)} and found[1:] == [{}, {}]
+    assert time.time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
+def test_passes(spark, make_docs):
+    """Items in several passes give what one pass gives."""
+    items = [(i, f"{ITEM[i:]} item number {i} of them") for i in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = make_docs({i: f"so {t} it is" for i, t in items[::2]} | {10: "none of them"})
+    one, many = (sorted(map(tuple, find_items(docs, bench, most=n).collect())) for n in (1 << 20, 150))
+    assert one == many and len(one) >= 3
+    assert [r["doc_id"] for r in without_items(docs, bench, most=150).collect()] == [10]
+
+
 def test_spans_point_into_the_text():
     text = "  Über\n\n das  WORT é"
     n = normalised(text)
