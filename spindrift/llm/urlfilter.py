@@ -1,7 +1,8 @@
 """URL filters: host-suffix and path-prefix expressions joined with rules on short hash prefixes.
 
 Every distinct (host, path) is expanded into the expressions that a rule could be written as: each
-suffix of the host that starts at a label, with each prefix of the path whose length some rule has.
+suffix of the host with as many labels as some rule's host, with each prefix of the path whose length some
+rule's path has.
 Expressions meet rules by the first bytes of their SHA-256; a hit counts only if the whole digest
 agrees too. Of the rules that fit, the longest wins. DataFrame functions only.
 """
@@ -35,13 +36,16 @@ def expression_digest(host: Column, path: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    """The rules as literals of the plan."""
+    kind = "array<struct<host:string,path:string,verdict:string>>"
+    made = F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(r, ("host", "path", "verdict"), strict=True))) for r in rules))
+    return spark.range(1).select(F.inline(made.cast(kind)))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host itself and what is left after each dot; of many labels each suffix once."""
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def host_suffixes(host: Column, sizes: list[int]) -> Column:
+    """The suffixes of the host that have one of the given numbers of labels: no other can be a rule's."""
+    labels = F.length(host) - F.length(F.translate(host, ".", "")) + 1
+    return F.array_compact(F.array(*(F.when(labels >= n, F.substring_index(host, ".", -n)) for n in sizes)).cast("array<string>"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -51,16 +55,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     path have both verdicts, block wins. Rules of equal length: the longer host wins. URLs that no
     rule fits get ``default``. Input columns of the new names are replaced. An empty table of pages
     gives no rows, an empty table of rules the default for all; a rule with a null host or path never
-    fits.
+    fits. A URL of any length makes one expression for each pair of a rule's number of labels and length of
+    path, however many labels its host has. Rows that repeat are judged each.
     """
     host, path = url_parts(F.col(url))
     pages = pages.drop("rule", "verdict").withColumns({"host": host, "path": path})
     keyed = rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict")).select(
         F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("host_chars"), F.length("path").alias("path_chars"), expression_digest(F.col("host"), F.col("path")).alias("digest"))
-    lengths = sorted(r[0] for r in keyed.select("path_chars").distinct().collect())  # at most one for each length of a path
+    labels = (F.length("host") - F.length(F.translate("host", ".", "")) + 1).alias("labels")
+    shapes = rules.where("host is not null and path is not null").agg(F.collect_set(labels).alias("labels"), F.collect_set(F.length("path")).alias("chars")).first()
+    sizes, lengths = sorted(shapes["labels"]), sorted(shapes["chars"])  # one for each number of labels, one for each length of a path
     wanted = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
     hosts = pages.select("host", "path").distinct()
-    spread = hosts.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix"))
+    spread = hosts.select("host", "path", F.explode(host_suffixes(F.col("host"), sizes)).alias("suffix"))
     spread = spread.select("host", "path", "suffix", F.explode(F.filter(wanted, lambda n: n <= F.length("path"))).alias("n"))
     spread = spread.select("host", "path", expression_digest(F.col("suffix"), F.substring("path", F.lit(1), F.col("n"))).alias("own"))
     hit = spread.withColumn("short", F.substring("own", 1, SHORT)).join(keyed.withColumn("short", F.substring("digest", 1, SHORT)), "short").where("own = digest")

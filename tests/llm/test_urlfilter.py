@@ -37,3 +37,13 @@ def test_edge_tables(spark):
     assert judge_urls(pages.limit(0), rule_table(spark, RULES)).count() == 0
     both = rule_table(spark, [("net", "/", "allow"), ("net", "/", "block"), ("net", "/", "block"), (None, "/", "block")])
     assert judge_urls(pages, both).select("verdict", F.col("rule")).collect() == [("block", "net/")]
+
+
+def test_very_long_urls(spark):
+    hosts = ["a." * 100_000 + "net", "b" * 200_000 + ".example.net", "." * 150_000, "x.y." * 10_000 + "org"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("/", "/en/", "/fr/" + "z" * 200_000, "?q")]
+    df = spark.createDataFrame(list(enumerate(urls)) * 2, "page_id long, url string")
+    got = judge_urls(df, rule_table(spark, RULES)).collect()
+    assert len(got) == 2 * len(urls)
+    for r in got:
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute(urls[r["page_id"]], RULES)
