@@ -3,8 +3,8 @@
 Sequential covering grows one conjunction of thresholds after another on two thirds of the labelled
 rows (FOIL gain), prunes it on the rest, and stops when a rule is not precise enough there. The list
 becomes one ordered ``CASE WHEN`` of Spark. A second list has the toxic label as its target; its
-statistics include how often words learned from the labelled rows stand in a text. DataFrame functions only on the executors; the fit runs on
-the driver over the statistics of at most ``max_labelled`` labelled rows.
+statistics include how often words learned from the labelled rows stand in a text. DataFrame functions only
+on the executors; the fit runs on the driver over the statistics of at most ``max_labelled`` labelled rows.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ FEATURES = ["n_words", "mean_word", "symbols_per_word", "dup_line_share", "repea
 WORD_FEATURES = ["n_toxic", "toxic_share"]
 ALL_FEATURES = FEATURES + WORD_FEATURES
 MAX_WORDS, LEAST_ROWS = 256, 5
+#: Words from which a text's windows are sorted by their whole hash.
+LONG = 1 << 16
 NO_LETTERS = r"[^\p{L}]+"
 
 
@@ -41,9 +43,10 @@ def text_counts(docs: DataFrame, text: str = "text", words: list[str] | None = N
     """Adds the base counts, all long: ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``
     and ``n_repeat_words``, and the helper counts the features need.
 
-    A null text counts as empty: all zero. A repeated 3-word window is found by sorting 64-bit
-    values that hold the window's hash above its position, so no text leaves its row and a text of
-    any length is one sort. ``words``: also ``_toxic``, how often they stand in the text in any case.
+    A null text counts as empty: all zero; repeated rows count each; an empty table stays empty. A repeated
+    3-word window is found by sorting 64-bit values that hold the window's hash above its position, so no
+    text leaves its row and a text of any length is one sort. From ``LONG`` words on, where the position
+    would leave the hash too few bits, pairs of the whole 64-bit hash and the position are sorted. ``words``: also ``_toxic``, how often they stand in the text in any case.
     """
     def stripped(chars: str) -> Column:
         return F.translate(F.col("_t"), chars, "")
@@ -64,10 +67,17 @@ def text_counts(docs: DataFrame, text: str = "text", words: list[str] | None = N
     })
     if words is not None:
         df = df.withColumn("_toxic", (F.regexp_count(F.lower("_t"), F.lit(words_pattern(words))) if words else F.lit(0)).cast("long"))
-    window = "transform(sequence(1, size(_w) - 2), i -> shiftleft(xxhash64(_w[i - 1], _w[i], _w[i + 1]), _bits) | cast(i as bigint))"
-    df = df.withColumn("_s", F.expr(f"CASE WHEN size(_w) >= 3 THEN sort_array({window}) ELSE cast(array() as array<bigint>) END")).drop("_w", "_l", "_t")
-    twice = "filter(_s, (x, j) -> coalesce(shiftright(x, _bits) = shiftright(get(_s, j - 1), _bits), false) OR coalesce(shiftright(x, _bits) = shiftright(get(_s, j + 1), _bits), false))"
-    df = df.withColumn("_p", F.expr(f"transform({twice}, x -> x & (shiftleft(1L, _bits) - 1))")).drop("_s")
+    window = "transform(sequence(1, size(_w) - 2), i -> {0})"
+    hashed = "xxhash64(_w[i - 1], _w[i], _w[i + 1])"
+    short, long = window.format(f"shiftleft({hashed}, _bits) | cast(i as bigint)"), window.format(f"struct({hashed} as h, cast(i as bigint) as i)")
+    df = df.withColumns({
+        "_s": F.expr(f"CASE WHEN size(_w) BETWEEN 3 AND {LONG - 1} THEN sort_array({short}) ELSE cast(array() as array<bigint>) END"),
+        "_v": F.expr(f"CASE WHEN size(_w) >= {LONG} THEN sort_array({long}) ELSE cast(array() as array<struct<h:bigint,i:bigint>>) END"),
+    }).drop("_w", "_l", "_t")
+    equal = "filter({0}, (x, j) -> coalesce({1} = {2}, false) OR coalesce({1} = {3}, false))"
+    twice = equal.format("_s", "shiftright(x, _bits)", "shiftright(get(_s, j - 1), _bits)", "shiftright(get(_s, j + 1), _bits)")
+    pairs = equal.format("_v", "x.h", "get(_v, j - 1).h", "get(_v, j + 1).h")
+    df = df.withColumn("_p", F.expr(f"concat(transform({twice}, x -> x & (shiftleft(1L, _bits) - 1)), transform({pairs}, x -> x.i))")).drop("_s", "_v")
     repeated = F.size(F.array_distinct(F.flatten(F.transform("_p", lambda p: F.array(p, p + 1, p + 2))))).cast("long")
     names = [*COUNTS[:-1], "_lines", "_distinct", "_digits", "_upper", "_letters", *(["_toxic"] if words is not None else [])]
     return computed(df, {**{c: F.col(c) for c in names}, "n_repeat_words": repeated}).drop("_p", "_bits")
@@ -230,7 +240,8 @@ def learn_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
 
 def judge_documents(docs: DataFrame, rules: list[Rule], toxic: ToxicList | None = None) -> DataFrame:
     """Adds the base counts, ``base_failed`` and ``kept`` to every row; columns of ``docs`` with those
-    names are replaced. Rows that the toxic list marks are not kept either."""
+    names are replaced, others carried. Rows that the toxic list marks are not kept either. Null and empty
+    texts fail the base rules; repeated rows are judged each; an empty table stays empty."""
     words = toxic.words if toxic else []
     out = text_counts(docs.drop(*COUNTS, "base_failed", "kept"), words=words)
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))

@@ -1,7 +1,9 @@
+import collections
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from spindrift.llm.quality import COUNTS, decision_column, fit_decision_list, judge_documents, learn_rules, learn_toxic, text_counts
+from spindrift.llm.quality import COUNTS, FEATURES, Test, _mask, decision_column, features, fit_decision_list, judge_documents, learn_rules, learn_toxic, text_counts
 
 WS = b" \t\n\x0b\f\r"
 
@@ -25,6 +27,42 @@ def test_counts_equal_brute_force(make_docs):
         assert tuple(r[c] for c in COUNTS) == brute(TEXTS[r["doc_id"]]), TEXTS[r["doc_id"]][:20] if TEXTS[r["doc_id"]] else None
 
 
+def test_very_long_texts(make_docs):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, n)) for n in ((1 << 16) - 1, 1 << 16, 300_000)] + ["a b " * 400_000, "x" * 2_000_000]
+    rows = {r["doc_id"]: tuple(r[c] for c in COUNTS) for r in text_counts(make_docs(texts)).select("doc_id", *COUNTS).collect()}
+    for i, t in enumerate(texts):
+        words = t.split()
+        tri = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        seen = collections.Counter(tri)
+        covered = {k + j for k, x in enumerate(tri) if seen[x] > 1 for j in range(3)}
+        assert rows[i] == (len(words), sum(map(len, words)), 0, 0, len(covered))
+
+
+def test_empty_tables_and_repeated_rows(spark, make_docs):
+    docs = make_docs({1: " ".join(f"w{i}" for i in range(60)), 2: "few"})
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    for some in (labels, labels.limit(0)):
+        rules, toxic = learn_rules(docs, some), learn_toxic(docs, some)
+        assert judge_documents(docs.limit(0), rules, toxic).count() == 0
+        assert sorted((r["doc_id"], r["kept"]) for r in judge_documents(docs.union(docs), rules, toxic).collect()) == [(1, True)] * 2 + [(2, False)] * 2
+        assert learn_rules(docs.limit(0), some) == [] and learn_toxic(docs.limit(0), some) is None
+
+
+def test_spark_decides_as_the_list_says(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(8)
+    cuts = {"n_words": 300, "mean_word": 5, "symbols_per_word": 0.01, "dup_line_share": 0.1, "repeat_share": 0.2, "distinct_share": 0.6, "alpha_share": 0.9, "digit_share": 0.01, "words_per_line": 20, "upper_share": 0.1}
+    rules = [tuple(Test(f, bool(rng.integers(2)), float(cuts[f])) for f in rng.choice(FEATURES, 3, replace=False)) for _ in range(4)]
+    made = features()
+    rows = text_counts(docs).select("doc_id", F.array(*(made[c] for c in FEATURES)).alias("f"), decision_column(rules).alias("kept")).collect()
+    x = np.array([r["f"] + [0.0, 0.0] for r in rows])
+    said = np.zeros(len(x), bool)
+    for r in rules:
+        said |= _mask(r, x)
+    assert 0 < said.sum() < len(x) and [not k for k in said] == [r["kept"] for r in rows]
+
+
 def test_base_rules_without_labels(spark, make_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = make_docs({0: " ".join(f"w{i}" for i in range(50)), 1: " ".join(f"w{i}" for i in range(49)), 2: "a b c " * 40, 3: None}).withColumn("kept", F.lit("clash"))
@@ -40,8 +78,6 @@ def test_list_is_learned_and_held_out(spark):
     reject = ((x[:, 2] > 1.5) & (x[:, 1] <= 1.0)) | (x[:, 6] <= 0.1)
     rules = fit_decision_list(x[:2000], reject[:2000])
     said = np.zeros(1000, bool)
-    from spindrift.llm.quality import _mask
-
     for r in rules:
         said |= _mask(r, x[2000:])
     assert (said == reject[2000:]).mean() > 0.97
