@@ -30,18 +30,18 @@ def line_table(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id",
     df = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(text).alias("k"), _lines(text).alias("l"))
     trimmed = F.transform("l", lambda x: F.trim(x, F.lit(SPACES)))
     counted = F.transform("l", lambda x: F.regexp_count(x, F.lit("[^" + SPACE[1:] + "+")))
-    df = df.select("id", "k", F.transform(trimmed, lambda x: F.xxhash64(x)).alias("h"), counted.alias("n"))
+    df = computed(df, {"h": F.transform(trimmed, lambda x: F.xxhash64(x)), "n": counted}).drop("l")
     df = df.where(F.expr(f"aggregate(n, 0L, (s, x) -> s + x) >= {min_words}"))
 
     def reach(n: str) -> str:
-        def within(most: int) -> str:
-            return f"aggregate(slice({n}, i, {most}), named_struct('s', 0, 'm', 0), (a, x) -> if(a.s >= {min_words}, a, named_struct('s', a.s + x, 'm', a.m + 1)), a -> if(a.s >= {min_words}, a.m, 0))"
+        def within(most: int) -> str:  # words in the upper half of a number, lines in the lower one
+            return f"aggregate(slice({n}, i, {most}), 0L, (a, x) -> if(shiftright(a, 32) >= {min_words}, a, a + shiftleft(cast(x as bigint), 32) + 1), a -> if(shiftright(a, 32) >= {min_words}, cast(a & {(1 << 32) - 1} as int), null))"
 
         short = min(8, min_words)
-        return f"transform(sequence(1, size(h)), i -> if({within(short)} > 0 OR i + {short} > size(h) + 1, {within(short)}, {within(min_words)}))"
+        return f"transform(sequence(1, size(h)), i -> coalesce({within(short)}, if(i + {short} > size(h) + 1, 0, coalesce({within(min_words)}, 0))))"
 
-    df = df.withColumn("r", F.reverse("n"))
-    return df.select("id", "k", "h", F.expr(reach("n")).alias("f"), F.expr(f"reverse({reach('r')})").alias("b"))
+    made = computed(computed(df, {"r": F.reverse("n")}), {"f": F.expr(reach("n")), "b": F.expr(reach("r"))})
+    return made.select("id", "k", "h", "f", F.reverse("b").alias("b"))
 
 
 def _lines(text: str):
