@@ -1,32 +1,34 @@
 """Token counts of whole texts under a byte-level BPE of the ``tokenizers`` library.
 
 Merges never cross a pre-token, so a text's token count is the sum over its pre-tokens of their piece
-counts. Texts go through in blocks: each document becomes a table of pre-token frequencies, the pieces
-of every pre-token that the worker has not met are counted once, and frequencies meet counts in a
-look-up. No list of ids is made for any document. The table of known pre-tokens is bounded: it starts
-afresh when it holds ``known`` entries, which costs time and never a result.
+counts. One pass over the texts gives the distinct pre-tokens of the corpus with their frequencies; the
+pieces of each are counted once. A second pass turns every document into its pre-token frequencies and
+joins them with the piece counts: the most frequent pre-tokens, a bounded table, by a broadcast where the
+document is read, all others by a shuffle. So no hot pre-token meets a reducer, and what is shuffled is only
+the rare ones. The products are summed by document; no list of ids is made for any document.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spindrift.llm.common import table
+from spindrift.llm.common import table, written
 
-#: Entries of a worker's table of piece counts, and the longest pre-token kept in it.
-KNOWN, LONG = 400_000, 64
-#: Characters below this code have the same classes in every Unicode version that the libraries ship.
-SETTLED = "Ͱ"
+#: Pre-tokens that a task holds before it passes them on; those whose piece counts are broadcast, and the
+#: longest one among them.
+HELD, BROADCAST, LONG = 400_000, 200_000, 64
 
 
 class PieceCounter:
     """Counts for one tokenizer file; ``path`` must exist on every executor."""
 
-    def __init__(self, path: str, known: int = KNOWN):
+    def __init__(self, path: str):
         import json
 
         import regex
@@ -47,47 +49,49 @@ class PieceCounter:
         self.pieces.no_padding()
         names = sorted((t["content"] for t in added), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
-        self.settled = regex.compile(f"[^\\x00-{chr(ord(SETTLED) - 1)}\\u2010-\\u2027\\u20AC]")
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.known: dict[str, int] = {}
-        self.most = known
+        # The characters below U+02B0 by their classes; others go to the library's own splitter
+        letters, spaces = "A-Za-zªµºÀ-ÖØ-öø-ʯ", "\\t-\\r \x85\xa0"
+        self.settled = re.compile(f"[^\\x00-\\x1b\\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ʯ\u2010-\u2027\u20ac]").search
+        self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[0-9]+| ?[^{spaces}{letters}0-9]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+").findall
 
     def pre_tokens(self, text: str) -> list[str]:
-        """As the library splits: by the pattern above where all classes are settled, else by itself."""
-        if self.settled.search(text):
+        """As the library splits: by the pattern above where all characters are in it, else by itself."""
+        if self.settled(text):
             return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
         return self.words(text)
 
+    def frequencies(self, text: str) -> tuple[Counter, int]:
+        """How often each pre-token stands in a text, and how many special strings do."""
+        if self.special is not None and (found := self.special.findall(text)):
+            freq = Counter()
+            for part in self.special.split(text):
+                freq.update(self.pre_tokens(part))
+            return freq, len(found)
+        return Counter(self.pre_tokens(text)), 0
+
+    def piece_counts(self, words: list[str]) -> list[int]:
+        """Pieces of each pre-token."""
+        out = []
+        for i in range(0, len(words), 4096):
+            out += map(len, self.pieces.encode_batch(words[i : i + 4096], add_special_tokens=False))
+        return out
+
     def count(self, texts: list[str]) -> list[int]:
-        """Token counts of a block of texts."""
-        tables, specials = [], []
-        for text in texts:
-            n = 0
-            if self.special is not None and (found := self.special.findall(text)):
-                n, freq = len(found), Counter()
-                for part in self.special.split(text):
-                    freq.update(self.pre_tokens(part))
-            else:
-                freq = Counter(self.pre_tokens(text))
-            tables.append(freq)
-            specials.append(n)
-        if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        new = list({w for freq in tables for w in freq if w not in known})
-        own = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.pieces.encode_batch(part, add_special_tokens=False), strict=True):
-                (known if len(w) <= LONG else own)[w] = len(e)
-        return [n + sum(c * (known[w] if w in known else own[w]) for w, c in freq.items()) for freq, n in zip(tables, specials, strict=True)]
+        """Token counts of a few texts, pieces counted once for each distinct pre-token."""
+        made = [self.frequencies(t) for t in texts]
+        words = list({w for freq, _ in made for w in freq})
+        known = dict(zip(words, self.piece_counts(words), strict=True))
+        return [n + sum(c * known[w] for w, c in freq.items()) for freq, n in made]
 
 
 _COUNTERS: dict[str, PieceCounter] = {}
 
 
 def worker_counter(path: str) -> PieceCounter:
-    """One counter in each Python worker: its table of known pre-tokens outlives a task."""
+    """One counter in each Python worker."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _COUNTERS:
         _COUNTERS[path] = PieceCounter(path)
     return _COUNTERS[path]
@@ -106,27 +110,84 @@ def blocks(texts: list[str | None], most: int = 1 << 21) -> Iterator[list[str]]:
         yield part
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pre_token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``w, n, pieces``: every distinct pre-token of the texts, its frequency, and its pieces, counted once."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, held = worker_counter(path), Counter()
+
+        def out() -> pa.RecordBatch:
+            made = pa.record_batch([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["w", "n"])
+            held.clear()
+            return made
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if t:
+                    if counter.special is not None and counter.special.search(t):
+                        held.update(counter.frequencies(t)[0])
+                    else:
+                        held.update(counter.pre_tokens(t))
+                    if len(held) >= HELD:
+                        yield out()
+        if held:
+            yield out()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = worker_counter(path)
+        for b in batches:
+            yield pa.record_batch([*b.columns, pa.array(counter.piece_counts(b.column(0).to_pylist()), pa.int64())], ["w", "n", "pieces"])
+
+    distinct = docs.select(text).mapInArrow(split, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return distinct.mapInArrow(pieces, "w string, n long, pieces long")
+
+
+def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", text: str = "text", most: int = BROADCAST) -> DataFrame:
     """One row per row of ``docs``: key, ``n_bytes``, ``n_tokens``, ``over_limit``.
 
     Null and empty texts have no bytes and no tokens; special strings inside a text count as their one
-    token, as the library's default has it; repeated rows count each. Other columns are not carried.
+    token, as the library's default has it; repeated rows count each; an empty table stays empty. Texts of
+    any length count whole. Other columns are not carried. The piece counts of the ``most`` most frequent
+    pre-tokens (of at most ``LONG`` characters) are broadcast, the others joined by a shuffle.
     """
+    spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
+    known = written(pre_token_counts(docs, path, text), "pieces")
+    often = known.where(F.length("w") <= LONG).orderBy(F.desc("n"), "w").limit(most).select("w", "pieces").toArrow()
+    common = spark.sparkContext.broadcast(dict(zip(often["w"].to_pylist(), often["pieces"].to_pylist(), strict=True)))  # at most ``most`` entries
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        counter = worker_counter(path)
+        counter, pieces = worker_counter(path), common.value
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            texts, n = b.column(1).to_pylist(), []
-            for part in blocks(texts):
-                n += counter.count(part)
-            size = [len(t.encode()) if t else 0 for t in texts]
-            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [key, "n_bytes", "n_tokens", "over_limit"])
-
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+            done = 0
+            for part in blocks(b.column(1).to_pylist()):
+                n, rare = [], []
+                for t in part:
+                    freq, total = counter.frequencies(t)
+                    left = []
+                    for w, c in freq.items():
+                        if w in pieces:
+                            total += c * pieces[w]
+                        else:
+                            left.append((w, c))
+                    n.append(total)
+                    rare.append(left)
+                keys = b.column(0).slice(done, len(part))
+                done += len(part)
+                size = [len(t.encode()) for t in part]
+                words = pa.array([[w for w, _ in x] for x in rare], pa.list_(pa.string()))
+                times = pa.array([[c for _, c in x] for x in rare], pa.list_(pa.int32()))
+                yield pa.record_batch([pa.array(range(row, row + len(part)), pa.int64()), keys, pa.array(size, pa.int64()), pa.array(n, pa.int64()), words, times], ["_row", key, "n_bytes", "_sum", "_w", "_c"])
+                row += len(part)
+
+    made = written(docs.select(key, text).mapInArrow(sums, f"_row long, `{key}` {kind}, n_bytes long, _sum long, _w array<string>, _c array<int>"), "frequencies")
+    rare = made.where(F.size("_w") > 0).select("_row", F.explode(F.arrays_zip("_w", "_c")).alias("x")).select("_row", F.col("x._w").alias("w"), F.col("x._c").alias("c"))
+    rest = rare.join(known.select("w", "pieces"), "w").groupBy("_row").agg(F.sum(F.col("c") * F.col("pieces")).alias("_rest"))
+    total = (F.col("_sum") + F.coalesce("_rest", F.lit(0))).cast("long")
+    out = made.select("_row", key, "n_bytes", "_sum").join(rest, "_row", "left")
+    return out.select(key, "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spindrift.llm.sentencepiece import SuffixPieces, decode_ids, encode_texts
-from spindrift.llm.tokencount import PieceCounter, token_counts
+from spindrift.llm.tokencount import PieceCounter, pre_token_counts, token_counts
 
 BPE, SP = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [None, "", " ", "  a  b ", "don't stop\n\n  now", "<|endoftext|>x<|endoftext|>", "日本語 ok €☃ 𝔘 ـعربي", "tab\there\r\n)\r", "a" * 3000, "the " * 20_000, "\u0300x \u2028 \u00a0y", "<s> <0x0A> </s> <unk>", "123456 7890", "x\x00y"]
@@ -19,7 +19,7 @@ TEXTS = [None, "", " ", "  a  b ", "don't stop\n\n  now", "<|endoftext|>x<|endof
 
 @pytest.fixture(scope="module")
 def counter():
-    return PieceCounter(BPE, known=50)
+    return PieceCounter(BPE)
 
 
 @pytest.fixture(scope="module")
@@ -48,15 +48,23 @@ def test_both_equal_their_libraries(counter, model, library, texts):
 
 def test_token_counts(spark, make_docs, library):
     docs = make_docs(TEXTS).unionByName(make_docs({3: TEXTS[3]})).withColumn("n_tokens", F.lit("clash"))
-    rows = token_counts(docs, BPE).collect()
-    assert len(rows) == len(TEXTS) + 1
-    for r in rows:
-        t = TEXTS[r["doc_id"]] or ""
-        n = len(library[0].encode(t, add_special_tokens=False))
-        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n, n > 1024)
+    for most in (1_000, 3, 0):  # by the broadcast, by both, by the shuffle
+        rows = token_counts(docs, BPE, most=most).collect()
+        assert len(rows) == len(TEXTS) + 1
+        for r in rows:
+            t = TEXTS[r["doc_id"]] or ""
+            n = len(library[0].encode(t, add_special_tokens=False))
+            assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n, n > 1024)
     assert token_counts(docs.limit(0), BPE).count() == 0
 
 
+def test_pieces_are_counted_once(spark, make_docs, library):
+    rows = pre_token_counts(make_docs([*TEXTS, *TEXTS]), BPE).collect()
+    assert len({r["w"] for r in rows}) == len(rows)
+    assert all(r["pieces"] == len(library[0].encode(r["w"], add_special_tokens=False)) for r in rows)
+    assert {r["w"]: r["n"] for r in rows}[" the"] == 2 * 19_999
+
+
 def test_encode_and_decode(spark, make_docs, library):
     docs = make_docs(TEXTS).withColumn("ids", F.lit("clash"))
     out = encode_texts(docs, SP)
