@@ -67,6 +67,7 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     found = written(found.join(fingerprints, "fp").drop("at"), "shared")
     place = F.struct("id", "k", "i")
     first = found.groupBy("fp", "g").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p < q").select("fp", "g", "p")
+    first = written(first, "first")  # apart from the join, so that a hot window's places can be split there
     hits = found.join(first, ["fp", "g"]).where(F.struct("id", "k", "i") > F.col("p"))
     spans = hits.select("id", "k", F.col("i").alias("a"), (F.col("i") + F.col("m") - 1).alias("b"))
     # overlapping and touching spans become one
