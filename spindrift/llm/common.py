@@ -61,12 +61,17 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*(F.col(c) for c in df.columns if c not in columns), made)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder of this package."""
+    if "/spindrift-" in path:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/spindrift-" in path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

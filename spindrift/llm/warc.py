@@ -4,8 +4,10 @@ Writing: each task turns its pages into gzip members of WARC/1.1 records and kee
 record (URL key, timestamp, page, digest, file, offset, length). A run of index lines is sorted in
 memory and written beside its archive when the archive is full. Merging: runs are combined by a k-way
 loser tree in (URL key, timestamp, page) order; more runs than the fan-in are merged in passes, and the
-last pass merges key ranges in parallel, seeking into each run, so that the parts follow one another in
-global order. Reading: index lines lead to their records, whose payload digests are verified.
+last pass merges ranges of that whole order in parallel, so that the parts follow one another in global
+order and a URL with many captures is shared out too. A range finds its first line in each run by bisecting
+the file; the driver sees a bounded sample of the lines, for the ranges' bounds only. Reading: index lines
+lead to their records, whose payload digests are verified; archives are shared out over the tasks.
 
 Files carry the task attempt in their names and are renamed when complete, so an attempt that is lost
 leaves an orphan that no index names.
@@ -16,23 +18,22 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import scratch_path, table, written
+from spindrift.llm.common import delete, scratch_path, table, written
 
 #: Payloads shorter than this are never revisits.
 LEAST_PAYLOAD = 100
-#: Bytes after which an archive is closed, runs that one merge opens, lines between two entries of a
-#: run's sparse index, lines of a key range, and key samples the driver sees (they set the ranges'
-#: balance only).
-ARCHIVE_BYTES, FAN_IN, SPARSE, RANGE_LINES, SAMPLES = 128 << 20, 512, 512, 500_000, 50_000
+#: Bytes after which an archive is closed, runs that one merge opens, lines of which one may be a sample,
+#: lines of a range, samples the driver sees (they set the ranges' balance only), and tasks that read.
+ARCHIVE_BYTES, FAN_IN, SPARSE, RANGE_LINES, SAMPLES, READERS = 128 << 20, 512, 512, 500_000, 50_000, 10_000
 INDEX = "urlkey string, ts string, page_id long, digest string, record_type string, file string, offset long, length long"
 Line = tuple[str, str, int, str, str, str, int, int]
+Place = tuple[str, str, int, str, int]  # URL key, timestamp, page, file, offset: no two lines are equal
 
 
 def filesystem(uri: str):
@@ -91,42 +92,65 @@ def parse(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 # -- runs ------------------------------------------------------------------------------------
 
 
-def _sort_key(x: Line) -> tuple:
+def _sort_key(x: Line) -> Place:
     return x[0], x[1], x[2], x[5], x[6]
 
 
-def write_run(base: str, name: str, lines: Iterable[Line], start: int = 0) -> tuple[str, int, list[str], list[int]]:
-    """Write sorted lines; gives path, lines, and the sparse index (first key of each stretch, offset)."""
+def write_run(base: str, name: str, lines: Iterable[Line]) -> tuple[str, int, list[Place]]:
+    """Write sorted lines; gives path, number of lines, and the place of every ``SPARSE``-th."""
     files, root = filesystem(base)
     path = f"{root}/{name}.cdx"
-    keys, offsets, n, at = [], [], 0, 0
+    places, n = [], 0
     with files.open_output_stream(f"{path}.part") as out:
         for x in lines:
-            raw = ("\t".join(map(str, x)) + "\n").encode()
             if n % SPARSE == 0:
-                keys.append(x[0])
-                offsets.append(at)
-            out.write(raw)
-            at += len(raw)
+                places.append(_sort_key(x))
+            out.write(("\t".join(map(str, x)) + "\n").encode())
             n += 1
     files.move(f"{path}.part", path)
-    return f"{base}/{name}.cdx", n, keys, offsets
-
-
-def read_run(uri: str, offset: int, low: str | None, high: str | None) -> Iterator[Line]:
-    """Lines of a run with low <= key < high, from a byte offset at or before the first of them."""
+    return f"{base}/{name}.cdx", n, places
+
+
+def _line(raw: bytes) -> Line:
+    a = raw.decode().rstrip("\n").split("\t")
+    return a[0], a[1], int(a[2]), a[3], a[4], a[5], int(a[6]), int(a[7])
+
+
+def seek_line(f, size: int, low: Place) -> None:
+    """Put a run's file at its first line that is not below a place, by bisecting its bytes."""
+    a, b = 0, size  # lines that begin before a are below, those from b on are not
+    while a < b:
+        mid = (a + b) // 2
+        f.seek(mid)
+        if mid:
+            f.seek(mid - 1)
+            f.readline()  # the rest of the line before
+        at = f.tell()
+        raw = f.readline()
+        if at >= b or not raw or _sort_key(_line(raw)) >= low:
+            b = mid
+        else:
+            a = at + len(raw)
+    f.seek(a)
+    if a:
+        f.seek(a - 1)
+        f.readline()
+
+
+def read_run(uri: str, low: Place | None, high: Place | None) -> Iterator[Line]:
+    """Lines of a run from one place up to another, without that."""
     import io
 
     files, path = filesystem(uri)
     with files.open_input_file(path) as f:
-        f.seek(offset)
-        for raw in io.BufferedReader(f, 1 << 16):
-            a = raw.decode().rstrip("\n").split("\t")
-            if low is not None and a[0] < low:
-                continue
-            if high is not None and a[0] >= high:
+        lines = io.BufferedReader(f, 1 << 16)
+        if low is not None:
+            seek_line(lines, f.size(), low)
+        for raw in lines:
+            x = _line(raw)
+            if high is not None and _sort_key(x) >= high:
                 return
-            yield a[0], a[1], int(a[2]), a[3], a[4], a[5], int(a[6]), int(a[7])
+            yield x
 
 
 class LoserTree:
@@ -197,7 +221,7 @@ def write_archives(pages: DataFrame, base: str, key: str = "page_id", url: str =
         stem, seq = f"{task.partitionId():06d}-{task.taskAttemptId()}", 0
         out, lines, at = None, [], 0
 
-        def close() -> tuple[str, int, list[str], list[int]]:
+        def close() -> tuple[str, int, list[Place]]:
             out.close()
             files.move(f"{root}/{stem}-{seq}.warc.gz.part", f"{root}/{stem}-{seq}.warc.gz")
             lines.sort(key=_sort_key)
@@ -222,18 +246,22 @@ def write_archives(pages: DataFrame, base: str, key: str = "page_id", url: str =
     return written(df.mapInArrow(run, _MANIFEST), "runs")
 
 
-_MANIFEST = "run string, n long, keys array<string>, offsets array<long>"
+PLACE = "urlkey string, ts string, page_id long, file string, offset long"
+_MANIFEST = f"run string, n long, places array<struct<{PLACE.replace(' ', ':').replace(',:', ',')}>>"
 
 
 def _manifest(rows: list) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)], ["run", "n", "keys", "offsets"])
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
+    place = pa.struct(list(zip(("urlkey", "ts", "page_id", "file", "offset"), kinds, strict=True)))
+    runs, n, places = list(zip(*rows, strict=True)) or [(), (), ()]
+    named = [[dict(zip(place.names, p, strict=True)) for p in x] for x in places]
+    return pa.record_batch([pa.array(runs, pa.string()), pa.array(n, pa.int64()), pa.array(named, pa.list_(place))], ["run", "n", "places"])
 
 
 # -- merging ---------------------------------------------------------------------------------
 
 
-def merge_runs(manifest: DataFrame, base: str, fan_in: int = FAN_IN, range_lines: int = RANGE_LINES) -> DataFrame:
+def merge_runs(manifest: DataFrame, base: str, fan_in: int = FAN_IN, range_lines: int = RANGE_LINES, samples: int = SAMPLES) -> DataFrame:
     """All index lines with ``part`` and ``at``: ordered by those, they are in global order."""
     spark = manifest.sparkSession
     level = 0
@@ -247,31 +275,32 @@ def merge_runs(manifest: DataFrame, base: str, fan_in: int = FAN_IN, range_lines
             runs = [r for b in rows for r in b.column(0).to_pylist()]
             made = []
             for i in range(0, len(runs), fan_in):
-                tree = LoserTree([read_run(r, 0, None, None) for r in runs[i : i + fan_in]])
+                tree = LoserTree([read_run(r, None, None) for r in runs[i : i + fan_in]])
                 made.append(write_run(base, f"merged-{level}-{TaskContext.get().taskAttemptId()}-{i}", tree))
             yield _manifest(made)
 
         manifest = written(names.repartition(groups).mapInArrow(combine, _MANIFEST), "runs")
         level += 1
-    runs = manifest.orderBy("run").collect()  # at most fan_in rows
-    total = sum(r["n"] for r in runs)
-    stride = max(1, sum(len(r["keys"]) for r in runs) // SAMPLES)
-    keys = sorted(k for r in runs for k in r["keys"][::stride])
-    parts = max(1, -(-total // range_lines))
-    parts = max(parts, min(spark.sparkContext.defaultParallelism, total // SPARSE))
-    splits = sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
+    names = [r["run"] for r in manifest.select("run").orderBy("run").collect()]  # at most fan_in
+    total, sparse = manifest.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    # about ``samples`` of the places; with few of them all
+    seen = manifest.select(F.explode("places").alias("p")).select("p.*")
+    if sparse > samples:
+        seen = seen.where(F.pmod(F.xxhash64("file", "offset"), F.lit(-(-sparse // samples))) == 0)
+    seen = sorted(map(tuple, seen.collect()))
+    parts = max(1, -(-total // range_lines), min(spark.sparkContext.defaultParallelism, total // SPARSE))
+    splits = sorted({seen[i * len(seen) // parts] for i in range(1, parts)}) if seen else []
     bounds = [None, *splits, None]
-    # each range learns where to start reading in each run
-    ranges = [(i, bounds[i], bounds[i + 1], [r["offsets"][max(0, bisect_right(r["keys"], bounds[i]) - 1 - _equal(r["keys"], bounds[i]))] if bounds[i] is not None else 0 for r in runs]) for i in range(len(bounds) - 1)] if runs else []
-    names = [r["run"] for r in runs]
+    ranges = [(i, bounds[i], bounds[i + 1]) for i in range(len(bounds) - 1)] if names else []
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
         fields = ["part", "at", "urlkey", "ts", "page_id", "digest", "record_type", "file", "offset", "length"]
         for b in batches:
-            for part, low, high, offsets in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for part, low, high in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                low, high = (None if x is None else tuple(x.values()) for x in (low, high))
                 rows, at = [], 0
-                for x in LoserTree([read_run(n, o, low, high) for n, o in zip(names, offsets, strict=True)]):
+                for x in LoserTree([read_run(n, low, high) for n in names]):
                     rows.append((part, at, *x))
                     at += 1
                     if len(rows) == 10_000:
@@ -280,22 +309,17 @@ def merge_runs(manifest: DataFrame, base: str, fan_in: int = FAN_IN, range_lines
                 if rows:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], fields)
 
-    todo = spark.createDataFrame(ranges, "part int, low string, high string, offsets array<long>")
+    kind = f"struct<{PLACE.replace(' ', ':').replace(',:', ',')}>"
+    todo = spark.createDataFrame(ranges, f"part int, low {kind}, high {kind}")
     return written(todo.repartition(max(1, len(ranges)), "part").mapInArrow(merge, f"part int, at long, {INDEX}"), "index")
 
 
-def _equal(keys: list[str], key: str | None) -> int:
-    """How many entries of the sparse index have this very key: lines of it may begin before them."""
-    from bisect import bisect_left
-
-    return bisect_right(keys, key) - bisect_left(keys, key)
-
-
 # -- reading ---------------------------------------------------------------------------------
 
 
 def read_archives(index: DataFrame, base: str) -> DataFrame:
-    """Read every record that the index names; a payload that does not match its digest is an error."""
+    """Read every record that the index names; a payload that does not match its digest is an error. Archives
+    are dealt to as many tasks as there are, ``READERS`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = filesystem(base)
@@ -318,14 +342,17 @@ def read_archives(index: DataFrame, base: str) -> DataFrame:
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "date"])
 
-    todo = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    readers = max(1, min(READERS, index.select("file").distinct().count()))
+    todo = index.select("file", "offset", "length").repartition(readers, "file").sortWithinPartitions("file", "offset")
     return todo.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, date string")
 
 
 def op3_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "warc")
     index = merge_runs(write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), base), base)
-    return read_archives(index, base).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = written(read_archives(index, base).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    delete(spark, base)  # the archives were this query's own
+    return rows
 
 
 OP3_SQL = """

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from spindrift.llm.common import scratch_path
-from spindrift.llm.warc import LoserTree, _sort_key, merge_runs, read_archives, url_key, write_archives
+from spindrift.llm.warc import LoserTree, _sort_key, merge_runs, read_archives, read_run, url_key, write_archives, write_run
 
 LINES = st.tuples(st.sampled_from("abc"), st.sampled_from("12"), st.integers(0, 5), st.just(""), st.just(""), st.sampled_from("xyz"), st.integers(0, 99), st.just(0))
 
@@ -75,6 +75,27 @@ def test_many_runs_take_passes(spark):
     assert read_archives(index, base).count() == 2000
 
 
+def test_one_url_with_many_captures(spark):
+    """Ranges cut between captures of one URL, and every bound is found in every run."""
+    rows = [(i, "http://hot.org/" if i % 5 else None, f"{i}") for i in range(6000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    base = scratch_path(spark, "test")
+    index = merge_runs(write_archives(pages, base), base, range_lines=600, samples=7)
+    keys = [tuple(r) for r in index.orderBy("part", "at").select("urlkey", "ts", "page_id").collect()]
+    assert keys == sorted(keys) and len(keys) == 6000
+    assert merge_runs(write_archives(pages, scratch_path(spark, "test")), base, range_lines=600).groupBy("part").count().agg({"count": "max"}).first()[0] < 3000
+
+
+def test_lines_are_found_by_bisecting(tmp_path):
+    rng = random.Random(2)
+    lines = sorted({(f"k{rng.randint(0, 40)}" + "x" * rng.randint(0, 30), "1", rng.randint(0, 9), "d", "response", "f", k, 1) for k in range(300)}, key=_sort_key)
+    uri = write_run(f"file://{tmp_path}", "run", lines)[0]
+    for k in (0, 1, 2, 50, 298, 299):
+        assert [_sort_key(x) for x in read_run(uri, _sort_key(lines[k]), None)] == [_sort_key(x) for x in lines[k:]]
+        assert len(list(read_run(uri, None, _sort_key(lines[k])))) == k
+    assert list(read_run(uri, ("z", "", 0, "", 0), None)) == [] and len(list(read_run(uri, ("", "", 0, "", 0), None))) == len(lines)
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     base = scratch_path(spark, "test")
