@@ -97,3 +97,9 @@ def expand_recipes(spark: SparkSession, recipes: Iterable[dict[str, Any]]) -> Da
     at = F.struct("i", "ds_at", "mt_at", "pt_at", "ins_at", "cot_at")
     checked = F.when(valid_name(name), name).otherwise(F.raise_error(F.concat(F.lit("invalid experiment name: "), name)))
     return df.groupBy(checked.alias("experiment")).agg(F.min(at).alias("at")).orderBy("at").select("experiment")
+
+
+def with_model_id(df: DataFrame, models: dict[str, str], key: str = "model_key") -> DataFrame:
+    """Adds ``model_id`` by the configured models; a key that is not among them is an error."""
+    found = mapped(F.col(key), models)
+    return df.withColumn("model_id", F.coalesce(found, F.raise_error(F.concat(F.lit("model is not configured: "), key)).cast("string")))

@@ -74,14 +74,16 @@ def key_values(response: Column, keys: list[str]) -> Column:
     return F.when(F.forall(F.array(*map(F.lit, keys)), lambda k: F.exists(wanted, lambda p: p["col1"] == k)), F.map_from_entries(last))
 
 
-def system_prompt(instruction: Column, n_choices: Column, use_cot: bool = False) -> Column:
+def system_prompt(instruction: Column, n_choices: Column, use_cot: bool = False, api: bool = False) -> Column:
+    """``api``: the wording for API models."""
     options = letter_options(n_choices)
+    # The wording of the instructions.
     if use_cot:
         base = F.concat(F.lit("First, think through the problem step-by-step inside a `<think>...</think>` block.\nThen, provide ONLY the letter ("), options, F.lit(") inside an `<answer>...</answer>` block.\n\nFormat:\n<think> reasoning process here </think>\n<answer> [letter] </answer>\n\nDo not write anything outside these tags."))
     else:
         base = F.concat(F.lit("Answer with ONLY the letter ("), options, F.lit(") of your chosen answer. Do not include any explanation, punctuation, or additional text."))
     appendix = None
-    for k, v in dims.APPENDIX.items():
+    for k, v in (dims.API_APPENDIX if api else dims.APPENDIX).items():
         appendix = F.when(instruction == k, v) if appendix is None else appendix.when(instruction == k, v)
     return F.trim(F.concat(base, appendix))
 
@@ -115,6 +117,18 @@ def tier1_sentence(source: str, answer: Column, seed: Column, kind: str = "defau
     return F.replace(out, F.lit("{answer}"), answer)
 
 
+def tier2_templates(seed: Column, kind: str = "default") -> tuple[Column, Column]:
+    """User and document template of tier 2, words put in, with a place for the claim: each choice has a seed
+    of its own."""
+    out = []
+    for at, (templates, slots) in enumerate(((dims.T2_USER_TEMPLATES, ("user_phrase", "user_perspective")), (dims.T2_DOC_TEMPLATES, ("doc_phrase", "doc_source")))):
+        made = picked(templates, seed + at)
+        for i, slot in enumerate(slots):
+            made = F.replace(made, F.lit(f"{{{slot}}}"), picked(dims.T2_WORDS[kind][slot], seed + 2 + 2 * at + i))
+        out.append(made)
+    return out[0], out[1]
+
+
 def md5_number(text: Column) -> Column:
     """The first 32 bits of the MD5 as a number."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")

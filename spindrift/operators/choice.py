@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators.merge import with_bare
+
 SINGLE = {"upos": "user", "uneg": "user", "dpos": "document", "dneg": "document"}
 
 
@@ -18,9 +20,8 @@ def choice_rows(merged: DataFrame) -> DataFrame:
 
     A null on either side makes answers differ.
     """
-    bare = merged.where("probe_variant = 'bare'").select("experiment", "qid", F.col("output_letter").alias("bare_letter"), F.col("output_correct").alias("bare_correct"))
-    probe = merged.where(F.col("probe_variant").isin(list(SINGLE))).select("experiment", "qid", "probe_variant", "output_letter", "gold", "canonical_wrong", "user_present", "doc_present", "user_correct", "doc_correct")
-    df = probe.join(bare, ["experiment", "qid"])
+    df = with_bare(merged, ["output_letter", "output_correct"]).where("bare is not null").where(F.col("probe_variant").isin(list(SINGLE)))
+    df = df.select("experiment", "qid", "probe_variant", "output_letter", "gold", "canonical_wrong", "user_present", "doc_present", "user_correct", "doc_correct", F.col("bare.output_letter").alias("bare_letter"), F.col("bare.output_correct").alias("bare_correct"))
     source = F.when(F.col("probe_variant").startswith("u"), "user").otherwise("document")
     present = F.when(source == "user", F.col("user_present")).otherwise(F.col("doc_present"))
     right = F.when(source == "user", F.col("user_correct")).otherwise(F.col("doc_correct"))
@@ -79,6 +80,6 @@ def accuracy(merged: DataFrame) -> DataFrame:
 
 def changed(merged: DataFrame) -> DataFrame:
     """Against the result without sources: answers changed, helped, hurt, for each other variant."""
-    bare = merged.where("probe_variant = 'bare'").select("experiment", "qid", F.col("output_letter").alias("b"), F.col("output_correct").alias("bc"))
-    df = merged.where("probe_variant <> 'bare'").join(bare, ["experiment", "qid"])
+    df = with_bare(merged, ["output_letter", "output_correct"]).where("bare is not null and probe_variant <> 'bare'")
+    df = df.withColumns({"b": F.col("bare.output_letter"), "bc": F.col("bare.output_correct")})
     return df.groupBy("experiment", "probe_variant").agg(F.count("*").alias("n"), F.count_if(F.col("b") != F.col("output_letter")).alias("changed"), F.count_if(~F.col("bc") & F.col("output_correct")).alias("helped"), F.count_if(F.col("bc") & ~F.col("output_correct")).alias("hurt"))

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators.merge import with_bare
+
 #: Fixed value: added to each probability before renormalising.
 EPSILON = 1e-9
 PARTS = ("p_gold", "p_wrong", "p_other")
-#: Values a group may hold for the exact bootstrap; larger groups take the Poisson one.
-EXACT_GROUP = 2_000_000
 #: Cumulated probabilities of Poisson(1) in units of 2 ** -53; rows whose weights are drawn at once.
 _POISSON = np.array([int(2**53 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(18)], np.uint64)
 _ROWS = 2_000
@@ -24,13 +24,14 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
 
-def prob_vectors(merged: DataFrame) -> DataFrame:
+def prob_vectors(merged: DataFrame, keep: bool = False) -> DataFrame:
     """Adds the three probabilities. Rows without probabilities, with a letter missing among them or with
-    gold equal to the canonical wrong answer are left out."""
+    gold equal to the canonical wrong answer are left out, or with ``keep`` have none."""
     named = lambda letter: F.filter("probs", lambda p: p["letter"] == F.col(letter))
     total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p["prob"])
-    df = merged.where((F.size("probs") > 0) & (F.size(named("gold")) > 0) & (F.size(named("canonical_wrong")) > 0) & (F.col("gold") != F.col("canonical_wrong")))
-    df = df.withColumns({"p_gold": F.get(named("gold"), F.lit(0))["prob"], "p_wrong": F.get(named("canonical_wrong"), F.lit(0))["prob"], "_t": total})
+    whole = (F.size("probs") > 0) & (F.size(named("gold")) > 0) & (F.size(named("canonical_wrong")) > 0) & (F.col("gold") != F.col("canonical_wrong"))
+    df, own = (merged, lambda c: F.when(whole, c)) if keep else (merged.where(whole), lambda c: c)
+    df = df.withColumns({"p_gold": own(F.get(named("gold"), F.lit(0))["prob"]), "p_wrong": own(F.get(named("canonical_wrong"), F.lit(0))["prob"]), "_t": total})
     return df.withColumn("p_other", F.col("_t") - F.col("p_gold") - F.col("p_wrong")).drop("_t")
 
 
@@ -58,19 +59,23 @@ def absolute_metrics(vectors: DataFrame) -> DataFrame:
     return vectors.withColumns(smoothed()).withColumns({"entropy": entropy(), "neglogp": -F.log2("p_gold")})
 
 
-def shift_metrics(vectors: DataFrame) -> DataFrame:
-    """Each row with sources against the question's row without: KL divergence, change of entropy, of
-    -log2 P(right), and correlation of the log probabilities."""
-    df = vectors.withColumns(smoothed())
-    bare = df.where("probe_variant = 'bare'").select("experiment", "qid", *(F.col(p).alias(f"b_{p}") for p in PARTS))
-    df = df.where("probe_variant <> 'bare'").join(bare, ["experiment", "qid"])
+def shift_columns(vectors: DataFrame) -> DataFrame:
+    """Adds to each row, against the question's row without sources: KL divergence, change of entropy, of
+    -log2 P(right), and correlation of the log probabilities; null where one of them has no vector."""
+    df = with_bare(vectors.withColumns(smoothed()), list(PARTS)).withColumns({f"b_{p}": F.col(f"bare.{p}") for p in PARTS})
     kl = sum((F.col(p) * F.log2(F.col(p) / F.col(f"b_{p}")) for p in PARTS[1:]), F.col("p_gold") * F.log2(F.col("p_gold") / F.col("b_p_gold")))
     return df.withColumns({
         "kl": kl,
         "delta_entropy": entropy() - entropy("b_"),
         "delta_neglogp": F.log2("b_p_gold") - F.log2("p_gold"),
         "pearson": pearson([F.log2(p) for p in PARTS], [F.log2(f"b_{p}") for p in PARTS]),
-    }).select("experiment", "qid", "probe_variant", "kl", "delta_entropy", "delta_neglogp", "pearson")
+    })
+
+
+def shift_metrics(vectors: DataFrame) -> DataFrame:
+    """The shifts of every row with sources whose question has a row without."""
+    df = shift_columns(vectors).where("bare is not null and probe_variant <> 'bare'")
+    return df.select("experiment", "qid", "probe_variant", "kl", "delta_entropy", "delta_neglogp", "pearson")
 
 
 SHIFTS = ["kl", "delta_entropy", "delta_neglogp", "pearson"]
@@ -98,12 +103,11 @@ def percentile_interval(values: np.ndarray, level: float = 0.95, resamples: int
 def bootstrap_intervals(long: DataFrame, keys: list[str], value: str = "value", order: str = "qid", resamples: int = 1000, seed: int = 42) -> DataFrame:
     """Keys, ``mean, ci_low, ci_high, n`` of each group, drawn from its values in the order of ``order``.
 
-    One group is one experiment, variant and metric, so its rows are the experiment's questions. Groups
-    of more than ``EXACT_GROUP`` values are not gathered: see :func:`poisson_intervals`.
+    As the reference draws: one group's values in one array, so a group (one experiment, variant and metric)
+    must fit a task. :func:`poisson_intervals` is the estimator for groups of any size. Neither is chosen by
+    the size of the input.
     """
     clean = long.where(finite(F.col(value)))
-    sizes = clean.groupBy(keys).agg(F.count("*").alias("_n"))
-    sized = clean.join(sizes, keys)
     fields = ", ".join(f"`{k}` {long.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -111,8 +115,7 @@ def bootstrap_intervals(long: DataFrame, keys: list[str], value: str = "value",
         mean, low, high, n = percentile_interval(rows[value].to_numpy(), resamples=resamples, seed=seed)
         return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=True)}, "mean": [mean], "ci_low": pa.array([low], pa.float64()), "ci_high": pa.array([high], pa.float64()), "n": [n]})
 
-    exact = sized.where(F.col("_n") <= EXACT_GROUP).select(*keys, value, order).groupBy(*keys).applyInArrow(run, f"{fields}, mean double, ci_low double, ci_high double, n long")
-    return exact.unionByName(poisson_intervals(sized.where(F.col("_n") > EXACT_GROUP), keys, value, order, resamples, seed))
+    return clean.select(*keys, value, order).groupBy(*keys).applyInArrow(run, f"{fields}, mean double, ci_low double, ci_high double, n long")
 
 
 def poisson_weights(rows: np.ndarray, resamples: int) -> np.ndarray:
@@ -123,10 +126,11 @@ def poisson_weights(rows: np.ndarray, resamples: int) -> np.ndarray:
     return np.searchsorted(_POISSON, (x ^ x >> np.uint64(31)) >> np.uint64(11), side="right")
 
 
-def poisson_intervals(long: DataFrame, keys: list[str], value: str, order: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """The same intervals with Poisson weights instead of draws: each row is weighted by itself, from the
+def poisson_intervals(long: DataFrame, keys: list[str], value: str = "value", order: str = "qid", resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """Intervals of groups of any size, with Poisson weights instead of draws: each row is weighted by itself, from the
     seed, the resample and its ``order``, so partial sums are all that moves and partitions change nothing
-    but rounding. For groups too large to gather."""
+    but rounding. Values that are not finite do not count."""
+    long = long.where(finite(F.col(value)))
     fields = ", ".join(f"`{k}` {long.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 """Logistic regression of correctness on sources, with covariance clustered by question.
 
-The design has at most 18 distinct rows, so Spark aggregates them once for the fit and once more, per
-question, for the scores; the Newton steps run on the driver over those few rows.
+The design has at most 18 distinct rows an experiment, so Spark aggregates them once for all fits and once
+more, per question, for the scores; the Newton steps run on the driver over those few rows.
 """
 
 from __future__ import annotations
@@ -60,35 +60,51 @@ def newton(x: np.ndarray, n: np.ndarray, s: np.ndarray, steps: int = 50) -> tupl
     return beta, h, False
 
 
-def fit(merged: DataFrame, experiment: str, small_sample: bool = True) -> Fit | None:
-    """Null estimates (``converged`` false) where the terms cannot be told apart; None without rows."""
-    rows = design_counts(merged.where(F.col("experiment") == experiment)).collect()  # at most 18 rows
-    if not rows:
-        return None
-    x = np.array([[1, *(r[t] for t in TERMS[1:])] for r in rows], float)
-    n, s = np.array([r["n"] for r in rows], float), np.array([r["correct"] for r in rows], float)
-    total, k = int(n.sum()), x.shape[1]
-    rate = s.sum() / total
-    null = float(s.sum() * math.log(rate) + (total - s.sum()) * math.log(1 - rate)) if 0 < rate < 1 else 0.0
-    beta, h, good = newton(x, n, s)
-    if not good or np.linalg.cond(h) > 1e12:
-        nothing = np.full(k, np.nan)
-        return Fit(nothing, np.full((k, k), np.nan), False, total, 0, float("nan"), null)
-    p = 1 / (1 + np.exp(-(x @ beta)))
+def fits(merged: DataFrame, small_sample: bool = True) -> dict[str, Fit]:
+    """The fit of every experiment, in two grouped passes over the table. Estimates are nan (``converged``
+    false) where the terms cannot be told apart."""
     spark = merged.sparkSession
-    table = spark.createDataFrame([(*map(int, row[1:]), float(q)) for row, q in zip(x, p, strict=True)], ", ".join(f"{t} int" for t in TERMS[1:]) + ", p double")
-    df = design(merged.where(F.col("experiment") == experiment)).join(F.broadcast(table), TERMS[1:])  # at most 18 rows
-    scores = df.groupBy("qid").agg(*(F.sum(F.col(t) * (F.col("y") - F.col("p"))).alias(t) for t in TERMS))
+    rows = design_counts(merged).collect()  # at most 18 rows an experiment
+    cells: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r["experiment"], *(r[t] for t in TERMS[1:]))):
+        cells.setdefault(r["experiment"], []).append(r)
+    out: dict[str, Fit] = {}
+    solved, table = {}, []
+    for name, own in cells.items():
+        x = np.array([[1, *(r[t] for t in TERMS[1:])] for r in own], float)
+        n, s = np.array([r["n"] for r in own], float), np.array([r["correct"] for r in own], float)
+        total, k = int(n.sum()), x.shape[1]
+        rate = s.sum() / total
+        null = float(s.sum() * math.log(rate) + (total - s.sum()) * math.log(1 - rate)) if 0 < rate < 1 else 0.0
+        beta, h, good = newton(x, n, s)
+        if not good or np.linalg.cond(h) > 1e12:
+            out[name] = Fit(np.full(k, np.nan), np.full((k, k), np.nan), False, total, 0, float("nan"), null)
+            continue
+        p = 1 / (1 + np.exp(-(x @ beta)))
+        solved[name] = (beta, np.linalg.inv(h), total, float((s * np.log(p) + (n - s) * np.log1p(-p)).sum()), null)
+        table += [(name, *map(int, row[1:]), float(q)) for row, q in zip(x, p, strict=True)]
+    if not solved:
+        return out
+    known = spark.createDataFrame(table, "experiment string, " + ", ".join(f"{t} int" for t in TERMS[1:]) + ", p double")
+    df = design(merged).join(F.broadcast(known), ["experiment", *TERMS[1:]])  # at most 18 rows an experiment
+    scores = df.groupBy("experiment", "qid").agg(*(F.sum(F.col(t) * (F.col("y") - F.col("p"))).alias(t) for t in TERMS))
+    k = len(TERMS)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = scores.agg(F.count("*").alias("g"), *(F.sum(F.col(TERMS[i]) * F.col(TERMS[j])).alias(f"m{i}_{j}") for i, j in pairs)).first()
-    meat = np.zeros((k, k))
-    for i, j in pairs:
-        meat[i, j] = meat[j, i] = sums[f"m{i}_{j}"]
-    bread = np.linalg.inv(h)
-    g = sums["g"]
-    factor = g / (g - 1) * (total - 1) / (total - k) if small_sample and g > 1 and total > k else 1.0
-    llf = float((s * np.log(p) + (n - s) * np.log1p(-p)).sum())
-    return Fit(beta, factor * bread @ meat @ bread, True, total, g, llf, null)
+    sums = scores.groupBy("experiment").agg(F.count("*").alias("g"), *(F.sum(F.col(TERMS[i]) * F.col(TERMS[j])).alias(f"m{i}_{j}") for i, j in pairs))
+    for r in sums.collect():  # one row an experiment
+        beta, bread, total, llf, null = solved[r["experiment"]]
+        meat = np.zeros((k, k))
+        for i, j in pairs:
+            meat[i, j] = meat[j, i] = r[f"m{i}_{j}"]
+        g = r["g"]
+        factor = g / (g - 1) * (total - 1) / (total - k) if small_sample and g > 1 and total > k else 1.0
+        out[r["experiment"]] = Fit(beta, factor * bread @ meat @ bread, True, total, g, llf, null)
+    return out
+
+
+def fit(merged: DataFrame, experiment: str, small_sample: bool = True) -> Fit | None:
+    """The fit of one experiment; None without rows."""
+    return fits(merged.where(F.col("experiment") == experiment), small_sample).get(experiment)
 
 
 def coefficients(f: Fit, alpha: float = 0.05) -> list[tuple]:
@@ -127,3 +143,34 @@ def statistics(f: Fit) -> dict[str, float | int | bool | None]:
     x = max(0.0, 2 * (f.llf - f.llnull))
     tail = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)  # chi-square, 5 degrees
     return {"converged": True, "n": f.n, "clusters": f.clusters, "df": k - 1, "pseudo_r2": 1 - f.llf / f.llnull if f.llnull else None, "llf": f.llf, "llnull": f.llnull, "llr_p": tail, "aic": 2 * k - 2 * f.llf, "bic": k * math.log(f.n) - 2 * f.llf}
+
+
+# Names of the odds table.
+ODDS_NAMES = {
+    "const": "intercept",
+    "P_i": "βP_parametric_correctness",
+    "U_present": "δU_user_display_effect",
+    "D_present": "δD_doc_display_effect",
+    "U_correct": "βU_user_correct_boost",
+    "D_correct": "βD_doc_correct_boost",
+}
+RATIO_NAMES = {"user_composite": "user_correct_composite", "doc_composite": "doc_correct_composite", "user_selectivity": "user_selectivity", "doc_selectivity": "doc_selectivity"}
+
+
+def odds_table(f: Fit) -> list[tuple[str, float | None, float | None, float | None]]:
+    """(name, ratio, low, high) to three decimals: one odds ratio a term, then composites and selectivities;
+    only these have bounds there."""
+    r3 = lambda x: None if x is None else round(x, 3)
+    rows = [(ODDS_NAMES[c[0]], r3(c[7]), None, None) for c in coefficients(f)]
+    return rows + [(RATIO_NAMES[k], *(map(r3, v) if v else (None,) * 3)) for k, v in odds(f).items()]
+
+
+def report_rows(found: dict[str, Fit]) -> list[tuple[str, str, float | None]]:
+    """(experiment, metric, value) for the cross-experiment report: each ratio with its bounds."""
+    out = []
+    for e, f in sorted(found.items()):
+        bounds = {ODDS_NAMES[c[0]]: c[8:] for c in coefficients(f)}
+        for name, ratio, low, high in odds_table(f):
+            low, high = (low, high) if name not in bounds else bounds[name]
+            out += [(e, f"odds_ratio_{name}", ratio), (e, f"odds_ratio_{name}_ci_lower", low), (e, f"odds_ratio_{name}_ci_upper", high)]
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.dims import variants
 from spindrift.functions.names import parsed
+from spindrift.operators.pairs import last_per_id
 
 
 def experiment_variants(experiments: DataFrame) -> DataFrame:
@@ -18,13 +19,16 @@ def experiment_variants(experiments: DataFrame) -> DataFrame:
     return out.withColumn("user_first", F.col("_uf") & (F.col("first") != "")).drop("_uf", "first")
 
 
-def merge_results(probes: DataFrame, canonical: DataFrame) -> DataFrame:
+def merge_results(probes: DataFrame, canonical: DataFrame, order: str | None = None) -> DataFrame:
     """``probes``: results of all variants, with ``experiment``. Gold and choices are those of the first
     variant (in display order) that has the question; ``model_correct`` is the question's result without
-    sources, false where there is none; a missing canonical wrong answer is the empty string.
+    sources, false where there is none; a missing canonical wrong answer is the empty string. ``order`` names
+    a column by which the last of several rows of one question and variant wins; without it there must be one.
 
     One window over (experiment, question) serves all three, so the table is shuffled once.
     """
+    if order is not None:
+        probes = last_per_id(probes, ["experiment", "qid", "probe_variant"], order)
     flags = experiment_variants(probes.select("experiment").distinct())
     df = probes.join(F.broadcast(flags), ["experiment", "probe_variant"])  # nine rows an experiment
     ranked = Window.partitionBy("experiment", "qid").orderBy("variant_rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -37,6 +41,23 @@ def merge_results(probes: DataFrame, canonical: DataFrame) -> DataFrame:
     return df.withColumn("canonical_wrong", F.coalesce("canonical_wrong", F.lit("")))
 
 
+def with_bare(merged: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds ``bare``: the given columns of the question's row without sources, null where there is none. The
+    window has the keys of the merged table's own, so nothing is shuffled or joined again."""
+    own = F.when(F.col("probe_variant") == "bare", F.struct(*columns))
+    return merged.withColumn("bare", F.max(own).over(Window.partitionBy("experiment", "qid")))
+
+
+def source_order(df: DataFrame) -> DataFrame:
+    """Adds ``source_order`` to rows of ``experiment`` and ``probe_variant``: which source stands first, null
+    without two of them. A variant of the other order than its experiment's is an error."""
+    first, uf = F.substring("probe_variant", 1, 1), parsed(F.col("experiment"))["user_first"]
+    two = F.col("probe_variant").rlike("^[ud][pn][ud][pn]$")
+    wrong = F.raise_error(F.concat(F.lit("variant "), "probe_variant", F.lit(" has another order than "), "experiment")).cast("string")
+    order = F.when((first == "u") != uf, wrong).when(uf, "user_first").otherwise("doc_first")
+    return df.withColumn("source_order", F.when(two, order))
+
+
 def coverage(merged: DataFrame) -> DataFrame:
     """Rows of each expected variant, and how many questions of the experiment lack it."""
     expected = experiment_variants(merged.select("experiment").distinct()).select("experiment", "probe_variant")

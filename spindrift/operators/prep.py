@@ -38,3 +38,17 @@ def seeds(base: Column) -> dict[str, Column]:
     """Two seeds modulo 2 ** 32 from one base, by fixed multipliers."""
     big = base.cast("decimal(20,0)")
     return {"t1_seed": ((big * F.lit(2654435761).cast("decimal(18,0)")) % F.lit(1 << 32)).cast("long"), "t2_seed": ((big * F.lit(3141592653).cast("decimal(18,0)")) % F.lit(1 << 32)).cast("long")}
+
+
+def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows in order."""
+    return df.orderBy(order).limit(n)
+
+
+def with_listed_choices(raw: DataFrame) -> DataFrame:
+    """Questions whose choices are a plain list."""
+    return raw.withColumn("choices", normalised_choices(F.col("choices")))
+
+
+#: How questions of each configured type are prepared.
+PREPARERS = {"csqa_custom_split": with_listed_choices, "gsm8k_mc_custom_split": to_questions}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.names import reports_dimensions
@@ -25,6 +25,15 @@ def core_report(long: DataFrame, columns: list[str]) -> DataFrame:
     return reports_dimensions(wide(long, columns))
 
 
+def forgetting_lines(outcomes: DataFrame, by: str) -> DataFrame:
+    """``at, line``: a table in Markdown of what was gained and forgotten, one row a group (few: they are
+    subjects or models)."""
+    head = outcomes.sparkSession.createDataFrame([(0, f"| {by.capitalize()} | Samples | Gain | Forget | Net |"), (1, "|---|---|---|---|---|")], "at long, line string")
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", by, "total", "gain", "forget", F.col("gain") - F.col("forget")), F.lit(" |"))
+    at = F.row_number().over(Window.orderBy(by)).cast("long") + 1
+    return head.unionByName(outcomes.select(at.alias("at"), row.alias("line")))
+
+
 def new_only(new: DataFrame, old: DataFrame, key: str = "experiment") -> DataFrame:
     """Rows of experiments that the report does not have yet."""
     return new.join(old.select(key).distinct(), key, "left_anti")

@@ -27,11 +27,10 @@ def row_split(df: DataFrame, key: str, ratio: float = 0.7, seed: int = 42) -> Da
     return ranked_split(df.withColumn("_h", hash_key(seed, F.col(key))), ratio).drop("_h")
 
 
-def ranked_split(df: DataFrame, ratio: float) -> DataFrame:
-    """``split`` by rank of the column ``_h``: the smallest ``floor(ratio * rows)`` are train."""
-    wanted = int(df.count() * ratio)
+def hash_bound(df: DataFrame, wanted: int) -> str:
+    """The shortest prefix such that the ``wanted`` smallest hashes ``_h`` are those up to it. Rows are
+    counted under one digit more each time, 16 counts, so no task sorts them all."""
     prefix, below, bound = "", 0, ""
-    # narrow the boundary digit by digit: 16 counts each time
     while wanted:
         at = len(prefix) + 1
         counts = {r[0]: r[1] for r in df.where(F.col("_h").startswith(prefix)).groupBy(F.substring("_h", at, 1)).count().collect()}
@@ -44,10 +43,52 @@ def ranked_split(df: DataFrame, ratio: float) -> DataFrame:
         if below + counts.get(bound[-1], 0) == wanted or len(bound) == 32:
             break
         prefix = bound
+    return bound
+
+
+def ranked_split(df: DataFrame, ratio: float) -> DataFrame:
+    """``split`` by rank of the column ``_h``: the smallest ``floor(ratio * rows)`` are train."""
+    bound = hash_bound(df, int(df.count() * ratio))
     train = F.substring("_h", 1, len(bound)) <= bound if bound else F.lit(False)
     return df.withColumn("split", F.when(train, "train").otherwise("dev"))
 
 
+def sample_questions(merged: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``qid`` of ``n`` questions of the table, those with the smallest hashes; all if there are not more."""
+    every = merged.select("qid").distinct().withColumn("_h", hash_key(seed, F.col("qid")))
+    if every.count() <= n:
+        return every.select("qid")
+    bound = hash_bound(every, n)
+    return every.where(F.substring("_h", 1, len(bound)) <= bound if bound else F.lit(False)).select("qid")
+
+
+def exact_questions(qids: list[str], n: int, seed: int = 42) -> set[str]:
+    """``n`` questions as the standard generator draws them from the sorted ids."""
+    order = sorted(set(qids))
+    return set(random.Random(seed).sample(order, n)) if len(order) > n else set(order)
+
+
+def selected(merged: DataFrame, questions: DataFrame) -> DataFrame:
+    """The rows of the chosen questions, tagged for training by :func:`tagged`."""
+    return merged.join(questions.select("qid").distinct(), "qid", "left_semi")
+
+
+def tagged(merged: DataFrame, strategy: str) -> DataFrame:
+    """Adds ``sft_strategy``, ``tier_config``, ``tier`` and ``source_experiment`` by the experiment's name."""
+    prior = F.get(F.split("experiment", "__"), F.lit(2))
+    known = prior.isin("d1nu1nin", "u1nd1nin", "d2nu2nin", "u2nd2nin")
+    tier = F.when(known, F.concat(F.lit("tier"), F.substring(prior, 2, 1))).otherwise("unknown")
+    return merged.withColumns({"sft_strategy": F.lit(f"tier_{strategy}"), "tier_config": prior, "tier": tier, "source_experiment": F.col("experiment")})
+
+
+def exact_row_split(rows: list, ratio: float = 0.7, seed: int = 42) -> tuple[list, list]:
+    """Rows shuffled by the standard generator; the first ``int(n * ratio)`` are train."""
+    order = list(rows)
+    random.Random(seed).shuffle(order)
+    cut = int(len(order) * ratio)
+    return order[:cut], order[cut:]
+
+
 def exact_group_split(names: list[str], ratio: float = 0.7, seed: int = 42) -> tuple[list[str], list[str]]:
     """Sorted names shuffled by the standard generator; the first ``int(n * ratio)`` are train."""
     order = sorted(names)
@@ -84,23 +125,38 @@ def pools(merged: DataFrame) -> DataFrame:
     return merged.where(mine)
 
 
-def capacity(pool: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+def capacity(pool: DataFrame, table: DataFrame, by: list[str], total: int | None = None) -> DataFrame:
     """Per variant: available rows, the size of a whole sample they allow, and the target: the share of
-    the smallest of those sizes (``T``)."""
+    the smallest of those sizes, or of the given ``total`` (``T``)."""
     counts = pool.groupBy(*by, "probe_variant").agg(F.count("*").alias("available"))
     df = counts.join(F.broadcast(table), "probe_variant").where("pct > 0")  # 13 rows
     df = df.withColumn("max_size", F.floor(F.col("available") / (F.col("pct") / 100)))
+    if total is not None:
+        return df.withColumn("T", F.lit(total).cast("long")).withColumn("target", F.floor(F.col("pct") / 100 * F.col("T")))
     size = df.groupBy(*by).agg(F.min("max_size").alias("T"))
     return df.join(size, by).withColumn("target", F.floor(F.col("pct") / 100 * F.col("T")))
 
 
-def balanced_sample(pool: DataFrame, table: DataFrame, by: list[str], seed: int = 42) -> DataFrame:
+def balanced_sample(pool: DataFrame, table: DataFrame, by: list[str], seed: int = 42, total: int | None = None) -> DataFrame:
     """Rows of each variant up to its target, by hash of the question and the variant. The hash does not
-    hold the tier, so equal pools give equal questions in both tiers."""
-    sized = capacity(pool, table, by).select(*by, "probe_variant", "at", "target")
-    keyed = pool.join(F.broadcast(sized), [*by, "probe_variant"]).withColumn("_h", F.md5(F.concat_ws("|", (F.lit(seed) + F.col("at")).cast("string"), "qid")))
-    order = Window.partitionBy(*by, "probe_variant").orderBy("_h", "qid")
-    return keyed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("target")).drop("_n", "_h", "at", "target")
+    hold the tier, so equal pools give equal questions in both tiers.
+
+    Rows are counted under the hash's first digits; those below the digits where the target falls are
+    in, and only rows with these very digits (one in 65,536) are sorted.
+    """
+    keys = [*by, "probe_variant"]
+    sized = capacity(pool, table, by, total).select(*keys, "at", "target")
+    keyed = pool.join(F.broadcast(sized), keys).withColumn("_h", F.md5(F.concat_ws("|", (F.lit(seed) + F.col("at")).cast("string"), "qid")))  # 13 rows a tier
+    keyed = keyed.withColumn("_x", F.substring("_h", 1, 4))
+    counts = keyed.groupBy(*keys, "target", "_x").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_x"))  # at most 65,536 counts each
+    cut = counts.withColumn("_upto", upto).where(F.col("_upto") >= F.col("target")).groupBy(*keys).agg(F.min(F.struct("_x", (F.col("_upto") - F.col("_n")).alias("below"))).alias("_cut"))
+    keyed = keyed.join(F.broadcast(cut), keys, "left")  # 13 rows a tier
+    sure = keyed.where(F.col("_cut").isNull() | (F.col("_x") < F.col("_cut._x")))
+    edge = keyed.where(F.col("_x") == F.col("_cut._x"))
+    edge = edge.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "qid")))
+    edge = edge.where(F.col("_n") <= F.col("target") - F.col("_cut.below")).drop("_n")
+    return sure.unionByName(edge).drop("_h", "_x", "_cut", "at", "target")
 
 
 def exact_sample(qids: dict[str, list[str]], strategy: str, seed: int = 42) -> list[tuple[str, str]]:

@@ -40,6 +40,12 @@ def softmax(logits: Column) -> Column:
     return F.transform(raised, lambda x: x / total)
 
 
+def log_softmax(logits: Column) -> Column:
+    top = F.array_max(logits)
+    total = F.log(F.aggregate(F.transform(logits, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x))
+    return F.transform(logits, lambda x: x - top - total)
+
+
 def probe_results(df: DataFrame) -> DataFrame:
     """Adds ``probs``, ``output_letter``, ``output_correct`` and ``max_prob`` to rows with ``gold``,
     ``choices`` and ``logits``. Equal logits: the first choice. No letter seen: UNKNOWN."""

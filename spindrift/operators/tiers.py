@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from spindrift.functions.text import contains_answer, key_values, md5_number, tier1_sentence
 from spindrift.operators.prep import seeds
 from spindrift.schemas import SENTENCE_KEYS
+from spindrift.session import shared_folder
 
 FIELDS = ["user_correct", "doc_correct", "user_wrong", "doc_wrong"]
 
@@ -45,10 +47,8 @@ def tier2(questions: DataFrame, make_writer: Callable[[], Callable[[list[str]],
 
     Every attempt is written to the shared folder, so an expensive reply is never asked for twice.
     """
-    from tempfile import mkdtemp
-
     spark = questions.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp()
+    folder = f"{shared_folder(spark)}/tier2-{uuid.uuid4().hex}"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = make_writer()
@@ -60,8 +60,8 @@ def tier2(questions: DataFrame, make_writer: Callable[[], Callable[[list[str]],
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in questions.schema.fields)
     todo, good = questions, None
     for attempt in range(attempts):
-        path = f"{folder}/tier2-{id(questions)}-{attempt}"
-        tier2_parsed(todo.mapInArrow(ask, f"{fields}, reply string")).write.mode("overwrite").parquet(path)
+        path = f"{folder}/{attempt}"
+        tier2_parsed(todo.mapInArrow(ask, f"{fields}, reply string")).write.parquet(path)
         done = spark.read.parquet(path)
         passed = done.where("error is null").drop("error", "reply")
         good = passed if good is None else good.unionByName(passed)

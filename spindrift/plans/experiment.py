@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.names import parsed
 from spindrift.functions.text import system_prompt, user_prompt
-from spindrift.operators import breakdown, choice, distribution, merge, report
+from spindrift.operators import breakdown, choice, distribution, logit, merge, report
 from spindrift.operators.tiers import source_sentence
 
 
@@ -51,14 +51,52 @@ def shared_results(wanted: DataFrame, have: DataFrame) -> tuple[DataFrame, DataF
     return found, keyed.join(known, ["scope", "probe_variant", "qid"], "left_anti").drop("scope")
 
 
+#: Kinds of metrics that an experiment is asked for.
+METRIC_KINDS = ["logistic", "choice", "distribution"]
+
+
+def expected_files(experiments: DataFrame, questions: int) -> DataFrame:
+    """``experiment, file, lines``: results of nine variants, canonical wrong answers and the merged table;
+    reasoning models also have a file of reasoning for each variant."""
+    named = merge.experiment_variants(experiments).withColumn("_r", parsed(F.col("experiment"))["reasoning_mode"])
+    own = named.select("experiment", F.concat(F.lit("probs_"), "probe_variant", F.lit(".jsonl")).alias("file"))
+    thought = named.where("_r").select("experiment", F.concat("probe_variant", F.lit("_vllm_reasoning.jsonl")).alias("file"))
+    single = experiments.select("experiment", F.explode(F.array(F.lit("canonical_wrong.jsonl"), F.lit("merged_results.jsonl"))).alias("file"))
+    lines = F.when(F.col("file") == "merged_results.jsonl", 9 * questions).otherwise(questions).cast("long")
+    return own.unionByName(thought).unionByName(single).withColumn("lines", lines)
+
+
+def files_complete(wanted: DataFrame, have: DataFrame) -> DataFrame:
+    """``experiment, files, missing, complete``: a file counts if it has the lines it should have."""
+    found = have.select("experiment", "file", F.col("lines").alias("_have"))
+    df = wanted.join(found, ["experiment", "file"], "left")
+    lacks = F.coalesce(F.col("_have") != F.col("lines"), F.lit(True)) | (F.col("lines") == 0)
+    out = df.groupBy("experiment").agg(F.count("*").alias("files"), F.count_if(lacks).alias("missing"))
+    return out.withColumn("complete", F.col("missing") == 0)
+
+
+def metric_presence(experiments: DataFrame, have: DataFrame, wanted: list[str] = METRIC_KINDS) -> DataFrame:
+    """``experiment, complete``: whether all wanted kinds of ``have`` (``experiment, metric``) are there."""
+    n = have.where(F.col("metric").isin(wanted)).groupBy("experiment").agg(F.count_distinct("metric").alias("_n"))
+    return experiments.join(n, "experiment", "left").select("experiment", (F.coalesce("_n", F.lit(0)) == len(wanted)).alias("complete"))
+
+
+def pending(merged: DataFrame, have: DataFrame, wanted: list[str] = METRIC_KINDS) -> DataFrame:
+    """The rows of experiments that lack one of the wanted kinds: the others are skipped."""
+    done = metric_presence(have.select("experiment").distinct(), have, wanted).where("complete")
+    return merged.join(done, "experiment", "left_anti")
+
+
 def metrics(merged: DataFrame) -> DataFrame:
-    """All metrics of all experiments as long rows: one job where a pool of processes would go one by one."""
+    """All metrics of all experiments as long rows: one job where a pool of processes would go one by one. An
+    experiment whose regression cannot be told apart has null there and all else."""
     rows = report.long_rows(choice.choice_metrics(merged), choice.METRICS, "choice")
     shifts = distribution.means(distribution.shift_metrics(distribution.prob_vectors(merged)))
     rows = rows.unionByName(report.long_rows(shifts, distribution.SHIFTS, "distribution"))
     flat = breakdown.breakdown(merged)
     rows = rows.unionByName(report.long_rows(flat, ["correct_rate", "unknown_rate"], "breakdown", "condition"))
-    return rows
+    ratios = merged.sparkSession.createDataFrame(logit.report_rows(logit.fits(merged)), "experiment string, metric string, value double")
+    return rows.unionByName(ratios)
 
 
 def complete(merged: DataFrame) -> DataFrame:

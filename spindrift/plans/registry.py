@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +31,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    import_module("spindrift.plans.inventory")  # adds its own
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import_module("spindrift.plans.inventory")
     return dict(_SQL)
 
 
@@ -53,8 +56,10 @@ fs AS (SELECT experiment, probe_variant, count(*) AS n, round(avg(output_correct
 SELECT fs.*, kl, delta_entropy FROM fs LEFT JOIN sums USING (experiment, probe_variant)""")
 def variant_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fixtures.merged(spark, sf_dir)
-    shifts = distribution.means(distribution.shift_metrics(distribution.prob_vectors(m)), ["kl", "delta_entropy"]).drop("n_samples")
-    return r6(choice.accuracy(m).join(shifts, ["experiment", "probe_variant"], "left"), "accuracy", "kl", "delta_entropy")
+    df = distribution.shift_columns(distribution.prob_vectors(m, keep=True))
+    shift = lambda c: F.avg(F.when((F.col("probe_variant") != "bare") & distribution.finite(F.col(c)), F.col(c))).alias(c)
+    out = df.groupBy("experiment", "probe_variant").agg(F.count("*").alias("n"), F.avg(F.col("output_correct").cast("double")).alias("accuracy"), shift("kl"), shift("delta_entropy"))
+    return r6(out, "accuracy", "kl", "delta_entropy")
 
 
 # -- names ----------------------------------------------------------------------------------
@@ -258,7 +263,7 @@ def distribution_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = distribution.shift_metrics(_vectors(spark, sf_dir)).unpivot(["experiment", "probe_variant", "qid"], distribution.SHIFTS, "metric", "value")
-    return distribution.bootstrap_intervals(long, ["experiment", "probe_variant", "metric"])
+    return distribution.poisson_intervals(long, ["experiment", "probe_variant", "metric"])
 
 
 # -- regression -----------------------------------------------------------------------------
@@ -270,8 +275,7 @@ def logit_design_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fits(spark: SparkSession, sf_dir: str) -> list[tuple[str, logit.Fit]]:
-    m = fixtures.merged(spark, sf_dir)
-    return [(e, f) for e, _, _ in fixtures.EXPERIMENTS if (f := logit.fit(m, e)) is not None]
+    return sorted(logit.fits(fixtures.merged(spark, sf_dir)).items())
 
 
 @query()
@@ -421,10 +425,10 @@ def t1_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("qid", text.tier1_sentence("user", answer, seed).alias("user_sentence"), text.tier1_sentence("doc", answer, seed, "math").alias("doc_sentence"))
 
 
-@query("""WITH a AS (SELECT doc_id, upper(regexp_extract(substr(text, 1, 40), '([A-Da-d])', 1)) AS plain, upper(regexp_extract('<answer> ' || substr(text, 3, 40), '<answer>.*?([A-Da-d])', 1, 's')) AS cot FROM documents) SELECT doc_id, CASE WHEN plain = '' THEN 'Cannot parse answer' ELSE plain END AS plain, CASE WHEN cot = '' THEN 'Cannot parse answer' ELSE cot END AS cot FROM a""")
+@query("""WITH a AS (SELECT doc_id, upper(regexp_extract(text, '([A-Da-d])', 1)) AS plain, upper(regexp_extract(substr(text, 1, 20) || '<answer> ' || substr(text, 21), '<answer>.*?([A-Da-d])', 1, 's')) AS cot FROM documents) SELECT doc_id, CASE WHEN plain = '' THEN 'Cannot parse answer' ELSE plain END AS plain, CASE WHEN cot = '' THEN 'Cannot parse answer' ELSE cot END AS cot FROM a""")
 def extract_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", text.extract_letter(F.substring("text", 1, 40), 4).alias("plain"), text.extract_letter(F.concat(F.lit("<answer> "), F.substring("text", 3, 40)), 4, True).alias("cot"))
+    return docs.select("doc_id", text.extract_letter(F.col("text"), 4).alias("plain"), text.extract_letter(F.concat(F.substring("text", 1, 20), F.lit("<answer> "), F.substr("text", F.lit(21))), 4, True).alias("cot"))
 
 
 def _completion_sql() -> str:
@@ -441,10 +445,9 @@ def extract_completion_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", text.completion_answer(F.col("c")).alias("plain"), text.completion_answer(F.col("c"), True).alias("reasoned"))
 
 
-@query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 30) || '</think>' || substr(text, 31, 20) || '</think> end' ELSE substr(text, 1, 30) END AS c FROM documents) SELECT doc_id, CASE WHEN regexp_extract(c, '^(.*</think>)', 1, 's') = '' THEN c ELSE regexp_extract(c, '^(.*</think>)', 1, 's') END AS thinking FROM t""")
+@query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 30) || '</think>' || substr(text, 31) || '</think> end' ELSE text END AS c FROM documents) SELECT doc_id, CASE WHEN regexp_extract(c, '^(.*</think>)', 1, 's') = '' THEN c ELSE regexp_extract(c, '^(.*</think>)', 1, 's') END AS thinking FROM t""")
 def thinking_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = lambda a, n: F.substring("text", a, n)
-    c = F.when(F.col("doc_id") % 2 == 0, F.concat(cut(1, 30), F.lit("</think>"), cut(31, 20), F.lit("</think> end"))).otherwise(cut(1, 30))
+    c = F.when(F.col("doc_id") % 2 == 0, F.concat(F.substring("text", 1, 30), F.lit("</think>"), F.substr("text", F.lit(31)), F.lit("</think> end"))).otherwise(F.col("text"))
     return read(spark, sf_dir, "documents").select("doc_id", text.thinking_text(c).alias("thinking"))
 
 
@@ -484,11 +487,13 @@ def report_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(out, *kept).select("experiment", "dataset", "model_family", *kept)
 
 
-@query()
+@query(BASE + """SELECT qid, 'bare' AS probe_variant, 5 AS n_choices, chr((65 + arg_max(ci, x * 1000000 - ci))::INTEGER) AS output_letter, max(x) FILTER (ci = 0) AS logp_a, max(x) FILTER (ci = 4) AS logp_e
+FROM (SELECT q.*, ci, ((((k + 1) * 7919 + ci * 104729) % 1009) / 100.0)::DOUBLE AS x FROM q, c) GROUP BY qid""")
 def openai_letter_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scorer that answers from the question's fixture logits in an API's form."""
     prompts = fixtures.questions(spark, sf_dir).select("qid", F.lit("bare").alias("probe_variant"), F.lit("").alias("system_prompt"), F.col("question").alias("user_prompt"), F.size("choices").alias("n_choices"))
-    return scoring.scored(prompts, _stub).drop("system_prompt", "user_prompt")
+    found = scoring.scored(prompts, _stub)
+    return found.select("qid", "probe_variant", "n_choices", "output_letter", F.col("logps")[0].alias("logp_a"), F.col("logps")[4].alias("logp_e"))
 
 
 def _stub() -> scoring.Scorer:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +21,10 @@ def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spark
     for k, v in (defaults | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where the session
+    names none (tests, notebooks)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    return found.rstrip("/") if found else "file://" + tempfile.mkdtemp(prefix="spindrift-")

@@ -167,6 +167,16 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("ignore").json(path)
 
 
+def materialise(splits: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Write each split as JSON lines under a folder, or nothing where all are there already; gives the
+    manifest (name to path)."""
+    paths = {name: f"{folder}/{name}.jsonl" for name in splits}
+    for name, df in splits.items():
+        if not all(exists(df.sparkSession, p) for p in paths.values()):
+            df.write.mode("overwrite").json(paths[name])
+    return paths
+
+
 def markdown_table(df: DataFrame, columns: list[str]) -> str:
     """A small report table: the frame is gathered, so it must be one row a model or subject."""
     rows = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]

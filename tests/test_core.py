@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import names, text
-from spindrift.operators import canonical, choice, distribution, logit, pairs, prep, sampling, scoring
-from spindrift.plans import fixtures, registry
+from spindrift.operators import canonical, choice, distribution, logit, merge, pairs, prep, sampling, scoring
+from spindrift.plans import experiment, fixtures, registry
 from spindrift.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -99,7 +99,7 @@ def test_bootstrap(spark):
     df = spark.createDataFrame([("a", f"{i:03}", float(x)) for i, x in enumerate(v)] + [("a", "x", float("nan")), ("b", "y", float("inf"))], "g string, qid string, value double")
     got = distribution.bootstrap_intervals(df, ["g"]).collect()
     assert len(got) == 1 and abs(got[0]["ci_low"] - low) < 1e-12
-    rough = distribution.poisson_intervals(df.where("g = 'a' and not isnan(value)"), ["g"], "value", "qid").first()
+    rough = distribution.poisson_intervals(df.where("g = 'a'"), ["g"], "value", "qid").first()
     assert abs(rough["mean"] - mean) < 1e-9 and abs(rough["ci_low"] - low) < 0.2 and rough["n"] == 30
 
 
@@ -192,3 +192,60 @@ def test_tiers(spark):
     good, bad = tiers.tier2(asked, writer, attempts=2)
     assert good.count() == 5 and [tuple(r) for r in bad.select("qid", "error").collect()] == [("3", "fields missing")]
     assert tiers.sentences(t1, good).count() == 5
+
+
+def test_errors_that_stop(spark):
+    df = spark.createDataFrame([("csqa__qwen3_8b__d1nu1nin__nocot", "updn", "m1")], "experiment string, probe_variant string, model_key string")
+    with pytest.raises(Exception, match="another order"):
+        merge.source_order(df).collect()
+    with pytest.raises(Exception, match="not configured"):
+        names.with_model_id(df, {"m2": "x"}).collect()
+
+
+def test_row_split_and_questions():
+    train, dev = sampling.exact_row_split(list("abcdefghij"))
+    order = list("abcdefghij")
+    random.Random(42).shuffle(order)
+    assert train == order[:7] and dev == order[7:]
+    assert sampling.exact_questions(["b", "a", "c", "a"], 2) == set(random.Random(42).sample(["a", "b", "c"], 2)) and sampling.exact_questions(["a"], 5) == {"a"}
+
+
+def test_questions_and_tags(spark):
+    df = spark.createDataFrame([(str(i), "csqa__m__u2nd2nin__nocot") for i in range(50)], "qid string, experiment string")
+    picked = {r[0] for r in sampling.sample_questions(df, 20).collect()}
+    assert len(picked) == 20 and sampling.sample_questions(df, 50).count() == 50 and sampling.sample_questions(df, 0).count() == 0
+    assert sampling.selected(df, df.where("qid < '2'")).count() == 12
+    assert sampling.tagged(df, "t2").select("tier", "tier_config", "sft_strategy").distinct().collect() == [("tier2", "u2nd2nin", "tier_t2")]
+
+
+def test_splits_are_written_once(spark, tmp_path):
+    df = spark.range(3)
+    first = files.materialise({"train": df, "dev": df.limit(1)}, f"file://{tmp_path}")
+    again = files.materialise({"train": spark.range(9), "dev": df}, f"file://{tmp_path}")
+    assert first == again and spark.read.json(first["train"]).count() == 3
+
+
+def test_finished_experiments_are_skipped(spark):
+    merged = spark.createDataFrame([("a",), ("b",), ("c",)], "experiment string")
+    have = spark.createDataFrame([("a", m) for m in experiment.METRIC_KINDS] + [("b", "choice")], "experiment string, metric string")
+    assert sorted(r[0] for r in experiment.pending(merged, have).collect()) == ["b", "c"]
+
+
+def test_odds_names_and_decimals(spark):
+    m = fixtures.merged(spark, SF)
+    found = logit.fits(m)
+    assert set(found) == {e for e, _, _ in fixtures.EXPERIMENTS}
+    table = {name: (ratio, low, high) for name, ratio, low, high in logit.odds_table(next(iter(found.values())))}
+    assert set(table) == {*logit.ODDS_NAMES.values(), *logit.RATIO_NAMES.values()}
+    assert all(v[0] == round(v[0], 3) for v in table.values()) and table["intercept"][1] is None and table["user_selectivity"][1] is not None
+    metrics = {r["metric"] for r in experiment.metrics(m).select("metric").distinct().collect()}
+    assert "odds_ratio_intercept_ci_lower" in metrics and any(x.startswith("choice_") for x in metrics)
+
+
+def test_balanced_sample_with_equal_hashes(spark):
+    """Rows of one question have one hash: the targets are met all the same."""
+    weights = spark.createDataFrame([("bare", 0, 60.0), ("upos", 1, 40.0)], "probe_variant string, at int, pct double")
+    pool = spark.createDataFrame([("t", v, str(i % 7)) for v in ("bare", "upos") for i in range(100)], "tier string, probe_variant string, qid string")
+    for total in (0, 1, 37, 100):
+        got = {r[0]: r[1] for r in sampling.balanced_sample(pool, weights, ["tier"], total=total).groupBy("probe_variant").count().collect()}
+        assert got == {k: v for k, v in (("bare", int(0.6 * total)), ("upos", int(0.4 * total))) if v}
