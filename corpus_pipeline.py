@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each as Parquet into the
 shared folder and reads it again as the next one's documents. All but the last return the columns of
-``documents``.
+``documents``; other columns are not carried, whatever their names. A null text fails the base rules, so it
+goes in the first stage; a document with a null id is kept by the join, which names copies by their ids. An
+empty table passes every stage empty. Rows of one id and text are judged alike.
 """
 
 from __future__ import annotations
