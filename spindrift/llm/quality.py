@@ -29,14 +29,9 @@ MAX_WORDS, LEAST_ROWS = 256, 5
 #: Words from which a text's windows are sorted by their whole hash.
 LONG = 1 << 16
 NO_LETTERS = r"[^\p{L}]+"
-
-
-def words_pattern(words: list[str]) -> str:
-    """A regular expression for any of the words (letters only) as a whole word, by their first letters."""
-    first: dict[str, list[str]] = {}
-    for w in sorted(words):
-        first.setdefault(w[0], []).append(w[1:])
-    return r"(?<!\p{L})(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in first.items()) + r")(?!\p{L})"
+DIGITS, CAPITALS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Every character by itself: Java's patterns look such a class up in a table, but test ranges one by one.
+NOT_COUNTED = f"[^{SYMBOLS}{DIGITS}{CAPITALS}]+"
 
 
 def text_counts(docs: DataFrame, text: str = "text", words: list[str] | None = None) -> DataFrame:
@@ -46,37 +41,42 @@ def text_counts(docs: DataFrame, text: str = "text", words: list[str] | None = N
     A null text counts as empty: all zero; repeated rows count each; an empty table stays empty. A repeated
     3-word window is found by sorting 64-bit values that hold the window's hash above its position, so no
     text leaves its row and a text of any length is one sort. From ``LONG`` words on, where the position
-    would leave the hash too few bits, pairs of the whole 64-bit hash and the position are sorted. ``words``: also ``_toxic``, how often they stand in the text in any case.
+    would leave the hash too few bits, pairs of the whole 64-bit hash and the position are sorted.
+    ``words`` (lower case, letters only): also ``_toxic``, how many of the text's runs of letters are one of them.
     """
-    def stripped(chars: str) -> Column:
-        return F.translate(F.col("_t"), chars, "")
+    def among(chars: str) -> Column:
+        return (F.length("_few") - F.length(F.translate("_few", chars, ""))).cast("long")
 
     df = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    # the few characters that are counted by kind; translate looks each one up, so it gets these alone
+    df = df.withColumn("_few", F.regexp_replace("_t", NOT_COUNTED, ""))
     df = df.withColumn("_w", F.filter(F.split("_t", SPACE + "+"), lambda w: w != "")).withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0))
     df = df.withColumns({
         "n_words": F.size("_w").cast("long"),
-        "word_chars": F.length(stripped(SPACES)).cast("long"),
-        "n_symbols": (F.length("_t") - F.length(stripped(SYMBOLS))).cast("long"),
+        "word_chars": F.length(F.concat_ws("", "_w")).cast("long"),
+        "n_symbols": among(SYMBOLS),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         "_lines": F.size("_l").cast("long"),
         "_distinct": F.size(F.array_distinct("_w")).cast("long"),
-        "_digits": (F.length("_t") - F.length(stripped("0123456789"))).cast("long"),
-        "_upper": (F.length("_t") - F.length(stripped("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).cast("long"),
-        "_letters": F.length(F.regexp_replace("_t", r"[^\p{L}]+", "")).cast("long"),
+        "_digits": among(DIGITS),
+        "_upper": among(CAPITALS),
+        "_letters": F.length(F.regexp_replace("_t", NO_LETTERS, "")).cast("long"),
         "_bits": F.length(F.bin(F.size("_w").cast("long"))),
     })
     if words is not None:
-        df = df.withColumn("_toxic", (F.regexp_count(F.lower("_t"), F.lit(words_pattern(words))) if words else F.lit(0)).cast("long"))
+        df = df.withColumn("_toxic", (F.size(F.filter(F.split(F.lower("_t"), NO_LETTERS), lambda w: w.isin(words))) if words else F.lit(0)).cast("long"))
     window = "transform(sequence(1, size(_w) - 2), i -> {0})"
     hashed = "xxhash64(_w[i - 1], _w[i], _w[i + 1])"
     short, long = window.format(f"shiftleft({hashed}, _bits) | cast(i as bigint)"), window.format(f"struct({hashed} as h, cast(i as bigint) as i)")
     df = df.withColumns({
         "_s": F.expr(f"CASE WHEN size(_w) BETWEEN 3 AND {LONG - 1} THEN sort_array({short}) ELSE cast(array() as array<bigint>) END"),
         "_v": F.expr(f"CASE WHEN size(_w) >= {LONG} THEN sort_array({long}) ELSE cast(array() as array<struct<h:bigint,i:bigint>>) END"),
-    }).drop("_w", "_l", "_t")
-    equal = "filter({0}, (x, j) -> coalesce({1} = {2}, false) OR coalesce({1} = {3}, false))"
-    twice = equal.format("_s", "shiftright(x, _bits)", "shiftright(get(_s, j - 1), _bits)", "shiftright(get(_s, j + 1), _bits)")
-    pairs = equal.format("_v", "x.h", "get(_v, j - 1).h", "get(_v, j + 1).h")
+    }).drop("_w", "_l", "_t", "_few")
+    # beyond either end there is null, which is not true
+    equal = "filter({0}, (x, j) -> {1} OR {2})"
+    same = "shiftrightunsigned(x ^ get(_s, j {0} 1), _bits) = 0"
+    twice = equal.format("_s", same.format("-"), same.format("+"))
+    pairs = equal.format("_v", "x.h = get(_v, j - 1).h", "x.h = get(_v, j + 1).h")
     df = df.withColumn("_p", F.expr(f"concat(transform({twice}, x -> x & (shiftleft(1L, _bits) - 1)), transform({pairs}, x -> x.i))")).drop("_s", "_v")
     repeated = F.size(F.array_distinct(F.flatten(F.transform("_p", lambda p: F.array(p, p + 1, p + 2))))).cast("long")
     names = [*COUNTS[:-1], "_lines", "_distinct", "_digits", "_upper", "_letters", *(["_toxic"] if words is not None else [])]
