@@ -3,8 +3,8 @@
 Sequential covering grows one conjunction of thresholds after another on two thirds of the labelled
 rows (FOIL gain), prunes it on the rest, and stops when a rule is not precise enough there. The list
 becomes one ordered ``CASE WHEN`` of Spark. A second list has the toxic label as its target; its
-statistics include how often words learned from the labelled rows stand in a text. DataFrame functions only
-on the executors; the fit runs on the driver over the statistics of at most ``max_labelled`` labelled rows.
+statistics include how often words learned from the labelled rows stand in a text. Both lists are fitted
+on the same labelled rows, whose statistics are made once. DataFrame functions only on the executors; the fit runs on the driver over the statistics of at most ``max_labelled`` labelled rows.
 """
 
 from __future__ import annotations
@@ -50,6 +50,7 @@ def text_counts(docs: DataFrame, text: str = "text", words: list[str] | None = N
     df = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     # the few characters that are counted by kind; translate looks each one up, so it gets these alone
     df = df.withColumn("_few", F.regexp_replace("_t", NOT_COUNTED, ""))
+    df = df.withColumn("_r", F.split(F.lower("_t"), NO_LETTERS))
     df = df.withColumn("_w", F.filter(F.split("_t", SPACE + "+"), lambda w: w != "")).withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0))
     df = df.withColumns({
         "n_words": F.size("_w").cast("long"),
@@ -60,18 +61,18 @@ def text_counts(docs: DataFrame, text: str = "text", words: list[str] | None = N
         "_distinct": F.size(F.array_distinct("_w")).cast("long"),
         "_digits": among(DIGITS),
         "_upper": among(CAPITALS),
-        "_letters": F.length(F.regexp_replace("_t", NO_LETTERS, "")).cast("long"),
+        "_letters": F.length(F.concat_ws("", "_r")).cast("long"),
         "_bits": F.length(F.bin(F.size("_w").cast("long"))),
     })
     if words is not None:
-        df = df.withColumn("_toxic", (F.size(F.filter(F.split(F.lower("_t"), NO_LETTERS), lambda w: w.isin(words))) if words else F.lit(0)).cast("long"))
+        df = df.withColumn("_toxic", (F.size(F.filter("_r", lambda w: w.isin(words))) if words else F.lit(0)).cast("long"))
     window = "transform(sequence(1, size(_w) - 2), i -> {0})"
     hashed = "xxhash64(_w[i - 1], _w[i], _w[i + 1])"
     short, long = window.format(f"shiftleft({hashed}, _bits) | cast(i as bigint)"), window.format(f"struct({hashed} as h, cast(i as bigint) as i)")
     df = df.withColumns({
         "_s": F.expr(f"CASE WHEN size(_w) BETWEEN 3 AND {LONG - 1} THEN sort_array({short}) ELSE cast(array() as array<bigint>) END"),
         "_v": F.expr(f"CASE WHEN size(_w) >= {LONG} THEN sort_array({long}) ELSE cast(array() as array<struct<h:bigint,i:bigint>>) END"),
-    }).drop("_w", "_l", "_t", "_few")
+    }).drop("_w", "_r", "_l", "_t", "_few")
     # beyond either end there is null, which is not true
     equal = "filter({0}, (x, j) -> {1} OR {2})"
     same = "shiftrightunsigned(x ^ get(_s, j {0} 1), _bits) = 0"
@@ -193,49 +194,57 @@ def decision_column(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(True))
 
 
-def labelled_statistics(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Features and reject flags of at most ``max_labelled`` labelled documents.
-
-    Labels with a null id or quality are left out; an id with several labels counts as its lowest
-    quality, an id with several texts as one of them (the least by its counts).
-    """
-    chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows of 16 bytes
-    stats = text_counts(rows).select("doc_id", "_quality", F.array(*(features()[c] for c in FEATURES)).alias("f"))
-    got = stats.groupBy("doc_id").agg(F.min(F.struct("_quality", "f")).alias("s")).select("doc_id", "s.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    x = np.array([r["f"] for r in got], float).reshape(len(got), len(FEATURES))
-    return x, np.array([r["_quality"] == 0 for r in got], bool)
-
-
 @dataclass(frozen=True)
 class ToxicList:
     words: list[str]
     rules: list[Rule]
 
 
-def learn_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicList | None:
-    """Words and decision list for ``toxic = 1`` over at most ``max_labelled`` labelled documents.
+def toxic_words(rows: DataFrame) -> list[str]:
+    """Words of rows with ``_toxic_label``: at least ``LEAST_ROWS`` toxic rows and nine in ten of the rows with
+    such a word are toxic; at most ``MAX_WORDS``, those of most toxic rows."""
+    seen = rows.where("_toxic_label is not null").select("_toxic_label", F.explode(F.array_distinct(F.split(F.lower("text"), NO_LETTERS))).alias("w")).where("w <> ''")
+    counts = seen.groupBy("w").agg(F.count_if(F.col("_toxic_label") == 1).alias("t"), F.count("*").alias("n"))
+    best = counts.where((F.col("t") >= LEAST_ROWS) & (10 * F.col("t") >= 9 * F.col("n"))).orderBy(F.desc("t"), "n", "w").limit(MAX_WORDS)
+    return [r["w"] for r in best.collect()]
+
 
-    A word is learned if at least ``LEAST_ROWS`` toxic rows and nine in ten of the rows with it are toxic.
-    Words come from two thirds of the rows, which grow the rules too; the rest prunes. An id with several
-    labels counts as toxic if one says so, one with several texts as one of them.
+def learn_lists(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[list[Rule], ToxicList | None]:
+    """The list for ``quality = 0`` and the one for ``toxic = 1``, over at most ``max_labelled`` labelled
+    documents (smallest hashes of the id).
+
+    A row whose label is null does not count for that label's list; no rows: no rules, or None. An id with
+    several labels counts as its lowest quality and as toxic if one says so, one with several texts as one of
+    them (the least by its counts). The toxic list's words come from two thirds of the rows, which grow its
+    rules too; the rest prunes.
     """
-    chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_label"))
+    known = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
+    chosen = known.groupBy("doc_id").agg(F.min("quality").alias("_quality_label"), F.max("toxic").alias("_toxic_label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")  # at most max_labelled labels of 16 bytes
     grow = F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 2
-    seen = rows.where(grow).select("_label", F.explode(F.array_distinct(F.split(F.lower("text"), NO_LETTERS))).alias("w")).where("w <> ''")
-    counts = seen.groupBy("w").agg(F.count_if(F.col("_label") == 1).alias("t"), F.count("*").alias("n"))
-    best = counts.where((F.col("t") >= LEAST_ROWS) & (10 * F.col("t") >= 9 * F.col("n"))).orderBy(F.desc("t"), "n", "w").limit(MAX_WORDS)
-    words = [r["w"] for r in best.collect()]
-    stats = text_counts(rows, words=words).select("doc_id", "_label", grow.alias("_grow"), F.array(*(features()[c] for c in ALL_FEATURES)).alias("f"))
-    got = stats.groupBy("doc_id").agg(F.max(F.struct("_label", "_grow", "f")).alias("s")).select("doc_id", "s.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    words = toxic_words(rows.where(grow))
+    stats = text_counts(rows, words=words).select("doc_id", "_quality_label", "_toxic_label", grow.alias("_grow"), F.array(*(features()[c] for c in ALL_FEATURES)).alias("f"))
+    got = stats.groupBy("doc_id").agg(F.min(F.struct("_quality_label", "_toxic_label", "_grow", "f")).alias("s")).select("doc_id", "s.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     remove(docs.sparkSession, rows)
-    if not got:
-        return None
-    x = np.array([r["f"] for r in got], float)
-    return ToxicList(words, fit_decision_list(x, np.array([r["_label"] == 1 for r in got], bool), grow=np.array([r["_grow"] for r in got], bool)))
+    rated = [r for r in got if r["_quality_label"] is not None]
+    judged = [r for r in got if r["_toxic_label"] is not None]
+    rules, toxic = [], None
+    if rated:
+        rules = fit_decision_list(np.array([r["f"][: len(FEATURES)] for r in rated], float), np.array([r["_quality_label"] == 0 for r in rated], bool))
+    if judged:
+        toxic = ToxicList(words, fit_decision_list(np.array([r["f"] for r in judged], float), np.array([r["_toxic_label"] == 1 for r in judged], bool), grow=np.array([r["_grow"] for r in judged], bool)))
+    return rules, toxic
+
+
+def learn_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
+    """The quality list of :func:`learn_lists` alone; without labelled documents the base rules alone decide."""
+    return learn_lists(docs, labels.withColumn("toxic", F.lit(None).cast("int")), max_labelled)[0]
+
+
+def learn_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicList | None:
+    """The toxic list of :func:`learn_lists` alone."""
+    return learn_lists(docs, labels.withColumn("quality", F.lit(None).cast("int")), max_labelled)[1]
 
 
 def judge_documents(docs: DataFrame, rules: list[Rule], toxic: ToxicList | None = None) -> DataFrame:
@@ -249,13 +258,7 @@ def judge_documents(docs: DataFrame, rules: list[Rule], toxic: ToxicList | None
     return out.drop("_lines", "_distinct", "_digits", "_upper", "_letters", "_toxic")
 
 
-def learn_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    """No labelled documents: no rules, so the base rules alone decide."""
-    x, reject = labelled_statistics(docs, labels, max_labelled)
-    return fit_decision_list(x, reject) if len(x) else []
-
-
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels")
-    return judge_documents(docs, learn_rules(docs, labels), learn_toxic(docs, labels)).select("doc_id", *COUNTS, "base_failed", "kept")
+    return judge_documents(docs, *learn_lists(docs, labels)).select("doc_id", *COUNTS, "base_failed", "kept")
