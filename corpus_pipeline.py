@@ -16,7 +16,7 @@ from spindrift.llm.common import SPACE, table, written
 from spindrift.llm.decontaminate import without_items
 from spindrift.llm.jaccard import linked_classes
 from spindrift.llm.linededup import dedup_lines
-from spindrift.llm.quality import judge_documents, learn_rules, learn_toxic
+from spindrift.llm.quality import judge_documents, learn_lists
 from spindrift.llm.sentencepiece import encode_texts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,7 +26,7 @@ WORD = "[^" + SPACE[1:]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a learned decision list (low quality, toxic) reject go."""
     labels = table(spark, sf_dir, "labels")
-    return judge_documents(docs, learn_rules(docs, labels), learn_toxic(docs, labels)).where("kept").select(COLUMNS)
+    return judge_documents(docs, *learn_lists(docs, labels)).where("kept").select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
