@@ -5,6 +5,8 @@ the place, and their diagonals (place minus offset in the item) lie within e of
 read in blocks: positions whose q-gram some item has are marked, stretches too thin to hold any item's
 share are left at once, and in the rest the shared q-grams are counted in bands of diagonals that
 overlap by half. Bands that reach the item's bound are verified by an alignment confined to the band.
+Long items are counted by pieces: of p pieces one holds at most e / p of the edits, so it alone must share
+its part of q-grams in a narrow band, which repetitive text seldom does by chance.
 All of it is exact: filters drop only what the lemma excludes.
 """
 
@@ -29,6 +31,8 @@ ITEM_BLOCK = 4 << 20
 #: Pairs of equal q-grams made at once; places of a q-gram in one item above which they are one stretch; more
 #: bands than the longest text has; diagonals that are aligned together at most.
 PAIRS, OFTEN, BANDS, WIDE = 1 << 20, 4, 1 << 36, 4096
+#: Characters that a piece of an item has at least, and less than twice as many.
+PIECE = 256
 
 
 def normalised(text: str | None) -> str:
@@ -61,6 +65,16 @@ def budget(n: int, share: float = EDIT_SHARE, q: int = Q) -> int:
     return max(0, min(int(n * share), (n - q) // q))
 
 
+def pieces(n: int, edits: int, q: int = Q, least: int = PIECE) -> list[tuple[int, int, int]]:
+    """(start, size, edits) of the pieces of an item: in a match one of them has no more edits than that. There
+    are fewer where a piece's bound would ask for no q-gram."""
+    p = max(1, n // least)
+    while p > 1 and n // p - q + 1 - q * (edits // p) < 1:
+        p -= 1
+    cuts = [n * k // p for k in range(p + 1)]
+    return [(a, b - a, edits // p) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def aligned(item: np.ndarray, place: np.ndarray, low: int, high: int, most: int, free: bool) -> tuple[int, int] | None:
     """Fewest edits of the item against a stretch of the place, and the stretch's end, on diagonals low to
     high only; None above ``most``. ``free``: the stretch may begin anywhere, else at 0."""
@@ -132,18 +146,19 @@ class Table:
 class Items:
     """One block of benchmark items, ready to be searched for."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = EDIT_SHARE, q: int = Q):
+    def __init__(self, items: list[tuple[int, str]], share: float = EDIT_SHARE, q: int = Q, piece: int = PIECE):
         self.q = q
         known = [(i, s, budget(len(s), share, q)) for i, s in items if s]
         self.short = [(i, s) for i, s, _ in known if len(s) < q]
         self.items = [x for x in known if len(x[1]) >= q]
         if not self.items:
             return
-        sizes = np.array([len(s) for _, s, _ in self.items])
-        self.edits = np.array([e for _, _, e in self.items])
+        # what is counted is pieces: which item, where in it, and the piece's own size, edits and bound
+        known = [(k, *x) for k, (_, s, e) in enumerate(self.items) for x in pieces(len(s), e, q, piece)]
+        self.of, self.start, sizes, self.edits = (np.array(x) for x in zip(*known, strict=True))
         self.bound = sizes - q + 1 - q * self.edits
         self.sizes = sizes
-        codes = [self.grams(self.folded(s)) for _, s, _ in self.items]
+        codes = [self.grams(self.folded(self.items[k][1][a : a + n])) for k, a, n, _ in known]
         code = np.concatenate(codes)
         item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
         offset = np.concatenate([np.arange(len(c)) for c in codes])
@@ -159,7 +174,7 @@ class Items:
         self.often, self.often_item, self.often_first, self.often_last = code[often], item[often], offset[often], offset[often + n[n > OFTEN] - 1]
         few = np.repeat(n <= OFTEN, n)
         self.code, self.item, self.offset = code[few], item[few], offset[few]
-        # every match holds a stretch of this many positions with this many marked ones
+        # every match holds, at some piece, a stretch of this many positions with this many marked ones
         self.stretch = int((sizes + self.edits).min())
         self.least = int(min(-(-b // -(-(n + e) // self.stretch)) for b, n, e in zip(self.bound, sizes, self.edits, strict=True)))
         self.text = [np.frombuffer(s.encode("utf-32-le"), np.uint32) for _, s, _ in self.items]
@@ -178,8 +193,8 @@ class Items:
         return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
     def candidates(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, first diagonal, last diagonal) of bands that reach the item's bound, in a text that may
-        hold many documents. Pairs of text and item positions are made in slices of ``PAIRS``."""
+        """(item, first diagonal, last diagonal) of bands where a piece of the item reaches its bound, in a text
+        that may hold many documents. Pairs of text and piece positions are made in slices of ``PAIRS``."""
         code = self.grams(self.folded(text))
         marked = self.table[self.slot(code)]
         count = np.concatenate([[0], np.cumsum(marked)])
@@ -211,21 +226,19 @@ class Items:
             lengths = (last - first + 1)[enough]
             found.append(k * BANDS + np.repeat(first[enough] - np.concatenate([[0], np.cumsum(lengths)])[:-1], lengths) + np.arange(lengths.sum()))
         good = np.unique(np.concatenate([keys[counts >= self.bound[keys // BANDS]], *found]))
-        # neighbouring bands of an item are verified together
-        item, band = good // BANDS, good % BANDS
-        step = self.edits[item] + 1
-        begin = np.concatenate([[True], (item[1:] != item[:-1]) | (band[1:] > band[:-1] + 2)]) if len(good) else np.zeros(0, bool)
-        first, last = band * step - shift, (band + 2) * step - shift - 1
-        out = []
-        for i, a, b, new in zip(item.tolist(), first.tolist(), last.tolist(), begin.tolist(), strict=True):
-            if new or b - out[-1][1] > WIDE:
-                out.append((i, a, b))
+        # neighbouring bands of an item, from whichever piece, are verified together
+        piece, band = good // BANDS, good % BANDS
+        step, at_item = self.edits[piece] + 1, self.start[piece] + shift
+        out: list[tuple[int, int, int]] = []
+        for i, a, b in sorted(zip(self.of[piece].tolist(), (band * step - at_item).tolist(), ((band + 2) * step - at_item - 1).tolist(), strict=True)):
+            if out and out[-1][0] == i and a <= out[-1][2] + self.items[i][2] + 1 and b - out[-1][1] <= WIDE:
+                out[-1] = (i, out[-1][1], max(b, out[-1][2]))
             else:
-                out[-1] = (i, out[-1][1], b)
+                out.append((i, a, b))
         return out
 
     def spans(self, code: np.ndarray, at: np.ndarray, shift: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each item with repeated q-grams that the text has: bands (first, last) and how many positions
+        """For each piece with repeated q-grams that the text has: bands (first, last) and how many positions
         may share such a q-gram there. A position counts in every band between those of the q-gram's first
         and last place in the item, which is never too little and takes no pair for each place."""
         changes: dict[int, Table] = {}
@@ -246,9 +259,12 @@ class Items:
         return out
 
     def verified(self, text: str, item: int, first: int, last: int) -> tuple[int, int, int] | None:
-        """(edits, start, stop) of the best match of an item that begins near these diagonals."""
+        """(edits, start, stop) of the best match of an item that begins near these diagonals; None also where
+        a whole item has no room: the text begins with the item's tail or ends with its head."""
         _, s, most = self.items[item]
-        first, last = max(first, -most), min(last, len(text))
+        first, last = max(first, -most), min(last, len(text) - len(s) + 2 * most)
+        if first > last:
+            return None
         begin = max(0, first - most)
         part = text[begin : last + len(s) + most + 1]
         if (at := part.find(s)) >= 0:

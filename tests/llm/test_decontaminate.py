@@ -58,6 +58,62 @@ def test_repeated_characters_equal_brute_force():
                 assert n == e == edits(s, t[a:b])
 
 
+def equal_brute(items, texts, **how):
+    for t, got in zip(texts, Items(items, **how).search(texts), strict=True):
+        for i, s in items:
+            e = edits(s, t)
+            assert (i in got) == (e <= budget(len(s))), (s, t)
+            if i in got:
+                n, a, b = got[i]
+                assert n == e == edits(s, t[a:b])
+
+
+def test_cut_items_equal_brute_force():
+    """Heads and tails of items at both ends of the first, middle and last text, texts shorter than an item,
+    items longer than every text."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(60)]
+    make = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(0, make(12)), (1, make(40)), (2, make(90)), (3, "ab " * 60 + "end")]
+    for _ in range(12):
+        cut = []
+        for _ in range(3):
+            s = rng.choice(items)[1]
+            at = int(len(s) * rng.choice([0, 0.02, 0.05, 0.07, 0.09, 0.2, 0.4, 0.5, 0.6, 0.9]))
+            part, other = rng.choice([s[at:], s[: len(s) - at]]), make(rng.choice([0, 0, 3, 20]))
+            cut.append(normalised(rng.choice([f"{part} {other}", f"{other} {part}", part])))
+        for piece in (256, 24):
+            equal_brute(items, cut, piece=piece)
+
+
+def test_pieces_equal_brute_force():
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcde", k=rng.randint(2, 6))) for _ in range(12)]
+    make = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(i, make(n)) for i, n in enumerate((5, 20, 60, 60))]
+    texts = []
+    for _ in range(40):
+        s = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, int(len(s) * 0.1))):
+            p, kind = rng.randrange(len(s) + 1), rng.randrange(3)
+            s[p : p + (kind != 0)] = [] if kind == 1 else [rng.choice("abcde ")]
+        texts.append(normalised(f"{make(rng.randint(0, 30))} {''.join(s)} {make(rng.randint(0, 30))}"))
+    equal_brute(items, texts, piece=24)
+
+
+def test_long_item_against_text_of_its_words():
+    import time
+
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(30)]
+    make = lambda n: " ".join(rng.choices(words, k=2 * n))[:n]
+    item, text = make(8_000), make(1_200_000)
+    began = time.time()
+    found = Items([(1, item)]).search([text, text[:5_000] + item[:4_000] + "x" + item[4_000:]])
+    assert time.time() - began < 8
+    assert found == [{}, {1: (1, 5_000, 13_001)}]
+
+
 def test_repeated_characters_need_no_pairs():
     import resource
     import time
