@@ -18,6 +18,9 @@ _MODULES = {
     "op8_url_filters": "urlfilter",
     "op9_html_suffix_array": "htmltext",
     "op10_decontamination_qgram_bands": "decontaminate",
+    "op11_nearest_neighbours": "neighbours",
+    "op12_filter_interaction_audit": "filteraudit",
+    "op13_embedding_whitening": "whitening",
 }
 
 
@@ -26,7 +29,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from spindrift.llm.filteraudit import OP12_SQL
     from spindrift.llm.urlfilter import OP8_SQL
     from spindrift.llm.warc import OP3_SQL
 
-    return {"op3_warc_index_merge": OP3_SQL, "op8_url_filters": OP8_SQL}
+    return {"op3_warc_index_merge": OP3_SQL, "op8_url_filters": OP8_SQL, "op12_filter_interaction_audit": OP12_SQL}
