@@ -101,21 +101,12 @@ def percentile_interval(values: np.ndarray, level: float = 0.95, resamples: int
 
 
 def bootstrap_intervals(long: DataFrame, keys: list[str], value: str = "value", order: str = "qid", resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """Keys, ``mean, ci_low, ci_high, n`` of each group, drawn from its values in the order of ``order``.
+    """Keys, ``mean, ci_low, ci_high, n`` of each group, drawn from its finite values in the order of ``order`` as
+    :func:`percentile_interval` draws them, at any size: no group is gathered in a task. Groups without a finite
+    value have no row."""
+    from spindrift.operators.bootstrap import exact_intervals
 
-    As the reference draws: one group's values in one array, so a group (one experiment, variant and metric)
-    must fit a task. :func:`poisson_intervals` is the estimator for groups of any size. Neither is chosen by
-    the size of the input.
-    """
-    clean = long.where(finite(F.col(value)))
-    fields = ", ".join(f"`{k}` {long.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(order)
-        mean, low, high, n = percentile_interval(rows[value].to_numpy(), resamples=resamples, seed=seed)
-        return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=True)}, "mean": [mean], "ci_low": pa.array([low], pa.float64()), "ci_high": pa.array([high], pa.float64()), "n": [n]})
-
-    return clean.select(*keys, value, order).groupBy(*keys).applyInArrow(run, f"{fields}, mean double, ci_low double, ci_high double, n long")
+    return exact_intervals(long.where(finite(F.col(value))), keys, value, order, resamples, seed)
 
 
 def poisson_weights(rows: np.ndarray, resamples: int) -> np.ndarray:

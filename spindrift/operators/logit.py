@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.session import written
+
 TERMS = ["const", "P_i", "U_present", "D_present", "U_correct", "D_correct"]
 
 
@@ -60,11 +63,64 @@ def newton(x: np.ndarray, n: np.ndarray, s: np.ndarray, steps: int = 50) -> tupl
     return beta, h, False
 
 
+def null_space(a: np.ndarray, least: float = 1e-9) -> np.ndarray:
+    """Orthonormal columns of the directions that no row of ``a`` sees."""
+    if not len(a):
+        return np.eye(a.shape[1])
+    _, values, v = np.linalg.svd(a)
+    return v[int((values > least).sum()) :].T
+
+
+def separating_rays(x: np.ndarray, n: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Directions along which the likelihood never falls and somewhere rises, as columns: the extreme rays of the cone
+    of directions that cells with successes only do not lower, those with failures only do not raise, and mixed ones do
+    not see. Empty if the estimate is finite in all directions that the rows tell apart.
+
+    A ray makes all but one of the cone's dimensions of cells equal to zero, so each choice of that many cells
+    is tried: at most 8,568 choices of 18 cells.
+    """
+    mixed = (s > 0) & (s < n)
+    seen = np.linalg.svd(x, full_matrices=False)[2][: np.linalg.matrix_rank(x)].T  # directions that the rows see
+    free = seen @ null_space(x[mixed] @ seen)
+    if not free.shape[1]:
+        return free
+    pure = np.unique(np.where(s[~mixed] > 0, 1.0, -1.0)[:, None] * x[~mixed], axis=0) @ free
+    dims, rays = free.shape[1], []
+    for tight in combinations(range(len(pure)), dims - 1):
+        for d in null_space(pure[list(tight)].reshape(-1, dims)).T if len(tight) else np.eye(1):
+            for sign in (1, -1):
+                gains = sign * pure @ d
+                if gains.min(initial=0) > -1e-9 and gains.max(initial=0) > 1e-9:
+                    rays.append(sign * free @ d)
+    return np.array(rays).reshape(-1, x.shape[1]).T
+
+
+def states(x: np.ndarray, n: np.ndarray, s: np.ndarray) -> list[str]:
+    """For each term ``unidentified`` (it changes along a direction that no row sees), ``separated`` (its estimate
+    runs away along a direction that only improves the fit), or ``finite``."""
+    unseen, rays = null_space(x), separating_rays(x, n, s)
+    moved = lambda d, i: bool(d.shape[1] and np.abs(d[i]).max() > 1e-6)
+    return ["unidentified" if moved(unseen, i) else "separated" if moved(rays, i) else "finite" for i in range(x.shape[1])]
+
+
+def term_states(merged: DataFrame) -> list[tuple[str, str, str]]:
+    """(experiment, term, state) of every experiment: why a fit did not converge, by name of term."""
+    cells: dict[str, list] = {}
+    for r in design_counts(merged).collect():  # at most 18 rows an experiment
+        cells.setdefault(r["experiment"], []).append(([1, *(r[t] for t in TERMS[1:])], r["n"], r["correct"]))
+    out = []
+    for name, own in sorted(cells.items()):
+        x, n, s = (np.array(c, float) for c in zip(*own, strict=True))
+        out += [(name, t, state) for t, state in zip(TERMS, states(x, n, s), strict=True)]
+    return out
+
+
 def fits(merged: DataFrame, small_sample: bool = True) -> dict[str, Fit]:
-    """The fit of every experiment, in two grouped passes over the table. Estimates are nan (``converged``
-    false) where the terms cannot be told apart."""
+    """The fit of every experiment, from one pass over the table and two grouped ones over its design. Estimates are
+    nan (``converged`` false) where the terms cannot be told apart or some are separated (:func:`term_states`)."""
     spark = merged.sparkSession
-    rows = design_counts(merged).collect()  # at most 18 rows an experiment
+    merged = written(design(merged), "design")  # 0/1 columns, read for the counts and for the scores
+    rows = merged.groupBy("experiment", *TERMS[1:]).agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("correct")).collect()  # at most 18 rows an experiment
     cells: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["experiment"], *(r[t] for t in TERMS[1:]))):
         cells.setdefault(r["experiment"], []).append(r)
@@ -86,7 +142,7 @@ def fits(merged: DataFrame, small_sample: bool = True) -> dict[str, Fit]:
     if not solved:
         return out
     known = spark.createDataFrame(table, "experiment string, " + ", ".join(f"{t} int" for t in TERMS[1:]) + ", p double")
-    df = design(merged).join(F.broadcast(known), ["experiment", *TERMS[1:]])  # at most 18 rows an experiment
+    df = merged.join(F.broadcast(known), ["experiment", *TERMS[1:]])  # at most 18 rows an experiment
     scores = df.groupBy("experiment", "qid").agg(*(F.sum(F.col(t) * (F.col("y") - F.col("p"))).alias(t) for t in TERMS))
     k = len(TERMS)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]

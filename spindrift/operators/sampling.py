@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import random
 import re
+from array import array
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.dims import SAMPLING_ORDER
+from spindrift.operators.ranks import joined, numbered
+from spindrift.session import written
 
 
 def hash_key(seed: int, *parts: Column) -> Column:
@@ -62,10 +67,46 @@ def sample_questions(merged: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return every.where(F.substring("_h", 1, len(bound)) <= bound if bound else F.lit(False)).select("qid")
 
 
-def exact_questions(qids: list[str], n: int, seed: int = 42) -> set[str]:
-    """``n`` questions as the standard generator draws them from the sorted ids."""
-    order = sorted(set(qids))
-    return set(random.Random(seed).sample(order, n)) if len(order) > n else set(order)
+def drawn_ranks(jobs: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Keys, ``rank`` and ``at``: what the standard generator draws for each row (keys, ``n``, ``k``, ``seed``) of
+    ``jobs``: a ``sample`` of ``k`` of the ranks below ``n``, or the first ``k`` after a ``shuffle`` of them.
+
+    A draw depends on all draws before it, so each row is one task; it holds ranks only, 8 bytes for each of ``n`` in
+    a shuffle and about 100 for each of ``k`` in a sample, and no ids.
+    """
+    kinds = [jobs.schema[k].dataType.simpleString() for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (n, k, seed) in enumerate(zip(*(b.column(c).to_pylist() for c in ("n", "k", "seed")), strict=True)):
+                draw = random.Random(seed)
+                if how == "sample":
+                    ranks = draw.sample(range(n), k)
+                else:
+                    ranks = array("q", range(n))
+                    draw.shuffle(ranks)
+                for first in range(0, k, 1 << 16):
+                    some = pa.array(ranks[first : min(k, first + (1 << 16))], pa.int64())
+                    at = pa.array(range(first, first + len(some)), pa.int64())
+                    yield pa.record_batch([*(b.column(c).take(pa.array([i] * len(some))) for c in keys), some, at], [*keys, "rank", "at"])
+
+    spread = jobs.select(*keys, "n", "k", "seed")
+    spread = spread.repartition(*keys) if keys else spread
+    return spread.mapInArrow(run, "".join(f"`{k}` {t}, " for k, t in zip(keys, kinds, strict=True)) + "rank long, at long")
+
+
+def of_ranks(ranked: DataFrame, drawn: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of the table numbered by ``rank`` that were drawn, with ``at``."""
+    return joined(ranked, drawn, [*keys, "rank"]).drop("rank")
+
+
+def exact_questions(merged: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``qid`` of ``n`` questions as the standard generator samples them from the sorted ids; all if there are not
+    more."""
+    ranked = numbered(merged.select("qid").distinct(), [], ["qid"])
+    most = ranked.agg(F.count("*").alias("n")).select("n", F.lit(n).cast("long").alias("k"), F.lit(seed).cast("long").alias("seed"))
+    drawn = drawn_ranks(most.where("n > k"), [], "sample").unionByName(most.where("n <= k").select(F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).alias("rank"), F.lit(0).cast("long").alias("at")))
+    return of_ranks(ranked, drawn, []).select("qid")
 
 
 def selected(merged: DataFrame, questions: DataFrame) -> DataFrame:
@@ -81,20 +122,20 @@ def tagged(merged: DataFrame, strategy: str) -> DataFrame:
     return merged.withColumns({"sft_strategy": F.lit(f"tier_{strategy}"), "tier_config": prior, "tier": tier, "source_experiment": F.col("experiment")})
 
 
-def exact_row_split(rows: list, ratio: float = 0.7, seed: int = 42) -> tuple[list, list]:
-    """Rows shuffled by the standard generator; the first ``int(n * ratio)`` are train."""
-    order = list(rows)
-    random.Random(seed).shuffle(order)
-    cut = int(len(order) * ratio)
-    return order[:cut], order[cut:]
+def exact_row_split(df: DataFrame, order: list[str], ratio: float = 0.7, seed: int = 42) -> DataFrame:
+    """``df`` with ``split`` and ``at``: its rows in the order of ``order`` are shuffled as the standard generator
+    does; the first ``int(rows * ratio)`` are train."""
+    ranked = numbered(df, [], order)
+    jobs = ranked.agg(F.count("*").alias("n")).select("n", F.col("n").alias("k"), F.lit(seed).cast("long").alias("seed"), F.floor(F.col("n") * F.lit(ratio)).alias("cut"))
+    cut = jobs.first()["cut"]
+    return of_ranks(ranked, drawn_ranks(jobs, [], "shuffle"), []).withColumn("split", F.when(F.col("at") < cut, "train").otherwise("dev"))
 
 
-def exact_group_split(names: list[str], ratio: float = 0.7, seed: int = 42) -> tuple[list[str], list[str]]:
-    """Sorted names shuffled by the standard generator; the first ``int(n * ratio)`` are train."""
-    order = sorted(names)
-    random.Random(seed).shuffle(order)
-    cut = int(len(order) * ratio)
-    return order[:cut], order[cut:]
+def exact_group_split(df: DataFrame, group: str, ratio: float = 0.7, seed: int = 42) -> DataFrame:
+    """``df`` with ``split``: the sorted names of the groups are shuffled as the standard generator does; the first
+    ``int(groups * ratio)`` are train. A group is never divided; rows without one are in none."""
+    split = exact_row_split(df.select(group).distinct().where(F.col(group).isNotNull()), [group], ratio, seed)
+    return df.join(split.select(group, "split"), group)
 
 
 def weights(strategy: str) -> dict[str, float] | None:
@@ -128,48 +169,51 @@ def pools(merged: DataFrame) -> DataFrame:
 def capacity(pool: DataFrame, table: DataFrame, by: list[str], total: int | None = None) -> DataFrame:
     """Per variant: available rows, the size of a whole sample they allow, and the target: the share of
     the smallest of those sizes, or of the given ``total`` (``T``)."""
-    counts = pool.groupBy(*by, "probe_variant").agg(F.count("*").alias("available"))
+    return targets(pool.groupBy(*by, "probe_variant").agg(F.count("*").alias("available")), table, by, total)
+
+
+def targets(counts: DataFrame, table: DataFrame, by: list[str], total: int | None = None) -> DataFrame:
+    """:func:`capacity` of counted pools: one row for each variant."""
     df = counts.join(F.broadcast(table), "probe_variant").where("pct > 0")  # 13 rows
     df = df.withColumn("max_size", F.floor(F.col("available") / (F.col("pct") / 100)))
-    if total is not None:
-        return df.withColumn("T", F.lit(total).cast("long")).withColumn("target", F.floor(F.col("pct") / 100 * F.col("T")))
-    size = df.groupBy(*by).agg(F.min("max_size").alias("T"))
-    return df.join(size, by).withColumn("target", F.floor(F.col("pct") / 100 * F.col("T")))
+    least = F.min("max_size").over(Window.partitionBy(*by)) if total is None else F.lit(total).cast("long")  # 13 rows a tier
+    return df.withColumn("T", least).withColumn("target", F.floor(F.col("pct") / 100 * F.col("T")))
 
 
 def balanced_sample(pool: DataFrame, table: DataFrame, by: list[str], seed: int = 42, total: int | None = None) -> DataFrame:
     """Rows of each variant up to its target, by hash of the question and the variant. The hash does not
     hold the tier, so equal pools give equal questions in both tiers.
 
-    Rows are counted under the hash's first digits; those below the digits where the target falls are
-    in, and only rows with these very digits (one in 65,536) are sorted.
+    The pool is read once and written with its hashes. Its rows are counted under the hash's first digits, which
+    gives capacities, targets and the digits where each target falls; rows below those are in, and only rows with
+    these very digits (one in 65,536) are sorted.
     """
     keys = [*by, "probe_variant"]
-    sized = capacity(pool, table, by, total).select(*keys, "at", "target")
-    keyed = pool.join(F.broadcast(sized), keys).withColumn("_h", F.md5(F.concat_ws("|", (F.lit(seed) + F.col("at")).cast("string"), "qid")))  # 13 rows a tier
-    keyed = keyed.withColumn("_x", F.substring("_h", 1, 4))
-    counts = keyed.groupBy(*keys, "target", "_x").agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_x"))  # at most 65,536 counts each
-    cut = counts.withColumn("_upto", upto).where(F.col("_upto") >= F.col("target")).groupBy(*keys).agg(F.min(F.struct("_x", (F.col("_upto") - F.col("_n")).alias("below"))).alias("_cut"))
-    keyed = keyed.join(F.broadcast(cut), keys, "left")  # 13 rows a tier
+    hashed = pool.join(F.broadcast(table.where("pct > 0").select("probe_variant", "at")), "probe_variant")  # 13 rows
+    hashed = hashed.withColumn("_h", F.md5(F.concat_ws("|", (F.lit(seed) + F.col("at")).cast("string"), "qid"))).withColumn("_x", F.substring("_h", 1, 4))
+    keyed = written(hashed.select(*pool.columns, "_h", "_x"), "pool")
+    counts = written(keyed.groupBy(*keys, "_x").agg(F.count("*").alias("_n")), "counts")  # at most 65,536 a variant and tier
+    sized = targets(counts.groupBy(*keys).agg(F.sum("_n").alias("available")), table, by, total).select(*keys, "target")
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_x"))
+    cut = counts.join(F.broadcast(sized), keys).withColumn("_upto", upto).where(F.col("_upto") >= F.col("target"))  # 13 rows a tier
+    cut = cut.groupBy(*keys).agg(F.min(F.struct("_x", (F.col("target") - F.col("_upto") + F.col("_n")).alias("wanted"))).alias("_cut"))
+    keyed = keyed.join(F.broadcast(written(cut, "cut")), keys, "left")  # 13 rows a tier
     sure = keyed.where(F.col("_cut").isNull() | (F.col("_x") < F.col("_cut._x")))
     edge = keyed.where(F.col("_x") == F.col("_cut._x"))
     edge = edge.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "qid")))
-    edge = edge.where(F.col("_n") <= F.col("target") - F.col("_cut.below")).drop("_n")
-    return sure.unionByName(edge).drop("_h", "_x", "_cut", "at", "target")
-
-
-def exact_sample(qids: dict[str, list[str]], strategy: str, seed: int = 42) -> list[tuple[str, str]]:
-    """(variant, question) as the standard generator draws them from each variant's sorted pool."""
-    w = weights(strategy) or {}
-    sizes = [int(len(q) / (w[v] / 100)) for v, q in qids.items() if w.get(v, 0) > 0 and q]
-    total = min(sizes, default=0)
-    out = []
-    for i, v in enumerate(SAMPLING_ORDER):
-        target, pool = int(w.get(v, 0) / 100 * total), sorted(qids.get(v, []))
-        if target and pool:
-            out += [(v, q) for q in random.Random(seed + i).sample(pool, min(target, len(pool)))]
-    return out
+    edge = edge.where(F.col("_n") <= F.col("_cut.wanted")).drop("_n")
+    return sure.unionByName(edge).drop("_h", "_x", "_cut")
+
+
+def exact_sample(pool: DataFrame, table: DataFrame, by: list[str], seed: int = 42, total: int | None = None) -> DataFrame:
+    """Rows of each variant up to its target, as the standard generator samples them from the pool sorted by
+    question, with the seed of the variant; ``at``: their place among the draws."""
+    keys = [*by, "probe_variant"]
+    pool = written(pool, "pool")
+    sized = capacity(pool, table, by, total)
+    jobs = sized.select(*keys, F.col("available").alias("n"), F.least("available", "target").alias("k"), (F.lit(seed) + F.col("at")).cast("long").alias("seed"))
+    ranked = numbered(pool.join(F.broadcast(table.where("pct > 0").select("probe_variant")), "probe_variant", "left_semi"), keys, ["qid"])  # 13 rows
+    return of_ranks(ranked, drawn_ranks(jobs, keys, "sample"), keys)
 
 
 def missing_variants(merged: DataFrame, table: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.functions.templates import exact_sentence, exact_templates
 from spindrift.functions.text import contains_answer, key_values, md5_number, tier1_sentence
 from spindrift.operators.prep import seeds
 from spindrift.schemas import SENTENCE_KEYS
@@ -25,6 +26,15 @@ def tier1(questions: DataFrame, kind: str = "default") -> DataFrame:
     return df.withColumns(made)
 
 
+def tier1_exact(questions: DataFrame, kind: str = "default") -> DataFrame:
+    """:func:`tier1` with templates and words as the standard generator draws them from the same seeds; about code,
+    answers are in lower case."""
+    df = questions.withColumn("base_seed", md5_number(F.col("qid"))).withColumns(seeds(F.col("base_seed")))
+    df = df.withColumn("_t", exact_templates(F.col("t1_seed"), 1, kind))
+    made = {f"t1_{s}_{c}": exact_sentence(F.col(f"_t.{s}"), F.col(f"{c}_answer"), kind) for s in ("user", "doc") for c in ("correct", "wrong")}
+    return df.withColumns(made).drop("_t")
+
+
 def tier2_prompt(question: Column, right: Column, wrong: Column, user_template: Column, doc_template: Column) -> Column:
     """Asks for one claim in context, said four times: by user and document, with the right and the wrong
     answer."""

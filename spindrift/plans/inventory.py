@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import dims, names, text
-from spindrift.operators import distribution, logit, merge, prep, report, sampling, scoring, tiers
+from spindrift.operators import merge, prep, report, sampling, scoring, tiers
 from spindrift.plans import experiment as whole
 from spindrift.plans import fixtures
-from spindrift.plans.registry import _NAME_SQL, _POOL_SQL, _STRATEGY, _names, _pairs, _PAIR_SQL, _pool, _vectors, query, r6, read
+from spindrift.plans.registry import _NAME_SQL, _POOL_SQL, _STRATEGY, _names, _pairs, _PAIR_SQL, _pool, query, r6, read
 from spindrift.plans.sql import BASE
 
 # -- merging --------------------------------------------------------------------------------
@@ -49,29 +49,9 @@ def log_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("qid", F.round(F.col("lp")[0], 6).alias("a"), F.round(F.col("lp")[4], 6).alias("e"))
 
 
-@query()
-def bootstrap_ci_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reference's own draws; each group (one experiment, variant and metric) is gathered into a task."""
-    long = distribution.shift_metrics(_vectors(spark, sf_dir)).unpivot(["experiment", "probe_variant", "qid"], distribution.SHIFTS, "metric", "value")
-    return distribution.bootstrap_intervals(long, ["experiment", "probe_variant", "metric"])
-
-
 # -- report ---------------------------------------------------------------------------------
 
 
-@query()
-def logit_odds_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(e, *r) for e, f in logit.fits(fixtures.merged(spark, sf_dir)).items() for r in logit.odds_table(f)]
-    return spark.createDataFrame(rows, "experiment string, name string, ratio double, low double, high double")
-
-
-@query()
-def report_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The regression's part of the cross-experiment report: one row an experiment."""
-    rows = spark.createDataFrame(logit.report_rows(logit.fits(fixtures.merged(spark, sf_dir))), "experiment string, metric string, value double")
-    return report.wide(rows, [f"odds_ratio_{n}{b}" for n in [*logit.ODDS_NAMES.values(), *logit.RATIO_NAMES.values()] for b in ("", "_ci_lower", "_ci_upper")])
-
-
 @query(_PAIR_SQL + """, o AS (SELECT topic, count(*) AS total, count(*) FILTER (b = 0 AND t = 1) AS gain, count(*) FILTER (b = 1 AND t = 0) AS forget FROM x GROUP BY topic)
 SELECT 0::BIGINT AS at, '| Topic | Samples | Gain | Forget | Net |' AS line UNION ALL SELECT 1, '|---|---|---|---|---|' UNION ALL
 SELECT 1 + row_number() OVER (ORDER BY topic), '| ' || topic || ' | ' || total || ' | ' || gain || ' | ' || forget || ' | ' || (gain - forget) || ' |' FROM o""")

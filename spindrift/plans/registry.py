@@ -31,12 +31,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    import_module("spindrift.plans.inventory")  # adds its own
+    import_module("spindrift.plans.inventory")  # each adds its own
+    import_module("spindrift.plans.draws")
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    import_module("spindrift.plans.inventory")
+    queries()
     return dict(_SQL)
 
 
@@ -274,28 +275,6 @@ def logit_design_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logit.design_counts(fixtures.merged(spark, sf_dir))
 
 
-def _fits(spark: SparkSession, sf_dir: str) -> list[tuple[str, logit.Fit]]:
-    return sorted(logit.fits(fixtures.merged(spark, sf_dir)).items())
-
-
-@query()
-def logit_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(e, *c) for e, f in _fits(spark, sf_dir) for c in logit.coefficients(f)]
-    return spark.createDataFrame(rows, "experiment string, term string, estimate double, se double, z double, p double, low double, high double, odds double, odds_low double, odds_high double")
-
-
-@query()
-def logit_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(e, k, *(v or (None,) * 3)) for e, f in _fits(spark, sf_dir) for k, v in logit.odds(f).items()]
-    return spark.createDataFrame(rows, "experiment string, ratio string, value double, low double, high double")
-
-
-@query()
-def logit_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(e, *logit.statistics(f).values()) for e, f in _fits(spark, sf_dir)]
-    return spark.createDataFrame(rows, "experiment string, converged boolean, n long, clusters long, df int, pseudo_r2 double, llf double, llnull double, llr_p double, aic double, bic double")
-
-
 # -- paired models --------------------------------------------------------------------------
 
 
@@ -346,15 +325,6 @@ def sft_sample_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.balanced_sample(_pool(spark, sf_dir), sampling.weight_table(spark, _STRATEGY), ["tier"]).select("probe_variant", "experiment", "qid")
 
 
-@query()
-def sft_sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws as the standard generator does, from the questions' ids of each variant."""
-    found: dict[str, list[str]] = {}
-    for v, q in _pool(spark, sf_dir).select("probe_variant", "qid").toLocalIterator():
-        found.setdefault(v, []).append(q)
-    return spark.createDataFrame(sampling.exact_sample(found, _STRATEGY), "probe_variant string, qid string")
-
-
 _SPLIT = "WITH g AS (SELECT {0} AS x, row_number() OVER (ORDER BY md5('42|' || {0})) AS n, count(*) OVER () AS total FROM (SELECT DISTINCT {0} FROM part)) SELECT p_partkey, {0}, CASE WHEN n <= floor(total * 0.7) THEN 'train' ELSE 'dev' END AS split FROM part JOIN g ON {0} = x"
 
 
@@ -368,14 +338,6 @@ def row_split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.row_split(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
 
 
-@query()
-def group_split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    train, dev = sampling.exact_group_split([r[0] for r in part.select("p_brand").distinct().collect()])
-    split = spark.createDataFrame([(b, "train") for b in train] + [(b, "dev") for b in dev], "p_brand string, split string")
-    return part.join(F.broadcast(split), "p_brand")  # one row a brand, of which the generator's list is made
-
-
 # -- preparation, prompts, extraction -------------------------------------------------------
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -28,3 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     names none (tests, notebooks)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     return found.rstrip("/") if found else "file://" + tempfile.mkdtemp(prefix="spindrift-")
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/spindrift-{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
