@@ -312,7 +312,8 @@ def nearest_neighbours(index: Index | None, queries: DataFrame | None, k: int, r
                 yield pa.record_batch([few.column(0).take(at), few.column(1).take(at), pa.array(part, pa.int64()), pa.array(leaves, pa.list_(pa.int32()))], ["_key", "_v", "_part", "_leaves"])
 
     kind = index.rows.schema["_v"].dataType.simpleString()
-    routes = written(queries.mapInArrow(route, f"_key long, _v {kind}, _part long, _leaves array<int>"), "routes")
+    spread = queries.repartition(max(1, -(-queries.count() // (2 * TOGETHER))), "_key")
+    routes = written(spread.mapInArrow(route, f"_key long, _v {kind}, _part long, _leaves array<int>"), "routes")
     blocks = written(routes.groupBy("_part").agg(F.ceil(F.count("*") / (2 * most)).cast("int").alias("_blocks")), "blocks")
     asked = routes.join(blocks, "_part").withColumn("_block", F.pmod(F.xxhash64("_key", "_v"), F.col("_blocks")).cast("int")).select("_part", "_block", "_key", "_v", "_leaves")
     where = spark.createDataFrame([(i, a, m) for i, (a, m) in enumerate(places)], "_leaf int, _first long, _parts int")
