@@ -4,8 +4,9 @@ Merges never cross a pre-token, so a text's token count is the sum over its pre-
 counts. One pass over the texts gives the distinct pre-tokens of the corpus with their frequencies; the
 pieces of each are counted once. A second pass turns every document into its pre-token frequencies and
 joins them with the piece counts: the most frequent pre-tokens, a bounded table, by a broadcast where the
-document is read, all others by a shuffle. So no hot pre-token meets a reducer, and what is shuffled is only
-the rare ones. The products are summed by document; no list of ids is made for any document.
+document is read (long ones by their MD5), all others by a shuffle. So no hot pre-token meets a reducer, and what is
+shuffled is only the rare ones. A pre-token of thousands of characters, such as a picture in base64, is counted where
+it stands instead. The products are summed by document; no list of ids is made for any document.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import md5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +22,13 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import table, written
 
-#: Pre-tokens that a task holds before it passes them on; those whose piece counts are broadcast, and the
-#: longest one among them.
-HELD, BROADCAST, LONG = 400_000, 200_000, 64
+#: Pre-tokens that a task holds before it passes them on, and characters of the texts they are from; pre-tokens whose
+#: piece counts are broadcast.
+HELD, HELD_CHARS, BROADCAST = 400_000, 1 << 25, 200_000
+#: Characters of a pre-token beyond which it is broadcast by its MD5, and beyond which it is counted where it stands.
+LONG, LONGEST = 64, 4_096
+#: Characters of the pre-tokens that are encoded together.
+TOGETHER = 1 << 18
 
 
 class PieceCounter:
@@ -70,10 +76,15 @@ class PieceCounter:
         return Counter(self.pre_tokens(text)), 0
 
     def piece_counts(self, words: list[str]) -> list[int]:
-        """Pieces of each pre-token."""
-        out = []
-        for i in range(0, len(words), 4096):
-            out += map(len, self.pieces.encode_batch(words[i : i + 4096], add_special_tokens=False))
+        """Pieces of each pre-token; a few thousand are encoded at once, fewer if they are long."""
+        out, first, chars = [], 0, 0
+        for i, w in enumerate(words):
+            chars += len(w)
+            if chars >= TOGETHER or i - first >= 4095:
+                out += map(len, self.pieces.encode_batch(words[first : i + 1], add_special_tokens=False))
+                first, chars = i + 1, 0
+        if first < len(words):
+            out += map(len, self.pieces.encode_batch(words[first:], add_special_tokens=False))
         return out
 
     def count(self, texts: list[str]) -> list[int]:
@@ -111,9 +122,10 @@ def blocks(texts: list[str | None], most: int = 1 << 21) -> Iterator[list[str]]:
 
 
 def pre_token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``w, n, pieces``: every distinct pre-token of the texts, its frequency, and its pieces, counted once."""
+    """``w, n, pieces``: every distinct pre-token of the texts up to ``LONGEST`` characters, its frequency, and its
+    pieces, counted once."""
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, held = worker_counter(path), Counter()
+        counter, held, chars = worker_counter(path), Counter(), 0
 
         def out() -> pa.RecordBatch:
             made = pa.record_batch([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["w", "n"])
@@ -123,12 +135,14 @@ def pre_token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFram
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    if counter.special is not None and counter.special.search(t):
-                        held.update(counter.frequencies(t)[0])
-                    else:
-                        held.update(counter.pre_tokens(t))
-                    if len(held) >= HELD:
+                    made = counter.frequencies(t)[0] if counter.special is not None and counter.special.search(t) else counter.pre_tokens(t)
+                    if len(t) > LONGEST and max(map(len, made), default=0) > LONGEST:
+                        made = {w: c for w, c in Counter(made).items() if len(w) <= LONGEST}
+                    held.update(made)
+                    chars += len(t)
+                    if len(held) >= HELD or chars >= HELD_CHARS:
                         yield out()
+                        chars = 0
         if held:
             yield out()
 
@@ -147,13 +161,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
     Null and empty texts have no bytes and no tokens; special strings inside a text count as their one
     token, as the library's default has it; repeated rows count each; an empty table stays empty. Texts of
     any length count whole. Other columns are not carried. The piece counts of the ``most`` most frequent
-    pre-tokens (of at most ``LONG`` characters) are broadcast, the others joined by a shuffle.
+    pre-tokens are broadcast, the others joined by a shuffle; those over ``LONGEST`` characters are counted in place.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     known = written(pre_token_counts(docs, path, text), "pieces")
-    often = known.where(F.length("w") <= LONG).orderBy(F.desc("n"), "w").limit(most).select("w", "pieces").toArrow()
-    common = spark.sparkContext.broadcast(dict(zip(often["w"].to_pylist(), often["pieces"].to_pylist(), strict=True)))  # at most ``most`` entries
+    short = F.when(F.length("w") <= LONG, F.col("w"))
+    named = known.select(short.alias("w"), F.when(short.isNull(), F.unhex(F.md5("w"))).alias("digest"), "n", "pieces")
+    often = named.orderBy(F.desc("n"), "w", "digest").limit(most).select("w", "digest", "pieces").toArrow()
+    common = spark.sparkContext.broadcast({w or d: p for w, d, p in zip(*(often[c].to_pylist() for c in ("w", "digest", "pieces")), strict=True)})  # at most ``most`` entries of 64 characters
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -166,12 +182,18 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
                 n, rare = [], []
                 for t in part:
                     freq, total = counter.frequencies(t)
-                    left = []
+                    left, here = [], {}
                     for w, c in freq.items():
                         if w in pieces:
                             total += c * pieces[w]
+                        elif len(w) > LONGEST:
+                            here[w] = c
+                        elif len(w) > LONG and (d := md5(w.encode()).digest()) in pieces:
+                            total += c * pieces[d]
                         else:
                             left.append((w, c))
+                    if here:
+                        total += sum(c * p for c, p in zip(here.values(), counter.piece_counts(list(here)), strict=True))
                     n.append(total)
                     rare.append(left)
                 keys = b.column(0).slice(done, len(part))

@@ -58,6 +58,42 @@ def test_token_counts(spark, make_docs, library):
     assert token_counts(docs.limit(0), BPE).count() == 0
 
 
+def test_long_pre_tokens(spark, make_docs, library):
+    """Of every length around the bounds, hot and rare ones, by each way."""
+    rng = random.Random(1)
+    blob = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    long = [blob(n) for n in (63, 64, 65, 66, 4_095, 4_096, 4_097, 30_000)]
+    texts = [f"{rng.choice(long)} {'-' * 100} {rng.choice(long)}{'=' * 5_000} x {blob(70)}" for _ in range(30)]
+    for most in (1_000, 8, 0):
+        got = {r["doc_id"]: r["n_tokens"] for r in token_counts(make_docs(texts), BPE, most=most).collect()}
+        assert got == {i: len(library[0].encode(t, add_special_tokens=False)) for i, t in enumerate(texts)}
+
+
+def test_memory_is_bounded_by_characters():
+    """Four hundred pre-tokens of 100,000 characters in a process of their own."""
+    code = """
+import random, resource, sys
+import public_tokenizers
+from spindrift.llm.tokencount import PieceCounter, blocks
+counter = PieceCounter(public_tokenizers.path("byte_bpe_50k.json"))
+rng = random.Random(1)
+counter.count(["warm up"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+def texts():
+    for _ in range(400):
+        yield "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000))
+found = [n for part in blocks(texts()) for n in counter.count(part)]
+assert len(found) == 400 and min(found) > 10_000
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 350
+
+
 def test_pieces_are_counted_once(spark, make_docs, library):
     rows = pre_token_counts(make_docs([*TEXTS, *TEXTS]), BPE).collect()
     assert len({r["w"] for r in rows}) == len(rows)
