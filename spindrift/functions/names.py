@@ -89,7 +89,13 @@ def expand_recipes(spark: SparkSession, recipes: Iterable[dict[str, Any]]) -> Da
         if not all(axes[:3]):
             raise ValueError("a recipe needs datasets, model_tokens and prior_tokens")
         parts.append((i, *axes))
-    df = spark.createDataFrame(parts, "i int, ds array<string>, mt array<string>, pt array<string>, ins array<string>, cot array<string>")
+    return expanded(spark.createDataFrame(parts, "i int, ds array<string>, mt array<string>, pt array<string>, ins array<string>, cot array<string>"))
+
+
+def expanded(recipes: DataFrame) -> DataFrame:
+    """``experiment``: the names of all recipes in order, each once. A recipe is a row: its place ``i`` and the lists
+    ``ds`` (datasets), ``mt`` (models), ``pt`` (priors), ``ins`` (instructions) and ``cot``; an empty list gives none."""
+    df = recipes
     for k in ("ds", "mt", "pt", "ins", "cot"):
         df = df.select("*", F.posexplode(k).alias(f"{k}_at", f"{k}_v"))
     df = df.where(~(F.col("mt_v").endswith("r") & (F.col("cot_v") == "cot")))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.functions.columns import computed
 from spindrift.operators.merge import with_bare
 
 #: Fixed value: added to each probability before renormalising.
@@ -27,12 +28,13 @@ def finite(x: Column) -> Column:
 def prob_vectors(merged: DataFrame, keep: bool = False) -> DataFrame:
     """Adds the three probabilities. Rows without probabilities, with a letter missing among them or with
     gold equal to the canonical wrong answer are left out, or with ``keep`` have none."""
-    named = lambda letter: F.filter("probs", lambda p: p["letter"] == F.col(letter))
-    total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p["prob"])
-    whole = (F.size("probs") > 0) & (F.size(named("gold")) > 0) & (F.size(named("canonical_wrong")) > 0) & (F.col("gold") != F.col("canonical_wrong"))
-    df, own = (merged, lambda c: F.when(whole, c)) if keep else (merged.where(whole), lambda c: c)
-    df = df.withColumns({"p_gold": own(F.get(named("gold"), F.lit(0))["prob"]), "p_wrong": own(F.get(named("canonical_wrong"), F.lit(0))["prob"]), "_t": total})
-    return df.withColumn("p_other", F.col("_t") - F.col("p_gold") - F.col("p_wrong")).drop("_t")
+    place = lambda letter: F.coalesce(F.array_position(F.col("probs.letter"), F.col(letter)), F.lit(0)).cast("int")
+    total = F.aggregate(F.col("probs.prob"), F.lit(0.0), lambda a, p: a + p)
+    df = computed(merged, {"_g": place("gold"), "_w": place("canonical_wrong"), "_t": total})
+    whole = (F.col("_g") > 0) & (F.col("_w") > 0) & (F.col("gold") != F.col("canonical_wrong"))
+    df, own = (df, lambda c: F.when(whole, c)) if keep else (df.where(whole), lambda c: c)
+    at = lambda c: own(F.get(F.col("probs.prob"), F.col(c) - 1))
+    return computed(df, {"p_gold": at("_g"), "p_wrong": at("_w")}).withColumn("p_other", F.col("_t") - F.col("p_gold") - F.col("p_wrong")).drop("_g", "_w", "_t")
 
 
 def smoothed(prefix: str = "") -> dict[str, Column]:
@@ -56,13 +58,13 @@ def pearson(xs: list[Column], ys: list[Column]) -> Column:
 
 def absolute_metrics(vectors: DataFrame) -> DataFrame:
     """Entropy and -log2 of the right answer's probability, for every row."""
-    return vectors.withColumns(smoothed()).withColumns({"entropy": entropy(), "neglogp": -F.log2("p_gold")})
+    return computed(vectors, smoothed()).withColumns({"entropy": entropy(), "neglogp": -F.log2("p_gold")})
 
 
 def shift_columns(vectors: DataFrame) -> DataFrame:
     """Adds to each row, against the question's row without sources: KL divergence, change of entropy, of
     -log2 P(right), and correlation of the log probabilities; null where one of them has no vector."""
-    df = with_bare(vectors.withColumns(smoothed()), list(PARTS)).withColumns({f"b_{p}": F.col(f"bare.{p}") for p in PARTS})
+    df = with_bare(computed(vectors, smoothed()), list(PARTS)).withColumns({f"b_{p}": F.col(f"bare.{p}") for p in PARTS})
     kl = sum((F.col(p) * F.log2(F.col(p) / F.col(f"b_{p}")) for p in PARTS[1:]), F.col("p_gold") * F.log2(F.col("p_gold") / F.col("b_p_gold")))
     return df.withColumns({
         "kl": kl,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.dims import variants
-from spindrift.functions.names import parsed
+from spindrift.functions.names import parsed, valid_name
 from spindrift.operators.pairs import last_per_id
 
 
@@ -19,6 +19,14 @@ def experiment_variants(experiments: DataFrame) -> DataFrame:
     return out.withColumn("user_first", F.col("_uf") & (F.col("first") != "")).drop("_uf", "first")
 
 
+def with_flags(probes: DataFrame) -> DataFrame:
+    """Rows of an experiment's nine variants with their flags, by the name of each row: nothing is read before."""
+    dim = F.broadcast(variants(probes.sparkSession))  # 13 rows
+    uf = F.coalesce(F.when(valid_name(F.col("experiment")), F.get(F.split("experiment", "__"), F.lit(2)).startswith("u")), F.lit(False))
+    df = probes.withColumn("_uf", uf).join(dim, "probe_variant").where((F.col("first") == "") | (F.col("first") == F.when(F.col("_uf"), "u").otherwise("d")))
+    return df.withColumn("user_first", F.col("_uf") & (F.col("first") != "")).drop("_uf", "first")
+
+
 def merge_results(probes: DataFrame, canonical: DataFrame, order: str | None = None) -> DataFrame:
     """``probes``: results of all variants, with ``experiment``. Gold and choices are those of the first
     variant (in display order) that has the question; ``model_correct`` is the question's result without
@@ -29,8 +37,7 @@ def merge_results(probes: DataFrame, canonical: DataFrame, order: str | None = N
     """
     if order is not None:
         probes = last_per_id(probes, ["experiment", "qid", "probe_variant"], order)
-    flags = experiment_variants(probes.select("experiment").distinct())
-    df = probes.join(F.broadcast(flags), ["experiment", "probe_variant"])  # nine rows an experiment
+    df = with_flags(probes)
     ranked = Window.partitionBy("experiment", "qid").orderBy("variant_rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = df.withColumns({
         "gold": F.first("gold").over(ranked),

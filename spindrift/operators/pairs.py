@@ -11,6 +11,11 @@ def last_per_id(samples: DataFrame, keys: list[str], order: str) -> DataFrame:
     return samples.groupBy(keys).agg(F.max_by(F.struct(*[c for c in samples.columns if c not in keys]), order).alias("_r")).select(*keys, "_r.*")
 
 
+def last_read(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows with the same keys the last one as they are read."""
+    return last_per_id(df.withColumn("_read", F.monotonically_increasing_id()), keys, "_read").drop("_read")
+
+
 def score(acc: str = "acc", match: str = "exact_match"):
     return F.coalesce(F.col(acc), F.col(match), F.lit(0.0))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spindrift.functions.columns import computed
 from spindrift.functions.text import index_of, letter
 
 #: Fixed value: logit of a letter that is not among the inspected tokens.
@@ -33,13 +34,6 @@ def letter_logits(tokens: DataFrame, choices: DataFrame, top: int = 100) -> Data
     return df.withColumn("seen", F.exists("logits", lambda v: v > F.lit(ABSENT))).drop("found")
 
 
-def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    raised = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raised, lambda x: x / total)
-
-
 def log_softmax(logits: Column) -> Column:
     top = F.array_max(logits)
     total = F.log(F.aggregate(F.transform(logits, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x))
@@ -49,12 +43,13 @@ def log_softmax(logits: Column) -> Column:
 def probe_results(df: DataFrame) -> DataFrame:
     """Adds ``probs``, ``output_letter``, ``output_correct`` and ``max_prob`` to rows with ``gold``,
     ``choices`` and ``logits``. Equal logits: the first choice. No letter seen: UNKNOWN."""
-    seen = F.exists("logits", lambda v: v > F.lit(ABSENT))
-    df = df.withColumn("_p", softmax(F.col("logits")))
-    best = letter(F.array_position("logits", F.array_max("logits")).cast("int") - 1)
-    df = df.withColumn("output_letter", F.when(seen, best).otherwise("UNKNOWN"))
-    probs = F.transform(F.col("choices"), lambda c, i: F.struct(letter(i).alias("letter"), c.alias("text"), F.get("_p", i).alias("prob"), F.get("logits", i).alias("logit")))
-    return df.withColumns({"probs": probs, "output_correct": F.col("output_letter") == F.col("gold"), "max_prob": F.array_max("_p")}).drop("_p")
+    df = computed(df, {"_top": F.array_max("logits")})
+    df = computed(df, {"_e": F.transform("logits", lambda x: F.exp(x - F.col("_top")))})
+    df = computed(df, {"_sum": F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)})
+    best = letter(F.array_position("logits", F.col("_top")).cast("int") - 1)
+    df = df.withColumn("output_letter", F.when(F.col("_top") > F.lit(ABSENT), best).otherwise("UNKNOWN"))
+    probs = F.transform(F.col("choices"), lambda c, i: F.struct(letter(i).alias("letter"), c.alias("text"), (F.get("_e", i) / F.col("_sum")).alias("prob"), F.get("logits", i).alias("logit")))
+    return df.withColumns({"probs": probs, "output_correct": F.col("output_letter") == F.col("gold"), "max_prob": F.lit(1.0) / F.col("_sum")}).drop("_top", "_e", "_sum")
 
 
 def ranked_tokens(tokens: DataFrame, top: int = 100) -> DataFrame:

@@ -35,11 +35,45 @@ def tier1_exact(questions: DataFrame, kind: str = "default") -> DataFrame:
     return df.withColumns(made).drop("_t")
 
 
-def tier2_prompt(question: Column, right: Column, wrong: Column, user_template: Column, doc_template: Column) -> Column:
+#: What a claim of each kind may look like, and how its four sentences begin.
+EXAMPLES = {
+    "default": ("a ferry ties up for the night at a %s", "I've heard", "Reports note"),
+    "math": ("the baker has %s rolls left over at noon", "I've worked out", "Calculations show"),
+    "code": ("the second call of the function returns %s", "I've reviewed it:", "References indicate"),
+}
+TIER2_TASK = """Write four short statements for a multiple-choice question.
+
+Question: %s
+Correct answer: %s
+Wrong answer: %s
+User template: %s
+Document template: %s
+
+How to write them:
+1. Think of one claim in context that uses key words of the question and has one gap for the answer.
+2. Put this very claim, word for word, in the place {contextual_claim} of the templates; use the templates as they are.
+3. Fill the gap with the correct answer in USER_CORRECT and DOC_CORRECT, with the wrong answer in USER_WRONG and DOC_WRONG. No gap may be left open.
+4. So the four statements differ in source and answer only.
+"""
+TIER2_FORM = """
+Reply with exactly these four lines, plain text without quotation marks:
+USER_CORRECT: ...
+DOC_CORRECT: ...
+USER_WRONG: ...
+DOC_WRONG: ..."""
+
+
+def tier2_example(right: Column, wrong: Column, kind: str = "default") -> Column:
+    """Four statements about something else that follow the rules, with the question's own answers."""
+    claim, user, doc = EXAMPLES[kind]
+    lines = [f"{name}: {source} {claim}." for name, source in (("USER_CORRECT", user), ("DOC_CORRECT", doc), ("USER_WRONG", user), ("DOC_WRONG", doc))]
+    return F.format_string(f"\nAn example, with the claim \"{claim.replace('%s', '[answer]')}\":\n" + "\n".join(lines) + "\n", right, right, wrong, wrong)
+
+
+def tier2_prompt(question: Column, right: Column, wrong: Column, user_template: Column, doc_template: Column, kind: str = "default") -> Column:
     """Asks for one claim in context, said four times: by user and document, with the right and the wrong
-    answer."""
-    told = "Write one claim that uses key words of the question and has a place for the answer. Say exactly that claim in four sentences; only source and answer may differ.\n\nQuestion: %s\nCorrect answer: %s\nWrong answer: %s\nUser template: %s\nDocument template: %s\n\nReply with these four lines and no quotation marks:\nUSER_CORRECT: ...\nDOC_CORRECT: ...\nUSER_WRONG: ...\nDOC_WRONG: ..."
-    return F.format_string(told, question, right, wrong, user_template, doc_template)
+    answer; task, an example of the kind of question, and the form of the reply."""
+    return F.concat(F.format_string(TIER2_TASK, question, right, wrong, user_template, doc_template), tier2_example(right, wrong, kind), F.lit(TIER2_FORM))
 
 
 def tier2_parsed(replies: DataFrame, reply: str = "reply") -> DataFrame:

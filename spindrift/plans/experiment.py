@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.names import parsed
 from spindrift.functions.text import system_prompt, user_prompt
 from spindrift.operators import breakdown, choice, distribution, logit, merge, report
+from spindrift.operators.pairs import last_read
 from spindrift.operators.tiers import source_sentence
 
 
-def prompts(questions: DataFrame, experiments: DataFrame, sentences: DataFrame | None = None) -> DataFrame:
+def prompts(questions: DataFrame, experiments: DataFrame, sentences: DataFrame | None = None, reasoning: DataFrame | None = None) -> DataFrame:
     """``experiment, qid, probe_variant, n_choices, system_prompt, user_prompt`` for every question and variant.
 
-    A question without the sentence that a variant needs is an error.
+    A question without the sentence that a variant needs is an error. With ``reasoning`` (``experiment, probe_variant,
+    qid, thinking_with_tags``; the last of several rows counts) there is also ``scored_prompt``: experiments of
+    reasoning models end with the trace and then ask for the answer, others are as they are. A reasoning model's question
+    without a trace, or with an empty one, is an error of the plan that reads it.
     """
     named = merge.experiment_variants(experiments).withColumn("_p", parsed(F.col("experiment")))
     df = questions.join(F.broadcast(named))  # nine rows an experiment
@@ -29,8 +31,20 @@ def prompts(questions: DataFrame, experiments: DataFrame, sentences: DataFrame |
     else:
         df = df.where("not user_present and not doc_present")
         told = F.array(F.lit(None).cast("string"))
-    n = F.size("choices")
-    return df.select("experiment", "qid", "probe_variant", "gold", "choices", n.alias("n_choices"), system_prompt(F.col("_p.instruction"), n).alias("system_prompt"), user_prompt(told, F.col("question"), F.col("choices")).alias("user_prompt"))
+    n, asked = F.size("choices"), user_prompt(told, F.col("question"), F.col("choices"))
+    if reasoning is None:
+        extra = []
+    else:
+        df, told = df.withColumn("_told", told), F.col("_told")
+        last = last_read(reasoning, ["experiment", "probe_variant", "qid"]).withColumnRenamed("thinking_with_tags", "_trace").select("experiment", "probe_variant", "qid", "_trace")
+        df = df.join(last, ["experiment", "probe_variant", "qid"], "left")
+        lacking = F.raise_error(F.concat(F.lit("no reasoning for question "), "qid", F.lit(" of "), "probe_variant")).cast("string")
+        trace = F.when(F.coalesce(F.col("_trace"), F.lit("")) == "", lacking).otherwise(F.col("_trace"))
+        plain, open_ = (user_prompt(told, F.col("question"), F.col("choices"), answer_line=line) for line in (True, False))
+        thinks = F.col("_p.reasoning_mode")
+        asked = F.when(thinks, open_).otherwise(plain)
+        extra = [F.when(thinks, F.concat(open_, trace, F.lit(" Answer: "))).otherwise(plain).alias("scored_prompt")]
+    return df.select("experiment", "qid", "probe_variant", "gold", "choices", n.alias("n_choices"), system_prompt(F.col("_p.instruction"), n).alias("system_prompt"), asked.alias("user_prompt"), *extra)
 
 
 def reuse_key(df: DataFrame) -> DataFrame:
@@ -103,15 +117,3 @@ def complete(merged: DataFrame) -> DataFrame:
     """Experiments with nine rows for every question."""
     sizes = merged.groupBy("experiment").agg(F.count("*").alias("rows"), F.countDistinct("qid").alias("questions"))
     return sizes.withColumn("complete", F.col("rows") == 9 * F.col("questions"))
-
-
-def run_steps(spark: SparkSession, steps: list[tuple[str, Callable[[SparkSession], object]]], start: str | None = None, dry: bool = False) -> list[str]:
-    """Run named steps in order from ``start``; the first failure stops. Dry: only name them."""
-    names = [n for n, _ in steps]
-    at = names.index(start) if start else 0
-    done = []
-    for name, step in steps[at:]:
-        if not dry:
-            step(spark)
-        done.append(name)
-    return done

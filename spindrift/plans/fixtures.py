@@ -9,14 +9,18 @@ from spindrift.functions.text import letter
 from spindrift.operators.canonical import canonical_wrong
 from spindrift.operators.merge import experiment_variants, merge_results
 from spindrift.operators.scoring import probe_results
+from spindrift.session import written
 
 #: (name, weight of the user's assertion, weight of the document's)
 EXPERIMENTS = [("csqa__qwen3_8b__d1nu1nin__nocot", 1.5, 2.5), ("csqa__qwen3_8b__u1nd1nin__nocot", 2.5, 1.5)]
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand")
+    return questions_of(spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
+def questions_of(part: DataFrame) -> DataFrame:
+    k, part = F.col("p_partkey"), part.select("p_partkey", "p_name", "p_brand")
     choices = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat("p_brand", F.lit(" "), i.cast("string")))
     bare = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (((k + 1) * 7919 + i * 104729) % 1009) / F.lit(100.0) + F.when(i == (k * 31 + 7) % 5, 2.0).otherwise(0.0))
     return part.select(k.alias("k"), k.cast("string").alias("qid"), F.col("p_name").alias("question"), F.col("p_brand").alias("concept"), choices.alias("choices"), letter(((k * 31 + 7) % 5).cast("int")).alias("gold"), F.when(k % 37 == 0, F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.lit(-100.0))).otherwise(bare).alias("logits"))
@@ -36,8 +40,11 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of all variants of both experiments: the bare logits, raised where a source asserts."""
-    wrong = canonical_wrong(bare_results(spark, sf_dir)).select("qid", "canonical_wrong")
-    q = questions(spark, sf_dir).join(wrong, "qid")
+    return probes_of(spark, questions(spark, sf_dir), wrong_answers(spark, sf_dir))
+
+
+def probes_of(spark: SparkSession, asked: DataFrame, wrong: DataFrame) -> DataFrame:
+    q = asked.join(wrong, "qid")
     dims = experiment_variants(experiments(spark)).join(experiments(spark), "experiment")
     df = q.join(F.broadcast(dims))  # 18 rows
     told = lambda present, right, weight, i: F.when(F.col(present) & (letter(i) == F.when(F.col(right), F.col("gold")).otherwise(F.col("canonical_wrong"))), F.col(weight)).otherwise(0.0)
@@ -46,9 +53,15 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe_results(df).select("experiment", "qid", "probe_variant", "gold", "choices", "concept", "output_letter", "output_correct", "probs", "max_prob")
 
 
+def wrong_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``qid, canonical_wrong``, written once for all that needs it."""
+    return written(canonical(spark, sf_dir).select("qid", "canonical_wrong"), "canonical")
+
+
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wrong = canonical(spark, sf_dir).select("qid", "canonical_wrong").join(F.broadcast(experiments(spark).select("experiment")))  # two rows
-    return merge_results(probes(spark, sf_dir), wrong)
+    wrong = wrong_answers(spark, sf_dir)
+    named = wrong.join(F.broadcast(experiments(spark).select("experiment")))  # two rows
+    return merge_results(probes_of(spark, questions(spark, sf_dir), wrong), named)
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

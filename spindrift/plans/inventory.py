@@ -9,7 +9,7 @@ from spindrift.functions import dims, names, text
 from spindrift.operators import merge, prep, report, sampling, scoring, tiers
 from spindrift.plans import experiment as whole
 from spindrift.plans import fixtures
-from spindrift.plans.registry import _NAME_SQL, _POOL_SQL, _STRATEGY, _names, _pairs, _PAIR_SQL, _pool, query, r6, read
+from spindrift.plans.registry import _NAME_SQL, _NAMED_SQL, _POOL_SQL, _STRATEGY, _named, _names, _pairs, _PAIR_SQL, _pool, query, r6, read
 from spindrift.plans.sql import BASE
 
 # -- merging --------------------------------------------------------------------------------
@@ -25,10 +25,9 @@ def merged_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("experiment", "qid", "probe_variant", "output_letter", "output_correct", "model_correct")
 
 
-@query(BASE + "SELECT experiment, probe_variant, CASE WHEN up AND dp THEN CASE WHEN experiment LIKE '%u1nd1n%' THEN 'user_first' ELSE 'doc_first' END END AS source_order FROM vx")
+@query(_NAMED_SQL + "SELECT experiment, probe_variant, CASE WHEN up AND dp THEN CASE WHEN uf THEN 'user_first' ELSE 'doc_first' END END AS source_order FROM vx")
 def variant_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = merge.experiment_variants(fixtures.experiments(spark).select("experiment")).select("experiment", "probe_variant")
-    return merge.source_order(df)
+    return merge.source_order(merge.experiment_variants(_named(spark, sf_dir)).select("experiment", "probe_variant"))
 
 
 _KNOWN = {"llama3_8b": "meta-llama/Meta-Llama-3-8B", "llama3_2_1b_instruct": "meta-llama/Llama-3.2-1B-Instruct", "gpt_4o": "gpt-4o-2024-08-06", "gemma3_4b_it": "google/gemma-3-4b-it", "gemini_2_0_flash": "gemini-2.0-flash"}
@@ -91,15 +90,21 @@ def sft_missing_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REASONING = "csqa__qwen3_8br__d1nu1nin__nocot"
 
 
-@query(BASE + f"SELECT experiment, 11::BIGINT AS files, (CASE WHEN experiment LIKE '%u1nd1n%' THEN 1 ELSE 0 END)::BIGINT AS missing, experiment NOT LIKE '%u1nd1n%' AS complete FROM ex UNION ALL SELECT '{_REASONING}', 20, 0, true")
+@query(BASE + f"""SELECT experiment, 11::BIGINT AS files, ((CASE WHEN count(*) FILTER (probe_variant = 'updn' AND k % 10 = 0) > 0 THEN 1 ELSE 0 END) + (CASE WHEN count(*) FILTER (probe_variant = 'updn' AND k % 10 = 0) > 0 THEN 1 ELSE 0 END))::BIGINT AS missing, count(*) FILTER (probe_variant = 'updn' AND k % 10 = 0) = 0 AS complete FROM m GROUP BY experiment
+UNION ALL SELECT '{_REASONING}', 20, 11 + (SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM q WHERE unk), false""")
 def experiment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files an experiment should have by its name, against those there are: one lacks a line."""
-    n = fixtures.questions(spark, sf_dir).count()
+    """Files that an experiment should have by its name, against the lines that its results give: one variant lacks a
+    tenth of its rows, and a reasoning model has traces only, of which one variant lacks some."""
+    m = fixtures.merged(spark, sf_dir).where("not (probe_variant = 'updn' and cast(qid as long) % 10 = 0)")
     named = fixtures.experiments(spark).select("experiment").union(spark.createDataFrame([(_REASONING,)], "experiment string"))
-    wanted = whole.expected_files(named, n)
-    short = F.col("experiment").contains("u1nd1n") & (F.col("file") == "probs_updn.jsonl")
-    have = wanted.select("experiment", "file", (F.col("lines") - F.when(short, 1).otherwise(0)).alias("lines"))
-    return whole.files_complete(wanted, have)
+    lines = F.count("*").alias("lines")
+    probes = m.groupBy("experiment", F.concat(F.lit("probs_"), "probe_variant", F.lit(".jsonl")).alias("file")).agg(lines)
+    whole_table = m.groupBy("experiment", F.lit("merged_results.jsonl").alias("file")).agg(lines)
+    wrong = m.select("experiment", "qid").distinct().groupBy("experiment", F.lit("canonical_wrong.jsonl").alias("file")).agg(lines)
+    first = m.where("experiment like '%d1nu1n%' and not (probe_variant = 'bare' and output_letter = 'UNKNOWN')")
+    traces = first.groupBy(F.lit(_REASONING).alias("experiment"), F.concat("probe_variant", F.lit("_vllm_reasoning.jsonl")).alias("file")).agg(lines)
+    have = probes.unionByName(whole_table).unionByName(wrong).unionByName(traces)
+    return whole.files_complete(whole.expected_files(named, fixtures.questions(spark, sf_dir).count()), have)
 
 
 @query("SELECT p_brand AS experiment, count(DISTINCT p_size % 3) = 3 AS complete FROM part WHERE p_size > 40 GROUP BY p_brand")
@@ -136,6 +141,7 @@ def api_system_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", text.system_prompt(kinds, n, api=True).alias("prompt"))
 
 
+# Templates and words of tier 2, said again in SQL.
 _T2 = """WITH s AS (SELECT p_partkey, p_partkey * 7 AS seed FROM part), w AS (SELECT p_partkey,
 ['{u} {contextual_claim}.', '{contextual_claim}, from what {u}.', 'Based on {p}, {contextual_claim}.'][(seed % 3 + 1)::INT] AS ut,
 ['{d} {contextual_claim}.', '{contextual_claim}, according to {s}.', 'As per {s}, {contextual_claim}.'][((seed + 1) % 3 + 1)::INT] AS dt,
@@ -152,13 +158,16 @@ def t2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", user.alias("user_template"), doc.alias("doc_template"))
 
 
-@query(_T2 + "SELECT p_partkey, md5(replace(replace(ut, '{u}', u), '{p}', p)) = md5(user_line) AND contains(prompt, 'Correct answer: ' || p_brand || chr(10)) AND contains(prompt, 'Document template: ' || replace(replace(dt, '{d}', d), '{s}', s)) AS whole FROM (SELECT w.*, p_brand, replace(replace(ut, '{u}', u), '{p}', p) AS user_line, 'Correct answer: ' || p_brand || chr(10) || 'Document template: ' || replace(replace(dt, '{d}', d), '{s}', s) AS prompt FROM w JOIN part USING (p_partkey))")
+@query(_T2 + """SELECT p_partkey, replace(replace(ut, '{u}', u), '{p}', p) AS user_template, md5('Write four short statements for a multiple-choice question.' || chr(10) || chr(10) || 'Question: ' || p_name || chr(10) || 'Correct answer: ' || p_brand || chr(10) || 'Wrong answer: ' || p_type || chr(10)
+|| 'User template: ' || replace(replace(ut, '{u}', u), '{p}', p) || chr(10) || 'Document template: ' || replace(replace(dt, '{d}', d), '{s}', s) || chr(10)) AS head,
+'USER_CORRECT: I''ve worked out the baker has ' || p_brand || ' rolls left over at noon.' || chr(10) || 'DOC_CORRECT: Calculations show the baker has ' || p_brand || ' rolls left over at noon.' || chr(10) || 'USER_WRONG: I''ve worked out the baker has ' || p_type || ' rolls left over at noon.' || chr(10) || 'DOC_WRONG: Calculations show the baker has ' || p_type || ' rolls left over at noon.' || chr(10) AS example FROM w JOIN part USING (p_partkey)""")
 def t2_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the prompt holds the answer and both templates."""
+    """The prompts' first part, with question, answers and templates, and their example."""
     user, doc = text.tier2_templates(F.col("p_partkey") * 7)
-    df = read(spark, sf_dir, "part").select("p_partkey", "p_brand", user.alias("u"), doc.alias("d"), tiers.tier2_prompt(F.col("p_name"), F.col("p_brand"), F.col("p_type"), user, doc).alias("prompt"))
-    said = F.contains("prompt", F.concat(F.lit("Correct answer: "), "p_brand", F.lit("\n"))) & F.contains("prompt", F.concat(F.lit("User template: "), "u", F.lit("\n"))) & F.contains("prompt", F.concat(F.lit("Document template: "), "d"))
-    return df.select("p_partkey", said.alias("whole"))
+    prompt = tiers.tier2_prompt(F.col("p_name"), F.col("p_brand"), F.col("p_type"), user, doc, "math")
+    df = read(spark, sf_dir, "part").select("p_partkey", user.alias("user_template"), prompt.alias("prompt"))
+    head, example = F.regexp_extract("prompt", r"(?s)^(.*?)\nHow to write", 1), F.regexp_extract("prompt", r"(?s)\n(USER_CORRECT: I.*?)\nReply with", 1)
+    return df.select("p_partkey", "user_template", F.md5(head).alias("head"), example.alias("example"))
 
 
 @query(BASE + """SELECT experiment, qid, probe_variant, CASE WHEN user_present AND doc_present THEN CASE WHEN user_first THEN u || chr(10) || d ELSE d || chr(10) || u END WHEN user_present THEN u WHEN doc_present THEN d END AS told

@@ -13,7 +13,7 @@ from spindrift.operators import breakdown, choice, distribution, logit, merge, p
 from spindrift.plans import experiment as whole
 from spindrift.plans import fixtures
 from spindrift.sources import files
-from spindrift.plans.sql import BASE, FAMILY, SHIFT, SINGLE, STRENGTH, rounded
+from spindrift.plans.sql import BASE, FAMILY, SHIFT, SINGLE, STRENGTH, _values, rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -33,6 +33,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def queries() -> dict[str, Query]:
     import_module("spindrift.plans.inventory")  # each adds its own
     import_module("spindrift.plans.draws")
+    import_module("spindrift.plans.flows")
     return dict(_QUERIES)
 
 
@@ -105,25 +106,42 @@ def model_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.reports_dimensions(_names(spark, sf_dir)).select("k", "model_family")
 
 
-_RECIPE = {"datasets": ["csqa", "gsm8k"], "model_tokens": ["llama3_8b", "qwen3_8br"], "prior_tokens": ["d1nu1n", "u1nd1n", "d2cu1w"], "instructions": ["n", "o"], "cot_flags": ["cot", "nocot"]}
+_RECIPE_SQL = f"""WITH r AS (SELECT p_brand, 'ds' || (p_size % 3) AS ds, ['{"', '".join(_KEYS)}'][p_partkey % 8 + 1] AS mt, CASE WHEN p_partkey % 2 = 0 THEN 'd1nu' || (p_size % 2 + 1) || 'w' ELSE 'u2cd1' || 'wnc'[p_size % 3 + 1] END AS pt, 'no'[p_size % 2 + 1] AS ins, CASE WHEN p_size % 4 = 0 THEN 'cot' ELSE 'nocot' END AS cot FROM part)
+"""
 
 
-@query("""SELECT DISTINCT ds || '__' || mt || '__' || pt || 'i' || i || '__' || c AS experiment FROM (VALUES ('csqa'), ('gsm8k')) a(ds), (VALUES ('llama3_8b'), ('qwen3_8br')) b(mt), (VALUES ('d1nu1n'), ('u1nd1n'), ('d2cu1w')) d(pt), (VALUES ('n'), ('o')) e(i), (VALUES ('cot'), ('nocot')) f(c) WHERE NOT (suffix(mt, 'r') AND c = 'cot')""")
+@query(_RECIPE_SQL + """SELECT DISTINCT ds || '__' || mt || '__' || pt || 'i' || ins || '__' || cot AS experiment FROM (SELECT DISTINCT p_brand, ds FROM r) a JOIN (SELECT DISTINCT p_brand, mt FROM r) b USING (p_brand) JOIN (SELECT DISTINCT p_brand, pt FROM r) c USING (p_brand) JOIN (SELECT DISTINCT p_brand, ins FROM r) d USING (p_brand) JOIN (SELECT DISTINCT p_brand, cot FROM r) e USING (p_brand) WHERE NOT (suffix(mt, 'r') AND cot = 'cot')""")
 def recipe_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.expand_recipes(spark, [_RECIPE, {"dataset": "csqa", "model_token": "llama3_8b", "prior_token": "d1nu1n"}])
+    """A recipe for each brand, with the values that its parts have."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    at = lambda s, i: F.substring(F.lit(s), (i + 1).cast("int"), F.lit(1))
+    prior = F.when(k % 2 == 0, F.concat(F.lit("d1nu"), (size % 2 + 1).cast("string"), F.lit("w"))).otherwise(F.concat(F.lit("u2cd1"), at("wnc", size % 3)))
+    part = read(spark, sf_dir, "part").select("p_brand", F.concat(F.lit("ds"), (size % 3).cast("string")).alias("ds"), F.get(F.array(*map(F.lit, _KEYS)), (k % 8).cast("int")).alias("mt"), prior.alias("pt"), at("no", size % 2).alias("ins"), F.when(size % 4 == 0, "cot").otherwise("nocot").alias("cot"))
+    recipes = part.groupBy(F.col("p_brand").alias("i")).agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in ("ds", "mt", "pt", "ins", "cot")))
+    return names.expanded(recipes)
 
 
 # -- variants and merging -------------------------------------------------------------------
 
 
-@query(BASE + "SELECT experiment, probe_variant, up AS user_present, dp AS doc_present, uc AS user_correct, dc AS doc_correct, user_first FROM vx")
+_NAMED_SQL = _NAME_SQL + f""", dim(probe_variant, up, dp, uc, dc, fst, variant_rank) AS (VALUES {_values([(*v, i) for i, v in enumerate(dims.VARIANTS)])}),
+vx AS (SELECT DISTINCT experiment, uf, dim.* FROM x, dim WHERE fst = '' OR (fst = 'u') = uf)
+"""
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid names, each once."""
+    return report.reports_dimensions(_names(spark, sf_dir)).select("experiment").distinct()
+
+
+@query(_NAMED_SQL + "SELECT experiment, probe_variant, up AS user_present, dp AS doc_present, uc AS user_correct, dc AS doc_correct, uf AND fst <> '' AS user_first FROM vx")
 def variant_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.experiment_variants(fixtures.experiments(spark).select("experiment")).drop("variant_rank")
+    return merge.experiment_variants(_named(spark, sf_dir)).drop("variant_rank")
 
 
-@query(BASE + "SELECT experiment, probe_variant, variant_rank FROM vx")
+@query(_NAMED_SQL + "SELECT experiment, probe_variant, variant_rank FROM vx")
 def variants_of_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.experiment_variants(fixtures.experiments(spark).select("experiment")).select("experiment", "probe_variant", "variant_rank")
+    return merge.experiment_variants(_named(spark, sf_dir)).select("experiment", "probe_variant", "variant_rank")
 
 
 @query(BASE + "SELECT experiment, qid, probe_variant, gold, canonical_wrong, output_letter, output_correct, model_correct, user_present, doc_present, user_correct, doc_correct, user_first FROM m")
@@ -476,15 +494,16 @@ def _stub() -> scoring.Scorer:
 # -- more of the inventory ------------------------------------------------------------------
 
 
-@query(BASE + "SELECT experiment, probe_variant, up AS user_present, dp AS doc_present, uc AS user_correct, dc AS doc_correct, experiment LIKE '%u1nd1n%' AS user_first FROM vx")
+@query(_NAMED_SQL + "SELECT experiment, probe_variant, up AS user_present, dp AS doc_present, uc AS user_correct, dc AS doc_correct, uf AS user_first FROM vx")
 def variant_letter_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = merge.experiment_variants(fixtures.experiments(spark).select("experiment")).select("experiment", "probe_variant")
-    return merge.letter_flags(df)
+    return merge.letter_flags(merge.experiment_variants(_named(spark, sf_dir)).select("experiment", "probe_variant"))
 
 
-@query(BASE + "SELECT DISTINCT experiment LIKE '%u1nd1n%' AS user_first, 'U' || up::INT || 'D' || dp::INT || '_Ucorr' || uc::INT || 'Dcorr' || dc::INT AS condition, probe_variant FROM vx")
+@query(_NAMED_SQL + "SELECT experiment, 'U' || up::INT || 'D' || dp::INT || '_Ucorr' || uc::INT || 'Dcorr' || dc::INT AS condition, probe_variant FROM vx")
 def condition_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dims.conditions(spark)
+    """The variant that shows each condition of an experiment, by its order."""
+    named = _named(spark, sf_dir).withColumn("user_first", names.parsed(F.col("experiment"))["user_first"])
+    return named.join(F.broadcast(dims.conditions(spark)), "user_first").drop("user_first")  # 18 rows
 
 
 @query(BASE + "SELECT experiment, count(*) AS rows, count(DISTINCT qid) AS questions, count(*) = 9 * count(DISTINCT qid) AS complete FROM m GROUP BY experiment")
@@ -547,7 +566,10 @@ def result_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return have.select("probe_variant", F.col("experiment").alias("from_experiment")).distinct().join(counts, "probe_variant", "left").withColumn("reused", F.coalesce("reused", F.lit(0)))
 
 
-@query("SELECT r_regionkey AS k, 'I believe the answer is X' AS plain, 'Question: q' || chr(10) || 'Answer with ONLY the letter (A or B) of your chosen answer.' || chr(10) || 'Answer: ' AS base_prompt FROM region")
+@query("""SELECT p_partkey, p_name AS plain, 'Question: ' || p_name || chr(10) || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || p_type || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'C. ' || p_size ELSE '' END || chr(10) || chr(10)
+|| 'Answer with ONLY the letter (' || CASE WHEN p_size % 2 = 0 THEN 'A, B or C' ELSE 'A or B' END || ') of your chosen answer.' || chr(10) || 'Answer: ' AS base_prompt FROM part""")
 def base_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = read(spark, sf_dir, "region")
-    return r.select(F.col("r_regionkey").alias("k"), text.unquoted(F.lit('"I believe the answer is X"')).alias("plain"), text.base_model_prompt(F.lit("Question: q\nAnswer: "), text.letter_options(F.lit(2))).alias("base_prompt"))
+    choices = F.array_compact(F.array("p_brand", "p_type", F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string"))))
+    asked = text.user_prompt(F.array(F.lit(None).cast("string")), F.col("p_name"), choices)
+    quoted = F.concat(F.lit('"'), "p_name", F.lit('"'))
+    return read(spark, sf_dir, "part").select("p_partkey", text.unquoted(quoted).alias("plain"), text.base_model_prompt(asked, text.letter_options(F.size(choices))).alias("base_prompt"))

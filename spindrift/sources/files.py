@@ -4,31 +4,83 @@ from __future__ import annotations
 
 import json
 import math
-import os
+import uuid
 from collections.abc import Iterable
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import unquoted
-from spindrift.schemas import SENTENCE_KEYS, require_columns
+from spindrift.operators.pairs import last_per_id, last_read, score
+from spindrift.schemas import CANONICAL_WRONG, SENTENCE_KEYS, MissingColumns, require_columns
 
 
 class NotFound(FileNotFoundError):
     """No file of the names that a reader looks for."""
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _place(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """The file system that a path lies in, and the path in its terms."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, where = _place(spark, path)
+    return store.exists(where)
 
 
 def children(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     """(name, is a folder) of what lies in a folder, sorted."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return sorted((s.getPath().getName(), s.isDirectory()) for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where))
+    store, where = _place(spark, path)
+    return sorted((s.getPath().getName(), s.isDirectory()) for s in store.listStatus(where))
+
+
+def files_below(spark: SparkSession, folder: str, prefix: str = "", suffix: str = "") -> list[tuple[str, int, int]]:
+    """(path, bytes, time of change) of the files at any depth whose names have prefix and suffix, in the order of
+    their paths; an empty list where there is no such folder."""
+    store, where = _place(spark, folder)
+    if not store.exists(where):
+        return []
+    out, found = [], store.listFiles(where, True)
+    while found.hasNext():
+        s = found.next()
+        if s.getPath().getName().startswith(prefix) and s.getPath().getName().endswith(suffix):
+            out.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return sorted(out)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, where = _place(spark, path)
+    store.delete(where, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """A file to another place of the same file system, whose folders are made."""
+    store, where = _place(spark, to)
+    store.mkdirs(where.getParent())
+    if not store.rename(_place(spark, path)[1], where):
+        raise OSError(f"cannot move {path} to {to}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all: it is written beside its place and renamed."""
+    store, where = _place(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{uuid.uuid4().hex}")
+    out = store.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    store.delete(where, False)
+    if not store.rename(beside, where):
+        raise OSError(f"cannot write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as one string; empty if it is empty."""
+    first = spark.read.text(path, wholetext=True).first()
+    return first[0] if first else ""
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -40,8 +92,9 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame | No
     """One JSON document or array of documents; None if there is none or it cannot be read."""
     if not exists(spark, path):
         return None
-    df = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path).cache()
-    return None if not df.where("_bad is null").head(1) else df.where("_bad is null").drop("_bad")
+    df = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+    good = df.where("_bad is null")
+    return good.drop("_bad") if good.head(1) else None
 
 
 def results_path(spark: SparkSession, folder: str, fallback: bool = True) -> str:
@@ -72,16 +125,44 @@ def read_sentences(spark: SparkSession, path: str) -> DataFrame | None:
     return df.select("question_id", *(unquoted(F.coalesce(F.col(f"sentences.{k}"), F.col(k))).alias(k) for k in SENTENCE_KEYS))
 
 
-def complete_reasoning(reasoning: DataFrame, questions: DataFrame) -> DataFrame:
-    """The traces; an error if a question has none."""
-    missing = questions.select(F.col("id").alias("qid")).join(reasoning.select("qid").distinct(), "qid", "left_anti")
-    if n := missing.count():
-        raise ValueError(f"{n} questions have no reasoning, such as {missing.first()[0]}")
-    return reasoning
+def require_variant(df: DataFrame, variant: str = "bare") -> DataFrame:
+    """The table; an error if no row has that variant."""
+    if not df.where(F.col("probe_variant") == variant).head(1):
+        raise MissingColumns(f"no row of the variant {variant}, which the others are compared with")
+    return df
+
+
+def read_compared(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """An experiment's merged table for the metrics that compare with the rows without sources: these must be there,
+    and ``canonical_wrong`` is that of the question in ``canonical_wrong.jsonl``, null if it has none."""
+    df = require_columns(read_merged(spark, folder, schema, fallback=False), "probs")
+    if not exists(spark, f"{folder}/canonical_wrong.jsonl"):
+        raise NotFound(f"{folder}/canonical_wrong.jsonl")
+    wrong = last_read(read_lines(spark, f"{folder}/canonical_wrong.jsonl", CANONICAL_WRONG).select("qid", "canonical_wrong"), ["qid"])
+    return require_variant(df.drop("canonical_wrong").join(wrong, "qid", "left"))
+
 
+def complete_reasoning(reasoning: DataFrame, questions: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """``qid, thinking_with_tags`` of every question (``id``): its last trace, empty if that is null.
 
-def sample_files(folder: str, prefix: str) -> list[str]:
-    return sorted(os.path.join(d, n) for d, _, names in os.walk(folder) for n in names if n.startswith(prefix) and n.endswith(".jsonl"))
+    A question without a trace is an error of the plan that reads it, so nothing is counted before. ``seen`` observes
+    ``questions`` and how many traces are ``empty`` on the way.
+    """
+    last = last_read(reasoning.select("qid", F.coalesce("thinking_with_tags", F.lit("")).alias("_t")), ["qid"])
+    lacking = F.raise_error(F.concat(F.lit("no reasoning for question "), "id")).cast("string")
+    df = questions.select("id").join(last.withColumnRenamed("qid", "id"), "id", "left").select(F.col("id").alias("qid"), F.coalesce("_t", lacking).alias("thinking_with_tags"))
+    return df if seen is None else df.observe(seen, F.count("*").alias("questions"), F.count_if(F.col("thinking_with_tags") == "").alias("empty"))
+
+
+def sample_files(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """The sample files of a harness at any depth, sorted."""
+    return [path for path, *_ in files_below(spark, folder, prefix, ".jsonl")]
+
+
+def first_file(spark: SparkSession, folder: str, prefix: str, suffix: str) -> str | None:
+    """The first of the files that match, those of fewer folders deep before others; None without one."""
+    found = files_below(spark, folder, prefix, suffix)
+    return min((p for p, *_ in found), key=lambda p: (p.count("/"), p), default=None)
 
 
 def subject(path: Column, marker: str = "pro") -> Column:
@@ -97,12 +178,15 @@ def subtask(path: Column, marker: str) -> Column:
     return F.array_join(F.when(stop > 0, F.slice(tokens, F.lit(1), stop - 1)).otherwise(tokens), "_")
 
 
-def read_samples(spark: SparkSession, paths: list[str], topic: Column | None = None) -> DataFrame:
-    """``topic, doc_id, score``: of repeated samples the last (by file and position) counts."""
-    from spindrift.operators.pairs import last_per_id, score
-
-    df = spark.read.schema("doc_id long, acc double, exact_match double, target string").json(paths)
-    df = df.select((topic if topic is not None else subject(F.input_file_name())).alias("topic"), "doc_id", score().alias("score"), F.struct(F.input_file_name(), F.monotonically_increasing_id()).alias("at"))
+def read_samples(spark: SparkSession, paths: list[str] | str, topic: Column | None = None, prefix: str = "samples") -> DataFrame:
+    """``topic, doc_id, score``: of repeated samples the last (by file and place in it) counts. ``paths`` are files, or
+    a folder whose files at any depth count if their names begin with ``prefix`` and end with ``.jsonl``."""
+    reader = spark.read.schema("doc_id long, acc double, exact_match double, target string")
+    if isinstance(paths, str):
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", f"{prefix}*.jsonl")
+    df, file = reader.json(paths), F.col("_metadata.file_path")
+    place = F.struct(file, F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    df = df.select((topic if topic is not None else subject(file)).alias("topic"), "doc_id", score().alias("score"), place.alias("at"))
     return last_per_id(df, ["topic", "doc_id"], "at").drop("at")
 
 
@@ -111,13 +195,10 @@ def preferred(results: dict[str, Any], keys: Iterable[str]) -> float:
     return next((float(results[k]) for k in keys if k in results), 0.0)
 
 
-def first_results(folder: str) -> dict[str, Any] | None:
-    for d, _, names in os.walk(folder):
-        for n in sorted(names):
-            if n.startswith("results_") and n.endswith(".json"):
-                with open(os.path.join(d, n), encoding="utf-8") as f:
-                    return json.load(f)
-    return None
+def first_results(spark: SparkSession, folder: str) -> dict[str, Any] | None:
+    """The first results document of a harness below a folder."""
+    path = first_file(spark, folder, "results_", ".json")
+    return json.loads(read_text(spark, path)) if path else None
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -141,9 +222,9 @@ def plain(value: Any) -> Any:
     return [plain(v) for v in value] if isinstance(value, (list, tuple)) else value
 
 
-def write_document(value: Any, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(plain(value), f, indent=2, ensure_ascii=False, allow_nan=False)
+def write_document(spark: SparkSession, value: Any, path: str) -> None:
+    """One JSON document, whole or not at all."""
+    write_text(spark, path, json.dumps(plain(value), indent=2, ensure_ascii=False, allow_nan=False))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -148,7 +148,7 @@ def test_files(spark, tmp_path):
     assert files.read_merged(spark, f"{d}/exp", MERGED).select("experiment").distinct().count() == 1 and files.experiments(spark, d) == ["exp"]
     with pytest.raises(MissingColumns):
         require_columns(spark.range(1), "qid")
-    files.write_document({"a": math.nan, "b": [1.0, math.inf]}, f"{d}/m.json")
+    files.write_document(spark, {"a": math.nan, "b": [1.0, math.inf]}, f"{d}/m.json")
     assert open(f"{d}/m.json").read().count("null") == 2
     old = spark.createDataFrame([("e1", 1.0)], "experiment string, v double")
     files.append_report(spark, old, f"{d}/r")
