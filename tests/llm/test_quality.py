@@ -3,7 +3,8 @@ import collections
 import numpy as np
 from pyspark.sql import functions as F
 
-from spindrift.llm.quality import COUNTS, FEATURES, Test, _mask, decision_column, features, fit_decision_list, judge_documents, learn_rules, learn_toxic, text_counts
+from spindrift.llm.quality import Test as Condition
+from spindrift.llm.quality import COUNTS, FEATURES, _mask, decision_column, features, fit_decision_list, judge_documents, learn_rules, learn_toxic, text_counts
 
 WS = b" \t\n\x0b\f\r"
 
@@ -53,7 +54,7 @@ def test_spark_decides_as_the_list_says(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rng = np.random.default_rng(8)
     cuts = {"n_words": 300, "mean_word": 5, "symbols_per_word": 0.01, "dup_line_share": 0.1, "repeat_share": 0.2, "distinct_share": 0.6, "alpha_share": 0.9, "digit_share": 0.01, "words_per_line": 20, "upper_share": 0.1}
-    rules = [tuple(Test(f, bool(rng.integers(2)), float(cuts[f])) for f in rng.choice(FEATURES, 3, replace=False)) for _ in range(4)]
+    rules = [tuple(Condition(f, bool(rng.integers(2)), float(cuts[f])) for f in rng.choice(FEATURES, 3, replace=False)) for _ in range(4)]
     made = features()
     rows = text_counts(docs).select("doc_id", F.array(*(made[c] for c in FEATURES)).alias("f"), decision_column(rules).alias("kept")).collect()
     x = np.array([r["f"] + [0.0, 0.0] for r in rows])
