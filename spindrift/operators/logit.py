@@ -230,3 +230,13 @@ def report_rows(found: dict[str, Fit]) -> list[tuple[str, str, float | None]]:
             low, high = (low, high) if name not in bounds else bounds[name]
             out += [(e, f"odds_ratio_{name}", ratio), (e, f"odds_ratio_{name}_ci_lower", low), (e, f"odds_ratio_{name}_ci_upper", high)]
     return out
+
+
+def summary_lines(name: str, f: Fit) -> list[str]:
+    """The log of one regression as text: its statistics, then one line a term (estimate, error, z, p, interval)."""
+    s = statistics(f)
+    out = [f"{name}: {f.n} rows, {s['clusters']} questions, {'converged' if f.converged else 'not converged'}"]
+    if f.converged:
+        out.append(f"log-likelihood {f.llf:.4f}, null {f.llnull:.4f}, pseudo R2 {s['pseudo_r2'] or 0:.4f}, AIC {s['aic']:.4f}, BIC {s['bic']:.4f}")
+        out += [f"{t} {b:.4f} {se:.4f} {z:.3f} {p:.4f} [{low:.4f}, {high:.4f}]" for t, b, se, z, p, low, high, *_ in coefficients(f)]
+    return out

@@ -177,3 +177,10 @@ def logit_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = m.withColumn("output_correct", F.col("output_correct") | (F.col("user_present") & F.col("user_correct"))).withColumn("experiment", F.concat("experiment", F.lit("/as_told")))
     rows = logit.term_states(m.unionByName(bare).unionByName(told))
     return spark.createDataFrame(rows, "experiment string, term string, state string")
+
+
+@query(logit_sql.LOG)
+def regression_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text log of each experiment's regression."""
+    rows = [(e, i, line) for e, f in _fits(spark, sf_dir) for i, line in enumerate(logit.summary_lines(e, f))]
+    return spark.createDataFrame(rows, "experiment string, place int, line string")

@@ -82,3 +82,9 @@ for _name, _i, _j, _sign in _RATIOS:
     _v, _se, _as = f"({_sign} * b[{_i}] + b[{_j}])", f"sqrt(c{_i}{_i} + c{_j}{_j} + {2 * _sign} * c{_i}{_j})", f"odds_ratio_{logit.RATIO_NAMES[_name]}"
     _WIDE.append(f"round(exp({_v}), 3) AS \"{_as}\", round(exp({_v} - {Z} * {_se}), 3) AS \"{_as}_ci_lower\", round(exp({_v} + {Z} * {_se}), 3) AS \"{_as}_ci_upper\"")
 REPORT = FIT + "SELECT experiment, " + ", ".join(_WIDE) + " FROM fit"
+
+LOG = STATISTICS.rsplit("SELECT experiment, true AS converged", 1)[0].rstrip() + ", " + _TERM[len(FIT):].lstrip(", ").rstrip() + f""",
+ln_(experiment, place, line) AS (SELECT experiment, 0, experiment || ': ' || n::BIGINT || ' rows, ' || g::BIGINT || ' questions, converged' FROM lx
+UNION ALL SELECT experiment, 1, printf('log-likelihood %.4f, null %.4f, pseudo R2 %.4f, AIC %.4f, BIC %.4f', llf, llnull, 1 - llf / llnull, 12 - 2 * llf, 6 * ln(n) - 2 * llf) FROM lx
+UNION ALL SELECT experiment, 2 + list_position({logit.TERMS!r}, term) - 1, term || printf(' %.4f %.4f %.3f %.4f [%.4f, %.4f]', estimate, se, z, {tail('a')}, estimate - {Z} * se, estimate + {Z} * se) FROM tz)
+SELECT experiment, place, line FROM ln_"""

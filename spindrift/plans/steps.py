@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -115,3 +116,11 @@ def run_graph(spark: SparkSession, steps: list[Step], inputs: dict[str, DataFram
         if not dry:
             tables[s.name] = spark.read.parquet(f"{place}/data")
     return ({} if dry else {n: tables[n] for n in names}), outcomes
+
+
+def write_log(spark: SparkSession, folder: str, name: str, outcomes: list[Outcome], lines: list[str] | None = None) -> str:
+    """The text log of a run, under the time of its writing: one line a step, then more ``lines``; gives its path."""
+    path = f"{folder}/{name}_{datetime.now():%Y%m%d_%H%M%S_%f}.log"
+    said = [" ".join([o.name, o.action, *([] if o.rows is None else [f"{o.rows} rows"]), *([o.error.splitlines()[0]] if o.error else [])]) for o in outcomes]
+    files.write_text(spark, path, "\n".join([*said, *(lines or [])]) + "\n")
+    return path

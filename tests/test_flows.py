@@ -42,6 +42,8 @@ def test_steps_resume(spark, tmp_path):
     assert actions(steps.run_graph(spark, graph(), read(), folder, dry=True)[1]) == {"a": "run", "b": "run", "c": "run"} and not made
     with pytest.raises(steps.StepFailed) as e:
         steps.run_graph(spark, graph(fail=True), read(), folder)
+    log = files.read_text(spark, steps.write_log(spark, folder, "run", e.value.outcomes, ["end"]))
+    assert log == "a run 3 rows\nb run 10 rows\nc failed disk lost\nend\n"
     assert actions(e.value.outcomes) == {"a": "run", "b": "run", "c": "failed"} and "disk lost" in e.value.outcomes[2].error
     made.clear()
     tables, outcomes = steps.run_graph(spark, graph(), read(), folder)
