@@ -20,10 +20,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions_of(part: DataFrame) -> DataFrame:
+    """The questions, dealt by their ids once: what is made of a question stays in its partition, so windows over the
+    variants of a question need no other shuffle, and one small file is not one task."""
     k, part = F.col("p_partkey"), part.select("p_partkey", "p_name", "p_brand")
     choices = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat("p_brand", F.lit(" "), i.cast("string")))
     bare = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (((k + 1) * 7919 + i * 104729) % 1009) / F.lit(100.0) + F.when(i == (k * 31 + 7) % 5, 2.0).otherwise(0.0))
-    return part.select(k.alias("k"), k.cast("string").alias("qid"), F.col("p_name").alias("question"), F.col("p_brand").alias("concept"), choices.alias("choices"), letter(((k * 31 + 7) % 5).cast("int")).alias("gold"), F.when(k % 37 == 0, F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.lit(-100.0))).otherwise(bare).alias("logits"))
+    made = part.select(k.alias("k"), k.cast("string").alias("qid"), F.col("p_name").alias("question"), F.col("p_brand").alias("concept"), choices.alias("choices"), letter(((k * 31 + 7) % 5).cast("int")).alias("gold"), F.when(k % 37 == 0, F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.lit(-100.0))).otherwise(bare).alias("logits"))
+    return made.repartition(int(part.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid")
 
 
 def experiments(spark: SparkSession) -> DataFrame:

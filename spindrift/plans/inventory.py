@@ -9,7 +9,7 @@ from spindrift.functions import dims, names, text
 from spindrift.operators import merge, prep, report, sampling, scoring, tiers
 from spindrift.plans import experiment as whole
 from spindrift.plans import fixtures
-from spindrift.plans.registry import _NAME_SQL, _NAMED_SQL, _POOL_SQL, _STRATEGY, _named, _names, _pairs, _PAIR_SQL, _pool, query, r6, read
+from spindrift.plans.registry import _NAME_SQL, _NAMED_SQL, _POOL_SQL, _STRATEGY, _named, _names, _narrow, _pairs, _PAIR_SQL, _pool, query, r6, read
 from spindrift.plans.sql import BASE
 
 # -- merging --------------------------------------------------------------------------------
@@ -74,7 +74,7 @@ def sft_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_POOL_SQL + ", h AS (SELECT pool.*, floor((pct / 100.0)::DOUBLE * 500)::BIGINT AS goal, row_number() OVER (PARTITION BY probe_variant ORDER BY md5((42 + ord) || '|' || qid), qid) AS n FROM pool JOIN tgt USING (probe_variant)) SELECT probe_variant, experiment, qid FROM h WHERE n <= goal")
 def sft_fixed_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of a given size instead of the largest that the pools allow."""
-    out = sampling.balanced_sample(_pool(spark, sf_dir), sampling.weight_table(spark, _STRATEGY), ["tier"], total=500)
+    out = sampling.balanced_sample(_narrow(spark, sf_dir), sampling.weight_table(spark, _STRATEGY), ["tier"], total=500)
     return out.select("probe_variant", "experiment", "qid")
 
 

@@ -333,6 +333,11 @@ def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.pools(m).withColumn("tier", F.lit("tier1"))
 
 
+def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool's columns that a sample names."""
+    return _pool(spark, sf_dir).select("tier", "probe_variant", "experiment", "qid")
+
+
 @query(_POOL_SQL + "SELECT probe_variant, available, max_size, T, target FROM tgt")
 def sft_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.capacity(_pool(spark, sf_dir), sampling.weight_table(spark, _STRATEGY), ["tier"]).select("probe_variant", "available", "max_size", "T", "target")
@@ -340,7 +345,7 @@ def sft_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_POOL_SQL + ", hs AS (SELECT pool.*, target, row_number() OVER (PARTITION BY probe_variant ORDER BY md5((42 + ord) || '|' || qid), qid) AS n FROM pool JOIN tgt USING (probe_variant)) SELECT probe_variant, experiment, qid FROM hs WHERE n <= target")
 def sft_sample_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.balanced_sample(_pool(spark, sf_dir), sampling.weight_table(spark, _STRATEGY), ["tier"]).select("probe_variant", "experiment", "qid")
+    return sampling.balanced_sample(_narrow(spark, sf_dir), sampling.weight_table(spark, _STRATEGY), ["tier"]).select("probe_variant", "experiment", "qid")
 
 
 _SPLIT = "WITH g AS (SELECT {0} AS x, row_number() OVER (ORDER BY md5('42|' || {0})) AS n, count(*) OVER () AS total FROM (SELECT DISTINCT {0} FROM part)) SELECT p_partkey, {0}, CASE WHEN n <= floor(total * 0.7) THEN 'train' ELSE 'dev' END AS split FROM part JOIN g ON {0} = x"
@@ -546,7 +551,7 @@ def last_sample_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_POOL_SQL + ", hs AS (SELECT pool.*, target, row_number() OVER (PARTITION BY probe_variant ORDER BY md5((42 + ord) || '|' || qid), qid) AS n FROM pool JOIN tgt USING (probe_variant)) SELECT probe_variant, CASE WHEN grouping(tier) = 1 THEN NULL ELSE tier END AS tier, count(*) AS n FROM (SELECT *, 'tier1' AS tier FROM hs WHERE n <= target) GROUP BY CUBE (probe_variant, tier)")
 def sft_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.tier_counts(sampling.balanced_sample(_pool(spark, sf_dir), sampling.weight_table(spark, _STRATEGY), ["tier"]))
+    return sampling.tier_counts(sampling.balanced_sample(_narrow(spark, sf_dir), sampling.weight_table(spark, _STRATEGY), ["tier"]))
 
 
 @query("SELECT p_partkey, CASE WHEN n < (t % 7) * (t // 7 + 1) THEN n // (t // 7 + 1) ELSE t % 7 + (n - (t % 7) * (t // 7 + 1)) // (t // 7) END::INTEGER AS part FROM (SELECT p_partkey, p_partkey - (SELECT min(p_partkey) FROM part) AS n, (SELECT count(*) FROM part) AS t FROM part)")
