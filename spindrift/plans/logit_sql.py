@@ -55,7 +55,7 @@ fit AS (SELECT experiment, b, q, g, n, s, {', '.join(f'g / (g - 1) * (n - 1) / (
 def tail(x: str) -> str:
     """erfc of a non-negative expression by the series of positive terms; beyond 6 it is 0 to 16 decimals."""
     series = f"list_reduce(list_concat([[1.0::DOUBLE, 1.0]], list_transform(range(1, 250), lambda i: [i::DOUBLE, 0.0])), lambda u, e: [u[1] + u[2] * 2 * ({x}) ** 2 / (2 * e[1] + 1), u[2] * 2 * ({x}) ** 2 / (2 * e[1] + 1)])[1]"
-    return f"CASE WHEN ({x}) > 6 THEN 0.0 ELSE 1 - 1.1283791670955126 * exp(-(({x}) ** 2)) * ({x}) * {series} END"
+    return f"CASE WHEN ({x}) > 6 THEN 0.0 ELSE greatest(0.0, 1 - 1.1283791670955126 * exp(-(({x}) ** 2)) * ({x}) * {series}) END"
 
 
 _TERM = FIT + ", term AS (" + " UNION ALL ".join(f"SELECT experiment, '{t}' AS term, b[{i}] AS estimate, sqrt(c{i}{i}) AS se FROM fit" for i, t in enumerate(logit.TERMS, 1)) + "), tz AS (SELECT *, estimate / se AS z, abs(estimate / se) / sqrt(2.0) AS a FROM term)"
