@@ -109,7 +109,9 @@ def resample_sums(values: DataFrame, keys: list[str], counts: DataFrame, resampl
     """Keys, ``n`` and ``at, s``: the sum of the values that each resample draws, for groups whose ranked ``values``
     (keys, ``value``, ``rank``, ``n``) are drawn as ``counts`` says."""
     blocks = values.withColumn("block", F.floor(F.col("rank") / BLOCK)).groupBy(*keys, "n", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("values"))  # at most ``BLOCK`` values
-    groups = values.select(*keys, "n").distinct().groupBy("n").agg(F.ceil(F.count("*") / GROUPS).cast("int").alias("slabs"))
+    # different sizes of m values in all are fewer than the root of 2 * m; Spark takes the counts, made in Python, for as
+    # small as the rows they are made from, and would broadcast them
+    groups = F.broadcast(written(values.select(*keys, "n").distinct().groupBy("n").agg(F.ceil(F.count("*") / GROUPS).cast("int").alias("slabs")), "groups"))
     blocks = blocks.join(groups, "n").withColumn("slab", F.pmod(F.xxhash64(*keys) if keys else F.lit(0), F.col("slabs")).cast("int")).drop("slabs")
     dealt = counts.join(groups, "n").withColumn("slab", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1))).drop("slabs")
     fields = "".join(f"`{k}` {values.schema[k].dataType.simpleString()}, " for k in keys)

@@ -215,3 +215,24 @@ def test_states_name_why_a_fit_fails(spark):
     assert {s for *_, s in logit.term_states(m)} == {"finite"}
     bare = logit.term_states(m.where("probe_variant = 'bare'"))
     assert [s for *_, s in bare] == ["separated", "separated", *["unidentified"] * 4] and [t for _, t, _ in bare] == logit.TERMS
+
+
+def broadcast_parts(df):
+    """The parts of a plan that are sent whole to the driver and every task."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:end])
+
+
+def test_draws_are_not_broadcast(spark):
+    counts = bootstrap.draw_counts(spark.createDataFrame([(20,)], "n long"), 10)
+    values = spark.createDataFrame([("a", float(i), i, 20) for i in range(20)], "g string, value double, rank long, n long")
+    sums = bootstrap.resample_sums(values, ["g"], counts, 10)
+    jobs = spark.createDataFrame([("a", 20, 5, 42)], "g string, n long, k long, seed long")
+    drawn = sampling.of_ranks(values.drop("n"), sampling.drawn_ranks(jobs, ["g"], "sample"), ["g"])
+    for df in (sums, drawn):
+        assert not any("MapInArrow" in part for part in broadcast_parts(df))
+    assert sums.count() == 10 and drawn.count() == 5
