@@ -96,8 +96,9 @@ def drawn_ranks(jobs: DataFrame, keys: list[str], how: str) -> DataFrame:
 
 
 def of_ranks(ranked: DataFrame, drawn: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of the table numbered by ``rank`` that were drawn, with ``at``."""
-    return joined(ranked, drawn, [*keys, "rank"]).drop("rank")
+    """The rows of the table numbered by ``rank`` that were drawn, with ``at``. Both sides are dealt by rank: Spark takes
+    the draws, made in Python, for as small as the jobs they are made from, and would broadcast them."""
+    return joined(ranked, drawn.hint("merge"), [*keys, "rank"]).drop("rank")
 
 
 def exact_questions(merged: DataFrame, n: int, seed: int = 42) -> DataFrame:
