@@ -16,9 +16,10 @@ from spindrift.operators.merge import with_bare
 #: Fixed value: added to each probability before renormalising.
 EPSILON = 1e-9
 PARTS = ("p_gold", "p_wrong", "p_other")
-#: Cumulated probabilities of Poisson(1) in units of 2 ** -53; rows whose weights are drawn at once.
+#: Cumulated probabilities of Poisson(1) in units of 2 ** -53; rows whose weights are drawn at once,
+#: groups that they meet at once, and groups whose sums a task holds before it passes them on.
 _POISSON = np.array([int(2**53 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(18)], np.uint64)
-_ROWS = 2_000
+_ROWS, _GROUPS, _HELD = 2_000, 64, 1_000
 
 
 def finite(x: Column) -> Column:
@@ -122,22 +123,51 @@ def poisson_weights(rows: np.ndarray, resamples: int) -> np.ndarray:
 def poisson_intervals(long: DataFrame, keys: list[str], value: str = "value", order: str = "qid", resamples: int = 1000, seed: int = 42) -> DataFrame:
     """Intervals of groups of any size, with Poisson weights instead of draws: each row is weighted by itself, from the
     seed, the resample and its ``order``, so partial sums are all that moves and partitions change nothing
-    but rounding. Values that are not finite do not count."""
+    but rounding. A row's weights are drawn once for all values of its ``order`` that come near each other. Values that
+    are not finite do not count."""
     long = long.where(finite(F.col(value)))
     fields = ", ".join(f"`{k}` {long.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        kinds: list[pa.DataType] = []
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([key[j] for key in held], t) for j, t in enumerate(kinds)]
+            made = [pa.array([x[j].tolist() for x in held.values()], pa.list_(pa.float64())) for j in (0, 1)]
+            made += [pa.array([x[2] for x in held.values()], pa.float64()), pa.array([x[3] for x in held.values()], pa.int64())]
+            held.clear()
+            return pa.record_batch([*columns, *made], [*keys, "s", "w", "total", "n"])
+
+        def add(names: list[tuple], of: np.ndarray, at: np.ndarray, values: np.ndarray, weights: np.ndarray) -> None:
+            rows, at = np.unique(at, return_inverse=True)
+            own, times = np.zeros((len(rows), len(names))), np.zeros((len(rows), len(names)))
+            np.add.at(own, (at, of), values)
+            np.add.at(times, (at, of), 1)
+            s, w = weights[:, rows] @ own, weights[:, rows] @ times
+            for j, key in enumerate(names):
+                x = held.setdefault(key, [np.zeros(resamples), np.zeros(resamples), 0.0, 0])
+                held[key] = [x[0] + s[:, j], x[1] + w[:, j], x[2] + float(own[:, j].sum()), x[3] + int(times[:, j].sum())]
+
         for b in batches:
-            groups: dict[tuple, list] = {}
-            columns = b.to_pydict()
-            for i, key in enumerate(zip(*(columns[k] for k in keys), strict=True)):
-                groups.setdefault(key, []).append(i)
-            for key, at in groups.items():
-                for first in range(0, len(at), _ROWS):
-                    some = at[first : first + _ROWS]
-                    values = np.array([columns[value][i] for i in some])
-                    weights = poisson_weights(np.array([columns["_bits"][i] for i in some], np.int64), resamples)
-                    yield pa.record_batch([*(pa.array([key[j]], b.schema.field(k).type) for j, k in enumerate(keys)), pa.array([(weights @ values).tolist()]), pa.array([weights.sum(1).astype(float).tolist()]), pa.array([float(values.sum())]), pa.array([len(some)], pa.int64())], [*keys, "s", "w", "total", "n"])
+            kinds = [b.schema.field(k).type for k in keys]
+            number: dict[tuple, int] = {}
+            of = np.fromiter((number.setdefault(key, len(number)) for key in zip(*(b.column(k).to_pylist() for k in keys), strict=True)), np.int64, b.num_rows)
+            values, names = b.column(value).to_numpy(zero_copy_only=False).astype(float), list(number)
+            # rows of one ``order`` share their weights, in all groups: those are drawn once
+            bits, at = np.unique(b.column("_bits").to_numpy(), return_inverse=True)
+            for first in range(0, len(bits), _ROWS):
+                weights = poisson_weights(bits[first : first + _ROWS], resamples).astype(float)
+                here = (at >= first) & (at < first + _ROWS)
+                for group in range(0, len(names), _GROUPS):
+                    some = here & (of >= group) & (of < group + _GROUPS)
+                    if some.any():
+                        present, own = np.unique(of[some], return_inverse=True)
+                        add([names[i] for i in present], own, at[some] - first, values[some], weights)
+                    if len(held) > _HELD:
+                        yield out()
+        if held:
+            yield out()
 
     bits = F.xxhash64(F.lit(seed), order).alias("_bits")
     parts = long.select(*keys, value, bits).mapInArrow(run, f"{fields}, s array<double>, w array<double>, total double, n long")
