@@ -202,7 +202,8 @@ def first_results(spark: SparkSession, folder: str) -> dict[str, Any] | None:
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).json(path)
+    """JSON lines, compressed by gzip: they are written and read whole, and repeat their names and texts in every row."""
+    df.write.mode(mode).option("compression", "gzip").json(path)
 
 
 def log_calls(spark: SparkSession, rows: list[dict], path: str) -> None:

@@ -158,3 +158,11 @@ def test_wide_leaves_empty_columns_out(spark):
     out = report.wide(long, ["β.c", "b", "a", "x"])
     assert out.columns == ["experiment", "β.c", "a"] and {tuple(r) for r in out.collect()} == {("e", None, 1.0), ("f", 2.0, None)}
     assert report.wide(long, ["x"]).columns == ["experiment"] and report.wide(long, []).count() == 2
+
+
+def test_lines_are_compressed(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "qid long, text string")
+    files.write_lines(df, f"{tmp_path}/lines.jsonl")
+    parts = [p for p in (tmp_path / "lines.jsonl").iterdir() if p.name.startswith("part-")]
+    assert parts and all(p.name.endswith(".json.gz") for p in parts)
+    assert sorted(files.read_lines(spark, f"{tmp_path}/lines.jsonl", "qid long, text string").collect()) == sorted(df.collect())
