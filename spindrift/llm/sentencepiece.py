@@ -27,7 +27,7 @@ from spindrift.llm.common import table
 
 MARK = "▁"
 #: Characters of distinct chunks that one suffix array indexes, and texts read for it.
-INDEXED, READ = 1 << 20, 1 << 23
+INDEXED, READ = 1 << 20, 1 << 20
 #: Characters of known chunks after which the table of them starts afresh.
 REMEMBERED = 1 << 24
 #: Characters from which a chunk is relaxed by a heap instead of in rounds with the others.
