@@ -236,3 +236,18 @@ def test_balanced_sample_with_equal_hashes(spark):
     for total in (0, 1, 37, 100):
         got = {r[0]: r[1] for r in sampling.balanced_sample(pool, weights, ["tier"], total=total).groupBy("probe_variant").count().collect()}
         assert got == {k: v for k, v in (("bare", int(0.6 * total)), ("upos", int(0.4 * total))) if v}
+
+
+def test_poisson_intervals_of_many_groups(spark):
+    """Groups that share questions, more than meet at once, with a null key, against the weights themselves."""
+    rows = [(None if g == 3 else f"g{g}", q, float((g * 7 + q * q) % 23)) for g in range(70) for q in range(40) if (g + q) % 3]
+    df = spark.createDataFrame(rows, "g string, qid int, value double").orderBy("qid").coalesce(1)
+    got = {r["g"]: r for r in distribution.poisson_intervals(df, ["g"], "value", "qid", 50).collect()}
+    bits = {r["qid"]: r["b"] for r in df.select("qid", F.xxhash64(F.lit(42), "qid").alias("b")).distinct().collect()}
+    assert len(got) == 70
+    for g, r in got.items():
+        mine = [(q, v) for k, q, v in rows if k == g]
+        weights = distribution.poisson_weights(np.array([bits[q] for q, _ in mine]), 50)
+        found = weights @ np.array([v for _, v in mine]) / weights.sum(1)
+        assert r["n"] == len(mine) and abs(r["mean"] - np.mean([v for _, v in mine])) < 1e-9
+        assert np.allclose([r["ci_low"], r["ci_high"]], np.percentile(found, [2.5, 97.5]), atol=1e-9)
