@@ -27,10 +27,11 @@ def with_flags(probes: DataFrame) -> DataFrame:
     return df.withColumn("user_first", F.col("_uf") & (F.col("first") != "")).drop("_uf", "first")
 
 
-def merge_results(probes: DataFrame, canonical: DataFrame, order: str | None = None) -> DataFrame:
+def merge_results(probes: DataFrame, canonical: DataFrame | None = None, order: str | None = None) -> DataFrame:
     """``probes``: results of all variants, with ``experiment``. Gold and choices are those of the first
     variant (in display order) that has the question; ``model_correct`` is the question's result without
-    sources, false where there is none; a missing canonical wrong answer is the empty string. ``order`` names
+    sources, false where there is none; a missing canonical wrong answer is the empty string; without ``canonical`` the
+    rows of ``probes`` carry theirs. ``order`` names
     a column by which the last of several rows of one question and variant wins; without it there must be one.
 
     One window over (experiment, question) serves all three, so the table is shuffled once.
@@ -44,7 +45,8 @@ def merge_results(probes: DataFrame, canonical: DataFrame, order: str | None = N
         "choices": F.first("choices").over(ranked),
         "model_correct": F.coalesce(F.max(F.when(F.col("probe_variant") == "bare", F.col("output_correct"))).over(ranked), F.lit(False)),
     })
-    df = df.join(canonical.select("experiment", "qid", "canonical_wrong"), ["experiment", "qid"], "left")
+    if canonical is not None:
+        df = df.join(canonical.select("experiment", "qid", "canonical_wrong"), ["experiment", "qid"], "left")
     return df.withColumn("canonical_wrong", F.coalesce("canonical_wrong", F.lit("")))
 
 

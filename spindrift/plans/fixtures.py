@@ -14,6 +14,9 @@ from spindrift.session import written
 #: (name, weight of the user's assertion, weight of the document's)
 EXPERIMENTS = [("csqa__qwen3_8b__d1nu1nin__nocot", 1.5, 2.5), ("csqa__qwen3_8b__u1nd1nin__nocot", 2.5, 1.5)]
 
+#: Questions that a partition holds, on average, at most: a task sorts eighteen rows of each.
+DEALT = 10_000
+
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions_of(spark.read.parquet(f"{sf_dir}/part.parquet"))
@@ -21,12 +24,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions_of(part: DataFrame) -> DataFrame:
     """The questions, dealt by their ids once: what is made of a question stays in its partition, so windows over the
-    variants of a question need no other shuffle, and one small file is not one task."""
+    variants of a question need no other shuffle, and one small file is not one task. There are as many partitions as
+    the session's shuffles have, and more for larger tables, so that no task's share grows with the table."""
     k, part = F.col("p_partkey"), part.select("p_partkey", "p_name", "p_brand")
     choices = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat("p_brand", F.lit(" "), i.cast("string")))
     bare = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (((k + 1) * 7919 + i * 104729) % 1009) / F.lit(100.0) + F.when(i == (k * 31 + 7) % 5, 2.0).otherwise(0.0))
     made = part.select(k.alias("k"), k.cast("string").alias("qid"), F.col("p_name").alias("question"), F.col("p_brand").alias("concept"), choices.alias("choices"), letter(((k * 31 + 7) % 5).cast("int")).alias("gold"), F.when(k % 37 == 0, F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.lit(-100.0))).otherwise(bare).alias("logits"))
-    return made.repartition(int(part.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid")
+    return made.repartition(max(int(part.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-part.count() // DEALT)), "qid")
 
 
 def experiments(spark: SparkSession) -> DataFrame:
@@ -46,14 +50,15 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probes_of(spark, questions(spark, sf_dir), wrong_answers(spark, sf_dir))
 
 
-def probes_of(spark: SparkSession, asked: DataFrame, wrong: DataFrame) -> DataFrame:
+def probes_of(spark: SparkSession, asked: DataFrame, wrong: DataFrame, *carried: str) -> DataFrame:
+    """``carried``: columns of the questions and their wrong answers that each row keeps."""
     q = asked.join(wrong, "qid")
     dims = experiment_variants(experiments(spark)).join(experiments(spark), "experiment")
     df = q.join(F.broadcast(dims))  # 18 rows
     told = lambda present, right, weight, i: F.when(F.col(present) & (letter(i) == F.when(F.col(right), F.col("gold")).otherwise(F.col("canonical_wrong"))), F.col(weight)).otherwise(0.0)
     raised = F.transform("logits", lambda x, i: x + told("user_present", "user_correct", "uw", i) + told("doc_present", "doc_correct", "dw", i))
     df = df.withColumn("logits", F.when(F.col("k") % 37 == 0, F.col("logits")).otherwise(raised))
-    return probe_results(df).select("experiment", "qid", "probe_variant", "gold", "choices", "concept", "output_letter", "output_correct", "probs", "max_prob")
+    return probe_results(df).select("experiment", "qid", "probe_variant", "gold", "choices", "concept", "output_letter", "output_correct", "probs", "max_prob", *carried)
 
 
 def wrong_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +67,8 @@ def wrong_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wrong = wrong_answers(spark, sf_dir)
-    named = wrong.join(F.broadcast(experiments(spark).select("experiment")))  # two rows
-    return merge_results(probes_of(spark, questions(spark, sf_dir), wrong), named)
+    """The rows carry their question's wrong answer, so the merged table is neither shuffled nor sorted for it again."""
+    return merge_results(probes_of(spark, questions(spark, sf_dir), wrong_answers(spark, sf_dir), "canonical_wrong"))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,3 +166,15 @@ def test_lines_are_compressed(spark, tmp_path):
     parts = [p for p in (tmp_path / "lines.jsonl").iterdir() if p.name.startswith("part-")]
     assert parts and all(p.name.endswith(".json.gz") for p in parts)
     assert sorted(files.read_lines(spark, f"{tmp_path}/lines.jsonl", "qid long, text string").collect()) == sorted(df.collect())
+
+
+def test_no_task_of_the_merged_table_grows_with_the_questions(spark, monkeypatch):
+    from spindrift.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "DEALT", 10)
+    n = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    assert fixtures.questions(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-n // 10)
+    merged = fixtures.merged(spark, "/root/testdata/sf0.001")
+    assert merged.count() == 18 * n and merged.where("canonical_wrong = ''").isEmpty()
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan.split("Window")[0]  # nothing is shuffled after the window
