@@ -13,7 +13,7 @@ from spindrift.plans import fixtures, steps, store
 from spindrift.plans.registry import query, read
 from spindrift.plans.sql import BASE, SHIFT, SINGLE
 from spindrift.schemas import MERGED
-from spindrift.session import shared_folder
+from spindrift.session import shared_folder, written
 from spindrift.sources import files
 
 
@@ -70,7 +70,7 @@ SELECT experiment, kind, count(v) AS metrics, round(sum(v), 5) AS total, NULL::V
 def metric_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One experiment stored, then all of three, of which one can't be computed; sums by kind (the regression's have
     queries of their own)."""
-    m, path = fixtures.merged(spark, sf_dir), _folder(spark, "store")
+    m, path = written(fixtures.merged(spark, sf_dir), "merged"), _folder(spark, "store")  # read three times
     store.store_metrics(m.where("experiment like '%d1nu1n%'"), path)
     broken = m.where("experiment like '%d1nu1n%' and probe_variant <> 'bare'").withColumn("experiment", F.lit(_BROKEN))
     store.store_metrics(m.unionByName(broken), path)

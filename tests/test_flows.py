@@ -178,3 +178,12 @@ def test_no_task_of_the_merged_table_grows_with_the_questions(spark, monkeypatch
     assert merged.count() == 18 * n and merged.where("canonical_wrong = ''").isEmpty()
     plan = merged._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and "Exchange" not in plan.split("Window")[0]  # nothing is shuffled after the window
+
+
+def test_metric_store_computes_the_merged_table_once(spark, monkeypatch):
+    from spindrift.plans import flows, store
+
+    plans = []
+    monkeypatch.setattr(store, "store_metrics", lambda m, path: plans.append(m._jdf.queryExecution().executedPlan().toString()))
+    flows.metric_store(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and not any("Window" in p for p in plans)
