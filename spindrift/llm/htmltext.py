@@ -8,8 +8,7 @@ array to ``repeat`` words; windows that stand in two or more different pages cov
 runs go word by word: from doubtful blocks of pages with an article, else from the main part, else from all
 that is no furniture.
 
-Every page is parsed once. Pages whose text is protected as a whole are settled there. Of the others' hosts the words
-outside articles are dealt by host; a hot host is dealt into buckets, one suffix array each. Which windows
+Every page is parsed once and goes through its host's suffix array, articles too. A hot host is dealt into buckets, one suffix array each. Which windows
 two of its buckets share is found before by window hashes, so buckets bound a task's memory and not the
 results.
 """
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import octets, table, written
 from spindrift.llm.urlfilter import url_parts
 
-#: Words in a repeated run, characters outside articles of one host that one suffix array holds.
+#: Words in a repeated run, characters of one host that one suffix array holds.
 REPEAT, BUCKET = 8, 8 << 20
 #: Window hashes of hot hosts that a task gathers before it hands them on.
 GATHERED = 1 << 20
@@ -194,15 +193,6 @@ def page_blocks(page: str) -> list[Block]:
     return out
 
 
-def settled_text(blocks: list[Block]) -> str | None:
-    """The text of a page that no run can change, else None: an article without doubtful blocks, or nothing
-    but furniture."""
-    states = {s for _, s in blocks}
-    if DOUBT in states or (ARTICLE not in states and states - {FURNISHED}):
-        return None
-    return "\n".join(t for t, s in blocks if s == ARTICLE)
-
-
 def page_name(blocks: list[Block]) -> int:
     """Signed 64 bits of all words: pages with the same words count as one page."""
     return _hash(" ".join(t for t, _ in blocks)) - (1 << 63)
@@ -397,20 +387,19 @@ def shared_windows(streams: DataFrame) -> DataFrame:
     return packed.groupBy("_host", "_part").applyInArrow(join, "_host string, _b long, _w binary")
 
 
-def _dumped(blocks: list[Block], whole: bool) -> bytes:
-    """Blocks with their states; the words of protected ones only where the text is made from them."""
-    return zlib.compress(json.dumps([(t if whole or s != ARTICLE else "", s) for t, s in blocks]).encode(), 1)
+def _dumped(blocks: list[Block]) -> bytes:
+    return zlib.compress(json.dumps(blocks, ensure_ascii=False).encode("utf-8", "surrogatepass"), 6)
 
 
 def _loaded(data: bytes) -> list[Block]:
-    return [(t, s) for t, s in json.loads(zlib.decompress(data))]
+    return [(t, s) for t, s in json.loads(zlib.decompress(data).decode("utf-8", "surrogatepass"))]
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html", bucket: int = BUCKET) -> DataFrame:
     """One row per row of ``pages``: key, url, ``text``, ``n_chars`` and ``n_removed`` (words that runs took
     out of the text).
 
-    A host with more than ``bucket`` characters outside articles is dealt into buckets by its pages' words,
+    A host with more than ``bucket`` characters is dealt into buckets by its pages' words,
     so no task holds a whole hot host; runs that pages of different buckets share come from
     :func:`shared_windows`. Null markup is empty and gives empty text; a null url belongs to the empty host.
     Pages with the same words are one page, whatever their keys. A page of any length is one row. Other
@@ -426,22 +415,15 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", marku
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for x in b.column(2).to_pylist():
-                blocks = page_blocks(x or "")
-                text = settled_text(blocks)
-                chars = sum(len(t) + 1 for t, s in blocks if s != ARTICLE)
-                seen = text is None or chars
-                rows.append((page_name(blocks) if seen else None, text, chars, _dumped(blocks, text is None) if seen else None))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary())
-            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-            yield pa.record_batch([b.column(0), b.column(1), b.column(3), *made], [key, url, "_host", "_name", "text", "_chars", "_blocks"])
+            blocks = [page_blocks(x or "") for x in b.column(2).to_pylist()]
+            chars = [sum(len(t) + 1 for t, _ in page) for page in blocks]
+            made = [pa.array(map(page_name, blocks), pa.int64()), pa.array(chars, pa.int64()), pa.array(map(_dumped, blocks), pa.binary())]
+            yield pa.record_batch([b.column(0), b.column(1), b.column(3), *made], [key, url, "_host", "_name", "_chars", "_blocks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> pa.RecordBatch:
             found = main_texts([_loaded(r[2]) for r in rows], [r[5] for r in rows], shared=np.concatenate(shared) if shared else None)
-            at = [i for i, r in enumerate(rows) if r[6]]
-            return result([pa.array([rows[i][k] for i in at], t) for k, t in enumerate(types)], [found[i][0] for i in at], [found[i][1] for i in at])
+            return result([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [text for text, _ in found], [gone for _, gone in found])
 
         group, rows, shared, types = None, [], [], []
         for b in batches:
@@ -451,25 +433,22 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", marku
                     if rows:
                         yield done(rows)
                     group, rows, shared = r[3:5], [], []
-                if r[7] is None:
+                if r[6] is None:
                     rows.append(r)
                 else:
-                    shared.append(np.frombuffer(r[7], np.uint64))
+                    shared.append(np.frombuffer(r[6], np.uint64))
         if rows:
             yield done(rows)
 
     df = pages.select(key, url, markup, host.alias("_host"))
-    parsed = written(df.mapInArrow(parse, f"{own}, _host string, _name long, text string, _chars long, _blocks binary"), "parsed")
-    settled = parsed.where("text is not null").select(key, url, "text", F.length("text").cast("long").alias("n_chars"), F.lit(0).cast("long").alias("n_removed"))
-    streams = parsed.where("_blocks is not null").withColumn("_open", F.col("text").isNull()).drop("text")
-    hosts = streams.groupBy("_host").agg(F.sum("_chars").alias("_size"), F.max("_open").alias("_any")).where("_any")
-    hosts = written(hosts.select("_host", F.ceil(F.col("_size") / bucket).alias("_n")), "hosts")
-    streams = streams.join(hosts, "_host").withColumn("_b", F.pmod("_name", "_n"))
+    parsed = written(df.mapInArrow(parse, f"{own}, _host string, _name long, _chars long, _blocks binary"), "parsed")
+    hosts = parsed.groupBy("_host").agg(F.ceil(F.greatest(F.sum("_chars"), F.lit(1)) / bucket).alias("_n"))
+    streams = parsed.join(written(hosts, "hosts"), "_host").withColumn("_b", F.pmod("_name", "_n"))
     beyond = shared_windows(streams.where("_n > 1"))
     # the windows of a bucket stand before its pages
-    rows = streams.select(key, url, "_blocks", "_host", "_b", "_name", "_open").withColumn("_w", F.lit(None).cast("binary")).unionByName(beyond, allowMissingColumns=True)
+    rows = streams.select(key, url, "_blocks", "_host", "_b", "_name").withColumn("_w", F.lit(None).cast("binary")).unionByName(beyond, allowMissingColumns=True)
     rows = rows.repartition("_host", "_b").sortWithinPartitions("_host", "_b", F.col("_w").isNull())
-    return settled.unionByName(rows.mapInArrow(run, made))
+    return rows.mapInArrow(run, made)
 
 
 def op9_html_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,3 +199,17 @@ def test_formulas_stay_and_reader_comments_go(spark):
     got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     plain = "The area x=2 here.\nEnd of it."
     assert got == {**dict.fromkeys(range(4), plain), 4: "The area x=2 here.\nA commentary.\nEnd of it."}
+
+
+def test_every_page_goes_through_the_suffix_array(spark, monkeypatch):
+    from spindrift.llm import htmltext
+
+    html = ["<article><p>one whole article</p></article>", "<nav>menu</nav><article>two</article>", "<nav>only menu</nav>", None, "<p>plain text</p>"]
+    pages = spark.createDataFrame([(i, f"http://{'ab'[i == 3]}.org/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    made, write = {}, htmltext.written
+    monkeypatch.setattr(htmltext, "written", lambda df, tag: made.setdefault(tag, write(df, tag)))
+    for bucket in (8 << 20, 4):
+        made.clear()
+        got = sorted(map(tuple, extract_text(pages, bucket=bucket).select("page_id", "text", "n_chars").collect()))
+        assert got == [(0, "one whole article", 17), (1, "two", 3), (2, "", 0), (3, "", 0), (4, "plain text", 10)]
+        assert made["parsed"].where("_blocks is not null").count() == 5 and made["hosts"].count() == 2
