@@ -21,8 +21,9 @@ from spindrift.session import written
 
 #: Ranks of a block; groups whose blocks a task weighs together; values below which there are no bounds.
 BLOCK, GROUPS, LEAST = 4_096, 256, 10
-#: Outputs of the generator that one task makes, and those made at once; ranks counted in an array.
-CHUNK, PIECE, DENSE = 1 << 28, 1 << 22, 1 << 22
+#: Outputs of the generator that one task makes, and those made at once; ranks counted in an array; stretches of
+#: the streams that tasks begin at, at most, for each partition of the session's shuffles.
+CHUNK, PIECE, DENSE, TASKS = 1 << 28, 1 << 22, 1 << 22, 4
 _COUNTS = "n long, block long, resample int, dense boolean, counts binary"
 
 
@@ -31,16 +32,28 @@ def output_bits(n: Column) -> Column:
     return F.length(F.bin(n - 1))
 
 
-def accepted(n: int, generator: np.random.RandomState, outputs: int) -> Iterator[np.ndarray]:
-    """The draws below ``n`` that the next outputs give, piece by piece: leading zero bits are masked, and what
-    is not below ``n`` is skipped."""
+def masked(n: int, generator: np.random.RandomState, outputs: int) -> Iterator[np.ndarray]:
+    """The next outputs, piece by piece, without the leading bits that no number below ``n`` has."""
     mask = np.uint32((1 << (n - 1).bit_length()) - 1)
     while outputs > 0:
         made = mersenne.outputs(generator, min(PIECE, outputs)) & mask
         outputs -= len(made)
+        yield made
+
+
+def accepted(n: int, generator: np.random.RandomState, outputs: int) -> Iterator[np.ndarray]:
+    """The draws below ``n`` that the next outputs give, piece by piece: what is not below ``n`` is skipped."""
+    for made in masked(n, generator, outputs):
         yield made[made < n]
 
 
+def spread(chunks: DataFrame) -> DataFrame:
+    """``chunks`` (``n, chunk``) dealt evenly over tasks. Their rows are few bytes, so adaptive execution would put
+    all of them into one task if the number of partitions were left to it."""
+    most = TASKS * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chunks.repartitionByRange(max(1, min(most, chunks.count())), "n", "chunk")
+
+
 def draw_counts(sizes: DataFrame, resamples: int = 1000, seed: int = 42, chunk: int | None = None) -> DataFrame:
     """``n, block, resample, dense, counts`` for each distinct ``n`` (2 to 2**32) of ``sizes``: how often a resample
     draws the ranks of a block, as 16-bit counts of all its ranks (``dense``) or as the 16-bit places drawn.
@@ -56,7 +69,7 @@ def draw_counts(sizes: DataFrame, resamples: int = 1000, seed: int = 42, chunk:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for n, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found = sum(len(x) for x in accepted(n, mersenne.at(mersenne.ahead(words, k * chunk)), chunk))
+                found = sum(int(np.count_nonzero(x < n)) for x in masked(n, mersenne.at(mersenne.ahead(words, k * chunk)), chunk))
                 yield pa.record_batch([pa.array([n]), pa.array([k]), pa.array([found])], ["n", "chunk", "found"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +87,8 @@ def draw_counts(sizes: DataFrame, resamples: int = 1000, seed: int = 42, chunk:
                 few, draws = draws[: (r + 1) * n - done], draws[(r + 1) * n - done :]
                 done += len(few)
                 if n > DENSE:
-                    few = few[np.argsort(few // BLOCK, kind="stable")]
+                    own_block = (few // BLOCK).astype(np.uint16 if n <= BLOCK << 16 else np.int64)  # 16 bits: a radix sort
+                    few = few[np.argsort(own_block, kind="stable")]
                     at, first = np.unique(few // BLOCK, return_index=True)
                     rows += [(n, int(i), r, False, (x % BLOCK).astype("<u2").tobytes()) for i, x in zip(at, np.split(few, first[1:]), strict=True)]
                 else:
@@ -98,11 +112,10 @@ def draw_counts(sizes: DataFrame, resamples: int = 1000, seed: int = 42, chunk:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["n", "block", "resample", "dense", "counts"])
 
-    spread = chunks.repartition("n", "chunk")
-    found = written(spread.mapInArrow(count, "n long, chunk long, found long"), "accepted")
+    found = written(spread(chunks).mapInArrow(count, "n long, chunk long, found long"), "accepted")
     upto = F.sum("found").over(Window.partitionBy("n").orderBy("chunk")) - F.col("found")  # a row for each task
     placed = found.withColumn("done", upto).where(F.col("done") < F.col("n") * resamples)
-    return placed.select("n", "chunk", "done").repartition("n", "chunk").mapInArrow(deal, _COUNTS)
+    return spread(placed.select("n", "chunk", "done")).mapInArrow(deal, _COUNTS)
 
 
 def resample_sums(values: DataFrame, keys: list[str], counts: DataFrame, resamples: int) -> DataFrame:

@@ -26,7 +26,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank
     not change when a task is run again.
     """
     own = [*keys, *(c for c in order if c not in keys)]
-    df = df.withColumn("_tie", F.monotonically_increasing_id())
+    # written: the range sort reads its rows twice, first for the ranges' bounds
+    df = written(df.withColumn("_tie", F.monotonically_increasing_id()), "unsorted")
     ranges = df.repartitionByRange(*own, "_tie").sortWithinPartitions(*own, "_tie").drop("_tie")
     placed = written(ranges.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "ranks")
     counts = placed.groupBy("_part", *keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))

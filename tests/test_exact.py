@@ -236,3 +236,22 @@ def test_draws_are_not_broadcast(spark):
     for df in (sums, drawn):
         assert not any("MapInArrow" in part for part in broadcast_parts(df))
     assert sums.count() == 10 and drawn.count() == 5
+
+
+def test_a_stream_is_cut_over_tasks(spark, monkeypatch):
+    """Rows that name a stretch of a stream are few bytes; they must not be put into one task for that."""
+    monkeypatch.setattr(bootstrap, "CHUNK", 5_000)
+    counts = bootstrap.draw_counts(spark.createDataFrame([(257,)], "n long"), 40)
+    assert len({r[0] for r in counts.select(F.spark_partition_id()).distinct().collect()}) > 1
+
+
+def test_numbering_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(500).mapInArrow(count, "id long")
+    assert ranks.numbered(df, [], ["id"]).count() == 500 and seen.value == 500
